@@ -8,6 +8,8 @@ per task before anything is shuffled.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 LANES = 4
@@ -55,22 +57,28 @@ def lane_sums(digest: Column) -> list[Column]:
     return [F.sum(lane(digest, i)).alias(f"lane{i}") for i in range(LANES)]
 
 
-def fingerprint(df: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Row count and lane sums of ``df``, whole or per ``by`` group."""
-    keyed = df.withColumn("_digest", row_digest(df.schema))
+def fingerprint(df: DataFrame, by: list[str] | None = None, over: list[str] | None = None) -> DataFrame:
+    """Row count and lane sums of the ``over`` columns (all), whole or per ``by`` group."""
+    keyed = df.withColumn("_digest", row_digest(df.select(*over).schema if over else df.schema))
     grouped = keyed.groupBy(*(by or []))
     return grouped.agg(F.count(F.lit(1)).alias("rows"), *lane_sums(F.col("_digest")))
 
 
-def identity(rows: int, lanes: list, schema: T.StructType) -> str:
-    """One hex identity from the summed lanes, the row count and the column types."""
-    import hashlib
+def _column_types(schema: T.StructType) -> str:
+    return ";".join(f"{f.name}:{f.dataType.simpleString()}" for f in schema.fields)
+
 
-    columns = ";".join(f"{f.name}:{f.dataType.simpleString()}" for f in schema.fields)
-    text = "|".join([str(rows), *[str(int(v or 0)) for v in lanes], columns])
+def identity(rows: int, lanes: list, schema: T.StructType) -> str:
+    """One hex identity from the row count, the summed lanes and the column types."""
+    text = "|".join([str(rows), *[str(int(v or 0)) for v in lanes], _column_types(schema)])
     return hashlib.sha256(text.encode("utf-8")).hexdigest()
 
 
+def identity_column(schema: T.StructType) -> Column:
+    """:func:`identity` over the columns that :func:`fingerprint` returns."""
+    lanes = [F.coalesce(F.col(f"lane{i}"), F.lit(0)).cast("decimal(38,0)").cast("string") for i in range(LANES)]
+    return F.sha2(F.concat_ws("|", F.col("rows").cast("string"), *lanes, F.lit(_column_types(schema))), 256)
+
+
 def table_identity(df: DataFrame) -> str:
-    row = fingerprint(df).first()
-    return identity(row["rows"], [row[f"lane{i}"] for i in range(LANES)], df.schema)
+    return fingerprint(df).select(identity_column(df.schema)).first()[0]

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import messages as M
 from ..functions.text import parent
-from ..plans import lookup
+from ..plans import lookup, staged
 from .lineage import UNNAMED
 
 PROBLEM_COLUMNS = ("artifact", "severity", "message")
@@ -27,8 +27,7 @@ def verify_outputs(recorded: DataFrame, current: DataFrame) -> DataFrame:
     ``recorded(artifact, path, filename, size, sha256)``; ``current(path, size,
     sha256)``, where a hash is needed only for files of the recorded size.
     """
-    now = current.select("path", F.lit(True).alias("_found"), F.col("size").alias("_size"), F.col("sha256").alias("_sha"))
-    joined = lookup(recorded, now, ["path"])
+    joined = lookup(recorded, current, ["path"], rename={"size": "_size", "sha256": "_sha"}, flag="_found")
     name = F.col("filename")
     message = (
         F.when(F.col("_found").isNull(), M.filled(M.OUTPUT_MISSING, name))
@@ -44,9 +43,8 @@ def verify_inputs(inputs: DataFrame, files: DataFrame, published: DataFrame) ->
     ``inputs(artifact, kind, path, sha256)``; ``files(path, sha256)`` on disk;
     ``published(path, sha256)`` the version each shared manifest records now.
     """
-    on_disk = files.select("path", F.lit(True).alias("_found"), F.col("sha256").alias("_sha"))
-    versions = published.select("path", F.col("sha256").alias("_version"))
-    joined = lookup(lookup(inputs, on_disk, ["path"]), versions, ["path"])
+    joined = lookup(inputs, files, ["path"], rename={"sha256": "_sha"}, flag="_found")
+    joined = lookup(joined, published, ["path"], rename={"sha256": "_version"})
     path, kind = F.col("path"), F.coalesce("kind", F.lit("file"))
     stale = ~F.col("sha256").eqNullSafe(F.col("_version"))
     changed = F.coalesce(F.col("sha256"), F.lit("")) != ""
@@ -63,8 +61,7 @@ def verify_inputs(inputs: DataFrame, files: DataFrame, published: DataFrame) ->
 
 def verify_code(deps: DataFrame, files: DataFrame) -> DataFrame:
     """Missing or edited modules. ``deps(artifact, module, path, sha256)``."""
-    on_disk = files.select("path", F.lit(True).alias("_found"), F.col("sha256").alias("_sha"))
-    joined = lookup(deps, on_disk, ["path"])
+    joined = lookup(deps, files, ["path"], rename={"sha256": "_sha"}, flag="_found")
     message = F.when(F.col("_found").isNull(), M.filled(M.MODULE_MISSING, F.col("path"))).when(
         ~F.col("sha256").eqNullSafe(F.col("_sha")), M.filled(M.MODULE_CHANGED, F.col("module"))
     )
@@ -76,9 +73,10 @@ def identity_of_shared(manifests: DataFrame, producers: DataFrame) -> DataFrame:
 
     ``manifests(artifact, notebook, code_sha256)``; ``producers(notebook, cell, code_sha256)``.
     """
-    readable = producers.select("notebook").distinct().withColumn("_readable", F.lit(True))
-    hashes = producers.select("notebook", "code_sha256").distinct().withColumn("_match", F.lit(True))
-    joined = lookup(lookup(manifests, readable, ["notebook"]), hashes, ["notebook", "code_sha256"])
+    producers = staged(producers)
+    joined = lookup(manifests, producers.select("notebook").distinct(), ["notebook"], flag="_readable")
+    hashes = producers.select("notebook", "code_sha256").distinct()
+    joined = lookup(joined, hashes, ["notebook", "code_sha256"], flag="_match")
     notebook = F.col("notebook")
     message = F.when(F.col("_readable").isNull(), M.filled(M.CELLS_UNREADABLE, notebook)).when(
         F.col("_match").isNull(), M.filled(M.NO_MATCHING_CELL, notebook)
@@ -92,11 +90,11 @@ def identity_of_preserved(manifests: DataFrame, producers: DataFrame) -> DataFra
     ``manifests(artifact, id, notebook, code_sha256)``. Unnamed units cannot own a
     bundle; of several units with one name the last by ``position`` counts.
     """
-    readable = producers.select("notebook").distinct().withColumn("_readable", F.lit(True))
+    producers = staged(producers)
     named = producers.filter(F.col("cell") != UNNAMED)
     current = named.groupBy("notebook", "cell").agg(F.max_by("code_sha256", "position").alias("_sha"))
-    current = current.withColumn("_named", F.lit(True)).withColumnRenamed("cell", "id")
-    joined = lookup(lookup(manifests, readable, ["notebook"]), current, ["notebook", "id"])
+    joined = lookup(manifests, producers.select("notebook").distinct(), ["notebook"], flag="_readable")
+    joined = lookup(joined, current.withColumnRenamed("cell", "id"), ["notebook", "id"], flag="_named")
     name, notebook = F.col("id"), F.col("notebook")
     message = (
         F.when(F.col("_readable").isNull(), M.filled(M.CELLS_UNREADABLE, notebook))
@@ -115,8 +113,8 @@ def unlisted_files(files: DataFrame, claimed: DataFrame, unreadable: DataFrame,
     rows = files.select("path", parent(F.col("path")).alias("_folder"))
     rows = rows.filter(~F.col("path").rlike(r"(^|/)\.gitkeep$"))
     rows = rows.join(claimed.select("path").distinct(), "path", "left_anti")
-    marked = unreadable.select(F.col("folder").alias("_folder")).distinct().withColumn("_skip", F.lit(True))
-    rows = lookup(rows, marked, ["_folder"]).filter(F.col("_skip").isNull())
+    marked = unreadable.select(F.col("folder").alias("_folder")).distinct()
+    rows = lookup(rows, marked, ["_folder"], flag="_skip").filter(F.col("_skip").isNull())
     writer = F.when(F.col("path").startswith(shared + "/"), M.SHARED_WRITER).otherwise(M.PRESERVED_WRITER)
     return rows.select(
         F.col("path").alias("artifact"), F.lit(M.ERROR).alias("severity"), M.filled(M.FILE_UNRECORDED, writer).alias("message")

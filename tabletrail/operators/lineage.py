@@ -96,9 +96,8 @@ def describe_inputs(declared: DataFrame, files: DataFrame, published: DataFrame,
     its published version. ``problem`` says why an input cannot be recorded.
     """
     rows = declared.withColumn("path", relative_to(F.col("path"), root)) if root else declared
-    on_disk = files.select("path", F.col("size").alias("_size"), F.col("sha256").alias("_sha"))
-    versions = published.select("path", F.col("sha256").alias("_version"))
-    joined = lookup(lookup(rows, on_disk, ["path"]), versions, ["path"])
+    joined = lookup(rows, files, ["path"], rename={"size": "_size", "sha256": "_sha"})
+    joined = lookup(joined, published, ["path"], rename={"sha256": "_version"})
     kind = input_kind(F.col("path"))
     is_shared = kind == "shared"
     found = F.col("_sha").isNotNull() | F.col("_version").isNotNull()

@@ -2,6 +2,6 @@
 
 from .joins import lookup
 from .ordering import Ordered, row_numbers
-from .staging import scratch_path, staged
+from .staging import literal_rows, new_scratch, staged
 
-__all__ = ["Ordered", "lookup", "row_numbers", "scratch_path", "staged"]
+__all__ = ["Ordered", "literal_rows", "lookup", "new_scratch", "row_numbers", "staged"]

@@ -23,6 +23,8 @@ def lookup(
     on: Sequence[str],
     how: str = "left",
     *,
+    rename: dict[str, str] | None = None,
+    flag: str | None = None,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Join ``table`` (one row per key, null is a key) to ``rows``.
@@ -30,24 +32,18 @@ def lookup(
     The table is staged and counted first. Up to ``broadcast_rows`` it is
     broadcast and ``rows`` is not shuffled at all. Beyond that both sides are
     shuffled on the key, with every hot key of ``rows`` split over many tasks.
-    """
-    table = staged(table)
-    return lookup_staged(rows, table, on, how, broadcast_rows=broadcast_rows)
-
 
-def lookup_staged(
-    rows: DataFrame,
-    table: DataFrame,
-    on: Sequence[str],
-    how: str = "left",
-    *,
-    broadcast_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
-    """:func:`lookup` for a table that is already cheap to scan twice."""
+    ``rename`` picks and renames the attached columns (all, unchanged); ``flag``
+    adds a column that is true where a key was found.
+    """
     on = list(on)
-    if table.count() <= broadcast_rows:
-        return _null_safe_join(rows, F.broadcast(table), on, how)
-    return _salted_join(rows, table, on, how)
+    table = staged(table)
+    small = table.count() <= broadcast_rows
+    rename = {c: c for c in table.columns if c not in on} if rename is None else rename
+    columns = [F.col(_q(old)).alias(new) for old, new in rename.items()]
+    columns += [F.lit(True).alias(flag)] if flag else []
+    table = table.select(*[F.col(_q(c)) for c in on], *columns)
+    return _null_safe_join(rows, F.broadcast(table), on, how) if small else _salted_join(rows, table, on, how)
 
 
 def _null_safe_join(rows: DataFrame, table: DataFrame, on: list[str], how: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def scratch_path(spark: SparkSession) -> str:
@@ -34,8 +34,22 @@ def new_scratch(spark: SparkSession, label: str) -> str:
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """Write ``df`` once and return a scan of the written table."""
+    """Write ``df`` once and return a scan of the written table.
+
+    A table that :func:`staged` itself returned is passed through.
+    """
+    if getattr(df, "_is_staged", False):
+        return df
     spark = df.sparkSession
     path = new_scratch(spark, "stage")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._is_staged = True
+    return table
+
+
+def literal_rows(spark: SparkSession, column: str, values: list[str]) -> DataFrame:
+    """A one-column table of a few given strings, planned without a Python source."""
+    if not values:
+        return spark.range(0).select(F.lit("").alias(column))
+    return spark.range(1).coalesce(1).select(F.explode(F.array(*[F.lit(v) for v in values])).alias(column))
