@@ -1,0 +1,183 @@
+"""Publishing and reading back whole tables, and scans of project files."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+
+from ..functions import numbers, text
+from ..operators.summaries import group_moments
+from ..plans import new_scratch, staged
+from ..project import Project
+from ..sinks import manifests
+from ..sources import textformat
+from ..sources.catalog import Producer, parse_manifests, producers
+from ..sources.storage import hashed, walk
+from .registry import Tables, query
+
+UNIT = Producer("notebooks/suite.py", "suite", "def suite():\n    pass\n")
+
+
+def _project(spark: SparkSession) -> Project:
+    return Project(spark, new_scratch(spark, "project"))
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate FROM orders")
+def publish_roundtrip(t: Tables) -> DataFrame:
+    project = _project(t.spark)
+    orders = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+    project.save_shared(orders, "orders", inputs=[], producer=UNIT, sort_by=["o_orderkey"])
+    return project.load_shared("orders")
+
+
+@query("SELECT doc_id, text, lang, CASE WHEN lang <> 'en' THEN source END AS source, CASE WHEN lang = 'de' THEN '' ELSE lang END AS blank FROM documents")
+def publish_text_roundtrip(t: Tables) -> DataFrame:
+    project = _project(t.spark)
+    documents = t.documents.select(
+        "doc_id", "text", "lang", F.when(F.col("lang") != "en", F.col("source")).alias("source"),
+        F.when(F.col("lang") == "de", "").otherwise(F.col("lang")).alias("blank"),
+    )
+    project.save_shared(documents, "documents", inputs=[], producer=UNIT, fmt="csv")
+    return project.load_shared("documents")
+
+
+@query("SELECT p_partkey, p_name, p_brand, p_size, p_retailprice FROM part")
+def preserve_roundtrip(t: Tables) -> DataFrame:
+    project = _project(t.spark)
+    parts = t.part.select("p_partkey", "p_name", "p_brand", "p_size", "p_retailprice")
+    project.preserve_table(parts, "suite", producer=UNIT, filename="parts")
+    path = project.preserved_path("suite.py", "suite", "parts.csv")
+    return textformat.reader(t.spark, parts.schema, "csv").load(path)
+
+
+@query("SELECT o_orderkey::INT AS o_orderkey, o_orderstatus, o_totalprice, o_orderdate::DATE AS o_orderdate FROM orders")
+def external_csv(t: Tables) -> DataFrame:
+    project = _project(t.spark)
+    path = project.external_path("orders.csv")
+    exported = t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice", F.col("o_orderdate").cast("date").alias("o_orderdate"))
+    exported.write.option("header", "true").csv(path)
+    return project.load_external("orders.csv")
+
+
+@query("SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")
+def external_tsv(t: Tables) -> DataFrame:
+    project = _project(t.spark)
+    customers = t.customer.select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    customers.write.option("header", "true").option("sep", "\t").csv(project.external_path("customer.tsv"))
+    return project.load_external("customer.tsv", schema=customers.schema)
+
+
+@query(
+    """SELECT unnest(['conv_id', 'role', 'text', 'turn']) AS name, unnest(['bigint', 'string', 'string', 'bigint']) AS type, true AS restorable,
+        unnest([0::BIGINT, count(*) FILTER (WHERE role = '\\N'), count(*) FILTER (WHERE text = '\\N'), 0::BIGINT]) AS reserved FROM conversations"""
+)
+def gate_report(t: Tables) -> DataFrame:
+    table = t.conversations
+    lost = dict(textformat.unrestorable_columns(table.schema, "csv"))
+    counts = []
+    for field in table.schema.fields:
+        is_text = isinstance(field.dataType, T.StringType)
+        reserved = F.count_if(F.col(field.name) == textformat.NULL_TEXT) if is_text else F.lit(0).cast("bigint")
+        counts.append(F.struct(
+            F.lit(field.name).alias("name"), F.lit(field.dataType.simpleString()).alias("type"),
+            F.lit(field.name not in lost).alias("restorable"), reserved.alias("reserved"),
+        ))
+    return table.agg(F.explode(F.array(*counts)).alias("r")).select("r.*")
+
+
+@query(
+    """SELECT l_suppkey, count(*)::BIGINT AS n, round(avg(l_quantity), 6) AS mean FROM lineitem GROUP BY 1"""
+)
+def cached_summary(t: Tables) -> DataFrame:
+    project = _project(t.spark)
+    columns = ["l_suppkey", "n", F.round("mean", 6).alias("mean")]
+
+    def compute() -> DataFrame:
+        return group_moments(t.lineitem, "l_suppkey", "l_quantity").select(*columns)
+
+    def forbidden() -> DataFrame:
+        raise AssertionError("a cached stage was computed again")
+
+    project.cached_stage("summary", compute, code="v1")
+    return project.cached_stage("summary", forbidden, code="v1\n")
+
+
+def _document_files(t: Tables) -> DataFrame:
+    path = F.concat(F.lit("data/preserved/"), "source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return t.documents.select(path.alias("path"), F.col("text").alias("content"))
+
+
+_FILES_SQL = """SELECT 'data/preserved/' || source || '/' || lang || '/' || doc_id || '.txt' AS path, strlen(text)::BIGINT AS size, sha256(text) AS sha256 FROM documents"""
+
+
+@query(f"SELECT *, true AS written FROM ({_FILES_SQL})")
+def write_files(t: Tables) -> DataFrame:
+    return staged(manifests.write_documents(_document_files(t), new_scratch(t.spark, "files")))
+
+
+@query(_FILES_SQL)
+def walk_files(t: Tables) -> DataFrame:
+    root = new_scratch(t.spark, "files")
+    staged(manifests.write_documents(_document_files(t), root))
+    return hashed(staged(walk(t.spark, root, ["data/preserved"])), root)
+
+
+_MANIFEST_SQL = """SELECT 'data/preserved/' || source || '/' || doc_id || '/manifest.json' AS path, * FROM documents"""
+
+
+@query(
+    f"""SELECT path, 'data/preserved/' || source || '/' || doc_id AS folder,
+        CASE lang WHEN 'de' THEN path || ' has manifest_version 2; this version reads up to 1' WHEN 'en' THEN NULL ELSE 'unreadable manifest' END AS problem,
+        CASE WHEN lang = 'en' THEN source END AS id, CASE WHEN lang = 'en' THEN sha256(text) END AS sha256, CASE WHEN lang = 'en' THEN n_chars END AS size
+    FROM ({_MANIFEST_SQL})"""
+)
+def manifest_scan(t: Tables) -> DataFrame:
+    output = F.struct(F.col("source").alias("filename"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.col("n_chars").alias("size"))
+    record = manifests.record_json(
+        F.col("source").alias("id"), F.when(F.col("lang") == "de", 2).otherwise(1).alias("manifest_version"), F.array(output).alias("outputs")
+    )
+    path = F.concat(F.lit("data/preserved/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("/manifest.json"))
+    content = F.when(F.col("lang").isin("en", "de"), record).otherwise(F.col("text"))
+    parsed = parse_manifests(t.documents.select(path.alias("path"), content.alias("text")))
+    first = F.element_at("m.outputs", 1)
+    return parsed.select("path", "folder", "problem", "m.id", first["sha256"].alias("sha256"), first["size"].alias("size"))
+
+
+@query(
+    """SELECT 'notebooks/' || page_id || '.py' AS notebook, cell, code, sha256(regexp_replace(code, '^\\s+|\\s+$', '', 'g')) AS code_sha256, position::INT AS position
+    FROM (SELECT page_id, unnest(['page_' || page_id, '_']) AS cell,
+        unnest(['@app.cell' || chr(10) || 'def page_' || page_id || '():' || chr(10) || '    return "' || url || '"' || chr(10),
+                'def _():' || chr(10) || '    return ' || page_id || chr(10)]) AS code, unnest([0, 1]) AS position FROM pages)"""
+)
+def producer_scan(t: Tables) -> DataFrame:
+    root = new_scratch(t.spark, "notebooks")
+    digits = F.col("page_id").cast("string")
+    named = F.concat(F.lit("@app.cell\ndef page_"), digits, F.lit('():\n    return "'), "url", F.lit('"\n'))
+    unnamed = F.concat(F.lit("def _():\n    return "), digits, F.lit("\n"))
+    path = F.concat(F.lit("notebooks/"), digits, F.lit(".py"))
+    source = F.concat(F.lit("import app\n\n"), named, F.lit("\n\n"), unnamed)
+    written = staged(manifests.write_documents(t.pages.select(path.alias("path"), source.alias("content")), root))
+    return producers(written, root)
+
+
+@query(
+    """SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'F:2' ELSE 'F:2,' || o_orderstatus || ':1' END AS entries FROM orders"""
+)
+def record_replacement(t: Tables) -> DataFrame:
+    def entry(name, size):
+        return F.struct(name.alias("filename"), F.lit(size).alias("size"))
+
+    records = F.array(entry(F.col("o_orderstatus"), 1))
+    merged = numbers.replace_record(records, "filename", entry(F.lit("F"), 2))
+    shown = F.transform(merged, lambda r: F.concat(r["filename"], F.lit(":"), r["size"].cast("string")))
+    return t.orders.select("o_orderkey", text.joined(shown, ",").alias("entries"))
+
+
+@query(
+    """SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS at, strftime(ts, '%H:%M:%S.%f') AS time, event_id BETWEEN -2147483647 AND 2147483647 AS fits,
+        value::VARCHAR AS shown FROM events"""
+)
+def text_forms(t: Tables) -> DataFrame:
+    return t.events.select(
+        "event_id", text.datetime_text(F.col("ts")).alias("at"), text.time_text(F.col("ts")).alias("time"),
+        numbers.fits_int32(F.col("event_id")).alias("fits"), F.col("value").cast("string").alias("shown"),
+    )
