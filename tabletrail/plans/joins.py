@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .staging import staged
+from .staging import row_count, staged
 
 # A lookup side is narrow (keys plus a few numbers or hashes), so this many rows
 # is a few tens of megabytes on each executor.
@@ -38,7 +38,7 @@ def lookup(
     """
     on = list(on)
     table = staged(table)
-    small = table.count() <= broadcast_rows
+    small = row_count(table) <= broadcast_rows
     rename = {c: c for c in table.columns if c not in on} if rename is None else rename
     columns = [F.col(_q(old)).alias(new) for old, new in rename.items()]
     columns += [F.lit(True).alias(flag)] if flag else []

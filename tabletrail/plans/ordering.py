@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .joins import lookup
-from .staging import staged
+from .staging import row_count, staged
 
 _BLOCK_BITS = 33
 
@@ -53,7 +53,7 @@ class Ordered:
         self.within = list(within)
         self.order = list(order)
         table = staged(df)
-        self.small = table.count() <= small_rows
+        self.small = row_count(table) <= small_rows
         full_order = [*[F.col(c) for c in self.within], *self.order]
         self.df = table if self.small else _blocks(table, full_order)
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 
 def scratch_path(spark: SparkSession) -> str:
@@ -42,12 +42,20 @@ def staged(df: DataFrame) -> DataFrame:
         return df
     spark = df.sparkSession
     path = new_scratch(spark, "stage")
-    df.write.parquet(path)
+    # Counted in the result stage of the write, so once per partition.
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
-    table._is_staged = True
+    table._is_staged, table._rows = True, seen.get["rows"]
     return table
 
 
+def row_count(df: DataFrame) -> int:
+    """Rows of ``df``; known without a job for a staged table."""
+    known = getattr(df, "_rows", None)
+    return df.count() if known is None else known
+
+
 def literal_rows(spark: SparkSession, column: str, values: list[str]) -> DataFrame:
     """A one-column table of a few given strings, planned without a Python source."""
     if not values:

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from ..operators.audit import verify_outputs
-from ..plans import staged
+from ..plans import row_count, staged
 from ..functions.fingerprint import LANES, identity, lane_sums, row_digest, table_identity
 from ..sources import textformat
 from ..sources.catalog import LEDGER_DDL, LEDGER_ENDING
@@ -95,7 +95,7 @@ def _write_observed(df: DataFrame, target: str, fmt: str, max_records: int) -> t
 
 def _write_ledger(spark: SparkSession, root: str, table: str, version: str) -> DataFrame:
     parts = staged(walk(spark, root, [f"{table}/{version}"], levels=0))
-    files = max(1, -(-parts.count() // LEDGER_ROWS_PER_FILE))
+    files = max(1, -(-row_count(parts) // LEDGER_ROWS_PER_FILE))
     entries = hashed(parts, root).select(F.lit(table).alias("output"), "path", "size", "sha256")
     path = f"{root}/{table}/{version}{LEDGER_ENDING}"
     textformat.write(entries.repartition(files), path, "parquet")

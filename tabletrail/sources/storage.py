@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..plans import literal_rows, staged
+from ..plans import literal_rows, row_count, staged
 
 CHUNK = 1 << 20
 
@@ -130,7 +130,7 @@ def _spread(df: DataFrame) -> DataFrame:
     execution would merge these small rows into one task.
     """
     most = df.sparkSession.sparkContext.defaultParallelism * 3
-    return df.repartition(max(1, min(df.count(), most)), "path")
+    return df.repartition(max(1, min(row_count(df), most)), "path")
 
 
 def walk(spark: SparkSession, root: str, folders: list[str], *, levels: int = 2) -> DataFrame:
@@ -244,6 +244,7 @@ def identify(paths: DataFrame, root: str) -> DataFrame:
             batch["sha256"] = [_hash_one(p) if p else None for p in batch["path"]]
             yield batch[["input", "part", "whole", "size", "sha256"]]
 
+    named._rows = row_count(parts)
     digests = _spread(named).mapInPandas(run, "input string, part string, whole boolean, size bigint, sha256 string")
     row = row_digest(digests.select("part", "size", "sha256").schema)
     grouped = digests.withColumn("_digest", row).groupBy("input").agg(

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 import decimal
-import functools
 
 from pyspark.sql import DataFrame, DataFrameReader, SparkSession, types as T
 
@@ -74,27 +73,34 @@ def _sample(dtype: T.DataType):
     return _SAMPLES.get(type(dtype))
 
 
-@functools.lru_cache(maxsize=None)
-def _survives(type_json: str, fmt: str) -> bool:
-    """Write one value of the type, read it back, compare. Remembered per type."""
-    spark = SparkSession.getActiveSession()
-    dtype = T._parse_datatype_json_string(type_json)
-    value = _sample(dtype)
-    schema = T.StructType([T.StructField("x", dtype)])
+# Verdicts already reached: (type, format) -> survives.
+_VERDICTS: dict[tuple[str, str], bool] = {}
+
+
+def _round_trip(spark: SparkSession, dtypes: list[T.DataType], fmt: str) -> list[bool]:
+    """Write one value of each type in one row, read it back, compare."""
+    schema = T.StructType([T.StructField(f"c{i}", d) for i, d in enumerate(dtypes)])
+    values = [_sample(d) for d in dtypes]
+    path = new_scratch(spark, "gate")
+    write(spark.createDataFrame([tuple(values)], schema).coalesce(1), path, fmt)
+    back = reader(spark, schema, fmt).load(path)
+    same = [back.schema[f.name].dataType == f.dataType for f in schema.fields]
+    # Text would also "restore" a type for which we know no telling value.
+    return [t and b == v and (v is not None or fmt != "csv") for t, b, v in zip(same, back.first(), values)]
+
+
+def _probe(spark: SparkSession, dtypes: list[T.DataType], fmt: str) -> list[bool]:
     try:
-        path = new_scratch(spark, "gate")
-        frame = spark.createDataFrame([(value,)], schema).coalesce(1)
-        write(frame, path, fmt)
-        back = reader(spark, schema, fmt).load(path)
-        if back.schema["x"].dataType != dtype:
-            return False
-        # Text would also "restore" a type for which we know no telling value.
-        return back.first()[0] == value and (value is not None or fmt != "csv")
+        return _round_trip(spark, dtypes, fmt)
     except Exception:
-        return False
+        # One refused type fails the whole row: try them one by one.
+        return [False] if len(dtypes) == 1 else [_probe(spark, [d], fmt)[0] for d in dtypes]
 
 
 def unrestorable_columns(schema: T.StructType, fmt: str) -> list[tuple[str, str]]:
     """(name, type) of every column a published table could not give back."""
-    SparkSession.active()
-    return [(f.name, f.dataType.simpleString()) for f in schema.fields if not _survives(f.dataType.json(), fmt)]
+    unknown = {f.dataType.json(): f.dataType for f in schema.fields if (f.dataType.json(), fmt) not in _VERDICTS}
+    if unknown:
+        verdicts = _probe(SparkSession.active(), list(unknown.values()), fmt)
+        _VERDICTS.update({(key, fmt): verdict for key, verdict in zip(unknown, verdicts)})
+    return [(f.name, f.dataType.simpleString()) for f in schema.fields if not _VERDICTS[f.dataType.json(), fmt]]
