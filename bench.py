@@ -13,6 +13,7 @@ import sys
 import time
 
 from tabletrail import suite
+from tabletrail.plans import release_scratch
 from tabletrail.session import local_session
 
 HEADLINE = [
@@ -47,6 +48,7 @@ def main() -> None:
         "metric": "total seconds of headline queries", "value": round(sum(times.values()), 3), "unit": "sec",
         "queries": times, "sf": folder.rstrip("/").rsplit("sf", 1)[-1],
     }))
+    release_scratch(spark)
     spark.stop()
 
 

@@ -27,7 +27,7 @@ def verify_outputs(recorded: DataFrame, current: DataFrame) -> DataFrame:
     ``recorded(artifact, path, filename, size, sha256)``; ``current(path, size,
     sha256)``, where a hash is needed only for files of the recorded size.
     """
-    joined = lookup(recorded, current, ["path"], rename={"size": "_size", "sha256": "_sha"}, flag="_found")
+    joined = lookup(recorded, current, ["path"], rename={"size": "_size", "sha256": "_sha"}, flag="_found", unique=True)
     name = F.col("filename")
     message = (
         F.when(F.col("_found").isNull(), M.filled(M.OUTPUT_MISSING, name))

@@ -144,7 +144,8 @@ def vector_types(elements: DataFrame, list_id: str = "list_id", kind: str = "typ
     missing is boolean, as in R. An integer beyond 32 bits makes the list double.
     """
     is_kind = {k: F.count_if(F.col(kind) == k) for k in ("boolean", "integer", "double", "string", "null")}
-    wide = F.count_if((F.col(kind) == "integer") & ~F.try_to_number(F.col(value), F.lit("S9999999999999999999")).between(INT32_MIN, INT32_MAX))
+    fits = F.coalesce(F.expr(f"try_cast(`{value}` as int)").between(INT32_MIN, INT32_MAX), F.lit(False))
+    wide = F.count_if((F.col(kind) == "integer") & ~fits)
     seen = elements.groupBy(list_id).agg(
         F.count(F.lit(1)).alias("length"), wide.alias("_wide"), *[c.alias(f"_{k}") for k, c in is_kind.items()]
     )
@@ -169,7 +170,7 @@ def typed_elements(elements: DataFrame, list_id: str = "list_id", kind: str = "t
     typed = lookup(elements, vector_types(elements, list_id, kind, value), [list_id])
 
     def as_type(name: str, sql_type: str):
-        return F.when(F.col("vector_type") == name, F.expr(f"try_cast({value} as {sql_type})"))
+        return F.when(F.col("vector_type") == name, F.expr(f"try_cast(`{value}` as {sql_type})"))
 
     return typed.withColumns(
         {
@@ -200,6 +201,9 @@ def parse_nested(df: DataFrame, column: str, name: str = "parsed") -> DataFrame:
     The schema is aggregated over the whole column. Where rows disagree (a
     boolean beside a number, say) the field stays a variant and is not coerced.
     """
+    kind = df.schema[column].dataType
+    if not isinstance(kind, T.StringType):
+        raise ExchangeError(f"column {column!r} has type {kind.simpleString()}, not JSON text")
     parsed = F.parse_json(column)
     ddl = df.agg(F.expr(f"schema_of_variant_agg(parse_json(`{column}`))")).first()[0]
     spark_type = ddl.replace("OBJECT<", "STRUCT<")

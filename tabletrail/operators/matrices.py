@@ -6,10 +6,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.numbers import column_major_cell, column_major_index, missing_to_null
 from ..plans import lookup
+from .exchange import ExchangeError
 from .summaries import first_match, group_moments
 
 # Positions per block of the distance job: 512 x 512 doubles are 2 MiB per task.
@@ -29,6 +30,9 @@ def wide_from_long(df: DataFrame, feature: str, sample: str, value: str, samples
 
 def long_from_arrays(df: DataFrame, row: str, values: str, *, column_name: str = "j", value_name: str = "value") -> DataFrame:
     """One row per array element, positions from 0."""
+    kind = df.schema[values].dataType
+    if not isinstance(kind, T.ArrayType):
+        raise ExchangeError(f"column {values!r} has type {kind.simpleString()}, not an array; use long_from_wide() for columns")
     return df.select(row, F.posexplode(values).alias(column_name, value_name))
 
 
@@ -44,6 +48,17 @@ def matrix_from_vector(df: DataFrame, position: str, value: str, axes: Sequence[
     return df.select(*[c.alias(n) for c, (n, _) in zip(cells, axes)], F.col(value))
 
 
+def complete_matrix(df: DataFrame, value: str) -> DataFrame:
+    """The cells as they are, or an error when one that is not a float is missing.
+
+    Only floating point values have a NaN to stand for a missing cell.
+    """
+    floating = isinstance(df.schema[value].dataType, (T.DoubleType, T.FloatType))
+    if not floating and not df.filter(F.col(value).isNull()).isEmpty():
+        raise ExchangeError(f"{value!r} has missing cells, which its type cannot express in a matrix; cast it to double or keep it as a table")
+    return df
+
+
 def align_samples(matrix: DataFrame, phenotype: DataFrame, sample: str = "sample", position: str | None = None) -> DataFrame:
     """Keep samples known to both sides and attach the phenotype.
 
@@ -58,9 +73,9 @@ def align_samples(matrix: DataFrame, phenotype: DataFrame, sample: str = "sample
 def row_zscores(long: DataFrame, feature: str, value: str, *, epsilon: float = 1e-9) -> DataFrame:
     """Add ``z``: deviation from the feature mean over (population sd + epsilon)."""
     moments = group_moments(long, feature, value)
-    moments = moments.select(feature, F.col("mean").alias("_mean"), F.col("sd_pop").alias("_sd"))
     z = (missing_to_null(F.col(value)) - F.col("_mean")) / (F.col("_sd") + F.lit(epsilon))
-    return lookup(long, moments, [feature]).withColumn("z", z).drop("_mean", "_sd")
+    attached = lookup(long, moments, [feature], rename={"mean": "_mean", "sd_pop": "_sd"}, weight="n_rows")
+    return attached.withColumn("z", z).drop("_mean", "_sd")
 
 
 def position_distances(df: DataFrame, values: str, width: int, *, block: int = DISTANCE_BLOCK) -> DataFrame:
@@ -71,6 +86,9 @@ def position_distances(df: DataFrame, values: str, width: int, *, block: int = D
     blocks over its own rows and emits that partial matrix once; no pair of rows
     is ever formed and memory does not grow with the number of rows.
     """
+    # Each task emits one partial matrix, so more tasks than a few per core would
+    # only add partial results to merge.
+    df = df.coalesce(df.sparkSession.sparkContext.defaultParallelism * 4)
     starts = range(0, width, block)
     partials = [
         _block_partials(df, values, a, min(block, width - a), b, min(block, width - b))
@@ -85,11 +103,12 @@ def position_distances(df: DataFrame, values: str, width: int, *, block: int = D
 def _block_partials(df: DataFrame, values: str, a: int, a_len: int, b: int, b_len: int) -> DataFrame:
     left = F.slice(values, a + 1, a_len).cast("array<double>").alias("left")
     right = F.slice(values, b + 1, b_len).cast("array<double>").alias("right")
+    sides = ["left"] if a == b else ["left", "right"]
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((a_len, b_len))
         for batch in batches:
-            x, y = np.stack(batch["left"].to_numpy()), np.stack(batch["right"].to_numpy())
+            x, y = (np.stack(batch[side].to_numpy()) for side in (sides[0], sides[-1]))
             for i in range(a_len):
                 difference = y - x[:, i : i + 1]
                 total[i] += np.einsum("rj,rj->j", difference, difference)
@@ -97,4 +116,5 @@ def _block_partials(df: DataFrame, values: str, a: int, a_len: int, b: int, b_le
         keep = i < j
         yield pd.DataFrame({"i": i[keep], "j": j[keep], "ss": total[keep]})
 
-    return df.select(left, right).mapInPandas(sums, "i bigint, j bigint, ss double")
+    columns = [left] if a == b else [left, right]
+    return df.select(*columns).mapInPandas(sums, "i bigint, j bigint, ss double")

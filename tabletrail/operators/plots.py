@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.numbers import minus_log10, missing_to_null
-from ..plans import Ordered, lookup, staged
+from ..plans import Ordered, lookup, row_count, staged
 from .matrices import row_zscores
 from .summaries import significance_calls, with_palette
 
@@ -19,57 +19,91 @@ DODGE_WIDTH = 0.8
 # ------------------------------------------------------------------------------
 
 
-def quantiles(df: DataFrame, group: str, value: str, probabilities: Sequence[float] = QUARTILES, *, small_rows: int | None = None) -> DataFrame:
-    """Exact linearly interpolated quantiles per group: ``q0``, ``q1``, ...
+def quantiles(df: DataFrame, group: str, value: str, probabilities: Sequence[float] = QUARTILES, *, accuracy: int = 10_000, small_rows: int | None = None) -> DataFrame:
+    """Exact linearly interpolated quantiles per group: ``n``, ``q0``, ``q1``, ...
 
-    Works on distinct (group, value) counts. A running count over the sorted
-    values locates the two neighbours of each quantile, so no group is gathered
-    and a value that fills a third of the table is one row.
+    A first pass sketches a narrow bracket around each quantile. A second pass
+    counts the rows below each bracket and the distinct values inside it, which
+    is all that is shuffled. A running count over those finds the two neighbours
+    of each quantile. Groups that a bracket should miss are counted in full.
     """
-    counts = _value_counts(df, group, value)
-    return _quantiles_of_counts(counts, group, probabilities, small_rows)
+    rows = _present(df, group, value)
+    margin = 4.0 / accuracy
+    ends = [p for q in probabilities for p in (max(q - margin, 0.0), min(q + margin, 1.0))]
+    sketch = F.percentile_approx("_v", F.array(*[F.lit(p) for p in ends]), F.lit(accuracy))
+    brackets = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_size"), sketch.alias("_ends"))
+    open_ended = [(q - margin <= 0, q + margin >= 1) for q in probabilities]
+    columns = []
+    for i, (no_low, no_high) in enumerate(open_ended):
+        columns.append((F.lit(float("-inf")) if no_low else F.col("_ends")[2 * i]).alias(f"_low{i}"))
+        columns.append((F.lit(float("inf")) if no_high else F.col("_ends")[2 * i + 1]).alias(f"_high{i}"))
+    brackets = staged(brackets.select(group, "_size", *columns))
+    sizes = brackets.select(group, "_size")
+    found = staged(_neighbours(_bracketed(rows, brackets, group, len(probabilities)), sizes, group, probabilities, small_rows))
+    missed = staged(found.filter(F.size("_picks") < 2 * len(probabilities)).select(group, "_size"))
+    if row_count(missed):
+        kept = found.filter(F.size("_picks") == 2 * len(probabilities))
+        again = lookup(rows, missed, [group], "inner", rename={}, weight="_size")
+        whole = again.select(group, F.posexplode(F.array(*[F.col("_v")] * len(probabilities))).alias("_q", "_v"))
+        counts = whole.groupBy(group, "_q", "_v").agg(F.count(F.lit(1)).alias("_n"))
+        found = kept.unionByName(_neighbours(counts, missed, group, probabilities, small_rows))
+    results = []
+    for i, q in enumerate(probabilities):
+        at = (F.col("_size") - 1) * F.lit(float(q))
+        low, high = F.col("_picks")[2 * i], F.col("_picks")[2 * i + 1]
+        results.append((low + (high - low) * (at - F.floor(at))).alias(f"q{i}"))
+    return found.select(group, F.col("_size").alias("n"), *results)
 
 
-def _value_counts(df: DataFrame, group: str, value: str) -> DataFrame:
-    present = missing_to_null(F.col(value).cast("double"))
-    rows = df.select(group, present.alias("_v")).filter("_v is not null")
-    return staged(rows.groupBy(group, "_v").agg(F.count(F.lit(1)).alias("_n")))
+def _present(df: DataFrame, group: str, value: str) -> DataFrame:
+    return df.select(group, missing_to_null(F.col(value).cast("double")).alias("_v")).filter("_v is not null")
 
 
-def _quantiles_of_counts(counts: DataFrame, group: str, probabilities, small_rows) -> DataFrame:
+def _bracketed(rows: DataFrame, brackets: DataFrame, group: str, n: int) -> DataFrame:
+    """Counts per (group, quantile, value inside the bracket); null for all values below."""
+    keep = {c: c for c in brackets.columns if c not in (group, "_size")} | {"_size": "_size"}
+    joined = lookup(rows, brackets, [group], "inner", rename=keep, weight="_size")
+    entries = []
+    for i in range(n):
+        seat = F.when(F.col("_v") <= F.col(f"_high{i}"), F.lit(i))
+        inside = F.when(F.col("_v") >= F.col(f"_low{i}"), F.col("_v"))
+        entries.append(F.struct(seat.alias("_q"), inside.alias("_v")))
+    spread = joined.select(group, F.explode(F.array(*entries)).alias("_e")).filter("_e._q is not null")
+    return spread.groupBy(group, F.col("_e._q").alias("_q"), F.col("_e._v").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def _neighbours(counts: DataFrame, sizes: DataFrame, group: str, probabilities: Sequence[float], small_rows: int | None) -> DataFrame:
+    """``_picks``: the values at the floor and ceiling position of each quantile, in order."""
     options = {} if small_rows is None else {"small_rows": small_rows}
-    running = Ordered(counts, [F.col("_v")], [group], **options).total("_n", "_upto").result()
-    sizes = counts.groupBy(group).agg(F.sum("_n").alias("_size"))
-    placed = lookup(running, sizes, [group])
-    picks = []
-    for i, q in enumerate(probabilities):
-        at = (F.col("_size") - 1) * F.lit(float(q))
-        for side, seat in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            here = (seat < F.col("_upto")) & (seat >= F.col("_upto") - F.col("_n"))
-            picks.append(F.max(F.when(here, F.col("_v"))).alias(f"_{side}{i}"))
-    found = placed.groupBy(group, "_size").agg(*picks)
-    columns = []
-    for i, q in enumerate(probabilities):
-        at = (F.col("_size") - 1) * F.lit(float(q))
-        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        columns.append((lo + (hi - lo) * (at - F.floor(at))).alias(f"q{i}"))
-    return found.select(group, F.col("_size").alias("n"), *columns)
+    running = Ordered(counts, [F.col("_v").asc_nulls_first()], [group, "_q"], **options).total("_n", "_upto").result()
+    placed = lookup(running, sizes, [group], "inner").filter("_v is not null")
+    q = F.element_at(F.array(*[F.lit(float(p)) for p in probabilities]), F.col("_q") + 1)
+    at = (F.col("_size") - 1) * q
+    first, last = F.col("_upto") - F.col("_n"), F.col("_upto") - 1
+    seats = F.array(
+        *[F.when(seat.between(first, last), F.struct((2 * F.col("_q") + side).alias("s"), F.col("_v").alias("v"))) for side, seat in enumerate((F.floor(at), F.ceil(at)))]
+    )
+    picked = placed.select(group, "_size", F.explode(seats).alias("_s")).filter("_s is not null")
+    # At most two values per quantile and group.
+    ordered = F.transform(F.sort_array(F.collect_list("_s")), lambda s: s["v"])
+    found = picked.groupBy(group, "_size").agg(ordered.alias("_picks"))
+    return lookup(sizes, found, [group], rename={"_picks": "_picks"}, unique=True).withColumn("_picks", F.coalesce("_picks", F.array().cast("array<double>")))
 
 
 def box_summary(df: DataFrame, group: str, value: str, *, small_rows: int | None = None) -> DataFrame:
     """Quartiles, whisker ends and outlier count per group."""
-    counts = _value_counts(df, group, value)
-    quartiles = staged(_quantiles_of_counts(counts, group, QUARTILES, small_rows))
-    reach = (F.col("q2") - F.col("q0")) * WHISKER_REACH
-    inside = F.col("_v").between(F.col("q0") - reach, F.col("q2") + reach)
-    named = [F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3")]
+    rows = _present(df, group, value)
+    quartiles = staged(quantiles(df, group, value, small_rows=small_rows))
+    named = {"n": "n", "q0": "q1", "q1": "median", "q2": "q3"}
+    reach = (F.col("q3") - F.col("q1")) * WHISKER_REACH
+    inside = F.col("_v").between(F.col("q1") - reach, F.col("q3") + reach)
     return (
-        lookup(counts, quartiles, [group])
-        .groupBy(group, "n", *named)
+        lookup(rows, quartiles, [group], "inner", rename=named, weight="n")
+        .groupBy(group, *named.values())
         .agg(
             F.min(F.when(inside, F.col("_v"))).alias("whisker_low"),
             F.max(F.when(inside, F.col("_v"))).alias("whisker_high"),
-            F.coalesce(F.sum(F.when(~inside, F.col("_n"))), F.lit(0)).alias("n_outliers"),
+            F.count_if(~inside).alias("n_outliers"),
         )
     )
 

@@ -71,10 +71,11 @@ def group_zscores(df: DataFrame, group: str, value: str, *, cutoff: float = 2.0,
     if not skip_missing:
         whole = F.col("n") == F.col("n_rows")
         moments = moments.withColumns({c: F.when(whole, F.col(c)) for c in ("mean", "sd")})
-    moments = moments.select(group, F.col("mean").alias("_mean"), F.nullif(F.col("sd"), F.lit(0.0)).alias("_sd"))
+    spread = F.nullif(F.col("sd"), F.lit(0.0))
+    moments = moments.select(group, "n_rows", F.col("mean").alias("_mean"), spread.alias("_sd"))
     z = (missing_to_null(F.col(value)) - F.col("_mean")) / F.col("_sd")
     return (
-        lookup(df, moments, [group])
+        lookup(df, moments, [group], rename={"_mean": "_mean", "_sd": "_sd"}, weight="n_rows")
         .withColumn("z_score", z)
         .withColumn("is_outlier", F.abs("z_score") > cutoff)
         .drop("_mean", "_sd")

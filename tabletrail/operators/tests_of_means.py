@@ -81,6 +81,6 @@ def adjust_p_values(df: DataFrame, p: str, name: str = "adj_p_value", *, small_r
         .with_column("_raw", F.col("_p") * F.lit(float(total)) / rank)
         .minimum("_raw", "_low")
         .result()
-        .select("_p", F.least(F.col("_low"), F.lit(1.0)).alias(name))
+        .select("_p", "_n", F.least(F.col("_low"), F.lit(1.0)).alias(name))
     )
-    return lookup(df.withColumn("_p", value), adjusted, ["_p"]).drop("_p")
+    return lookup(df.withColumn("_p", value), adjusted, ["_p"], rename={name: name}, weight="_n").drop("_p")

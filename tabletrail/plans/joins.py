@@ -6,11 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .staging import row_count, staged
+from .staging import staged
 
-# A lookup side is narrow (keys plus a few numbers or hashes), so this many rows
-# is a few tens of megabytes on each executor.
+# A lookup table is broadcast only below both limits, measured while staging it.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 # A key is hot when it holds more than 1/HOT_SHARE of all rows, hence there are
 # at most HOT_SHARE hot keys and their list can always be broadcast.
@@ -25,25 +25,38 @@ def lookup(
     *,
     rename: dict[str, str] | None = None,
     flag: str | None = None,
+    weight: str | None = None,
+    unique: bool = False,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Join ``table`` (one row per key, null is a key) to ``rows``.
 
-    The table is staged and counted first. Up to ``broadcast_rows`` it is
-    broadcast and ``rows`` is not shuffled at all. Beyond that both sides are
+    The table is staged and measured first. Up to ``broadcast_rows`` and
+    ``BROADCAST_BYTES`` it is broadcast and ``rows`` is not shuffled at all. Beyond that both sides are
     shuffled on the key, with every hot key of ``rows`` split over many tasks.
 
     ``rename`` picks and renames the attached columns (all, unchanged); ``flag``
-    adds a column that is true where a key was found.
+    adds a column that is true where a key was found. ``weight`` names a table
+    column that already holds the rows per key, which saves counting them.
+    ``unique`` says that ``rows`` has no hot keys either.
     """
     on = list(on)
     table = staged(table)
-    small = row_count(table) <= broadcast_rows
+    small = table._rows <= broadcast_rows and table._bytes <= BROADCAST_BYTES
     rename = {c: c for c in table.columns if c not in on} if rename is None else rename
     columns = [F.col(_q(old)).alias(new) for old, new in rename.items()]
     columns += [F.lit(True).alias(flag)] if flag else []
-    table = table.select(*[F.col(_q(c)) for c in on], *columns)
-    return _null_safe_join(rows, F.broadcast(table), on, how) if small else _salted_join(rows, table, on, how)
+    attached = table.select(*[F.col(_q(c)) for c in on], *columns)
+    if small:
+        return _null_safe_join(rows, F.broadcast(attached), on, how)
+    if unique:
+        return _null_safe_join(rows, attached, on, how)
+    keys = [F.col(_q(c)) for c in on]
+    if weight is not None:
+        counts = table.select(*keys, F.col(_q(weight)).alias("_rows"))
+    else:
+        counts = staged(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")))
+    return _salted_join(rows, attached, counts, on, how)
 
 
 def _null_safe_join(rows: DataFrame, table: DataFrame, on: list[str], how: str) -> DataFrame:
@@ -58,14 +71,12 @@ def _null_safe_join(rows: DataFrame, table: DataFrame, on: list[str], how: str)
     return joined.drop(*[f"_key_{c}" for c in on]) if how not in ("left_semi", "left_anti") else joined
 
 
-def _salted_join(rows: DataFrame, table: DataFrame, on: list[str], how: str) -> DataFrame:
+def _salted_join(rows: DataFrame, table: DataFrame, counts: DataFrame, on: list[str], how: str) -> DataFrame:
     """Shuffle join in which hot keys of ``rows`` are spread over salts."""
-    counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
-    counts = staged(counts)
     total = counts.agg(F.sum("_rows")).first()[0] or 0
     share = max(1, total // HOT_SHARE)
     hot = counts.filter(F.col("_rows") > share).select(
-        *on, F.ceil(F.col("_rows") / F.lit(share)).cast("int").alias("_salts")
+        *[F.col(_q(c)) for c in on], F.ceil(F.col("_rows") / F.lit(share)).cast("int").alias("_salts")
     )
     # At most HOT_SHARE rows by construction.
     salted_rows = _null_safe_join(rows, F.broadcast(hot), on, "left").withColumn(

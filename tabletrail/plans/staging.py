@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 
 def scratch_path(spark: SparkSession) -> str:
@@ -28,25 +28,52 @@ def scratch_path(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+_made: set[str] = set()
+
+
 def new_scratch(spark: SparkSession, label: str) -> str:
     """A fresh, unused path below the scratch folder."""
-    return f"{scratch_path(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_path(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.add(path)
+    return path
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Delete every scratch path this process made. No result built on them is usable afterwards."""
+    conf = spark._jsc.hadoopConfiguration()
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+def _row_bytes(schema: T.StructType) -> Column:
+    """Approximate bytes of a row in memory."""
+    total = F.lit(8 * len(schema.fields)).cast("bigint")
+    for field in schema.fields:
+        column = F.col("`" + field.name.replace("`", "``") + "`")
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            total = total + F.coalesce(F.octet_length(column), F.lit(0))
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+            total = total + F.coalesce(F.octet_length(F.to_json(column)), F.lit(0))
+    return total
 
 
 def staged(df: DataFrame) -> DataFrame:
     """Write ``df`` once and return a scan of the written table.
 
-    A table that :func:`staged` itself returned is passed through.
+    Rows and bytes are measured on the way. A table that :func:`staged` itself
+    returned is passed through.
     """
     if getattr(df, "_is_staged", False):
         return df
     spark = df.sparkSession
     path = new_scratch(spark, "stage")
-    # Counted in the result stage of the write, so once per partition.
+    # Measured in the result stage of the write, so once per partition.
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    measures = F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(_row_bytes(df.schema)), F.lit(0)).alias("bytes")
+    df.observe(seen, *measures).write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
-    table._is_staged, table._rows = True, seen.get["rows"]
+    table._is_staged, table._rows, table._bytes = True, seen.get["rows"], seen.get["bytes"]
     return table
 
 

@@ -15,4 +15,7 @@ def spark():
     session = local_session("tabletrail-tests", cores=4, **{"spark.driver.memory": "4g"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from tabletrail.plans import release_scratch
+
+    release_scratch(session)
     session.stop()

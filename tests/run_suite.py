@@ -10,6 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from compare import connect, differences  # noqa: E402
 
 from tabletrail import suite  # noqa: E402
+from tabletrail.plans import release_scratch  # noqa: E402
 from tabletrail.session import local_session  # noqa: E402
 
 if __name__ == "__main__":
@@ -31,3 +32,4 @@ if __name__ == "__main__":
         bad += [] if good else [name]
         print(f"{'ok ' if good else 'BAD'} {name} {time.time() - start:.2f}s {outcome or ''}", flush=True)
     print("bad:", bad)
+    release_scratch(spark)

@@ -53,6 +53,24 @@ def test_running_aggregates(spark, small_rows):
     assert list(want.groupby("g")["x"].cummin()) == list(want["m"])
 
 
+def test_wide_lookup_rows_are_not_broadcast(spark, monkeypatch):
+    from tabletrail.plans import joins
+
+    rows = spark.range(100).withColumnRenamed("id", "k")
+    table = rows.withColumn("text", F.repeat(F.lit("x"), 1000))
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 10_000)
+    assert "ResolvedHint" not in lookup(rows, table, ["k"], unique=True)._jdf.queryExecution().analyzed().toString()
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 1_000_000)
+    assert "ResolvedHint" in lookup(rows, table, ["k"], unique=True)._jdf.queryExecution().analyzed().toString()
+
+
+def test_staged_measures_and_empty_tables(spark):
+    table = staged(spark.createDataFrame([("é", [1]), (None, None)], "s string, a array<int>"))
+    assert table._rows == 2 and table._bytes == 2 * 16 + 2 + 3
+    for empty in (spark.range(0).toDF("x"), spark.createDataFrame([], "x int"), spark.range(5).filter("id > 9")):
+        assert staged(empty)._rows == 0 and staged(empty).count() == 0
+
+
 def test_staged_tables_pass_through(spark):
     once = staged(spark.range(3).toDF("x"))
     assert staged(once) is once

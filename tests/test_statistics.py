@@ -129,6 +129,33 @@ def test_quantiles_and_box(spark, small_rows):
         assert row["n_outliers"] == len(values) - len(inside) and row["n"] == len(values)
 
 
+def test_quantiles_survive_a_useless_sketch(spark):
+    """Brackets that miss the quantile must be noticed and replaced."""
+    rng = np.random.default_rng(11)
+    frame = pd.DataFrame({"g": np.repeat(["a", "b"], 4000), "v": rng.exponential(size=8000).round(3)})
+    df = spark.createDataFrame(frame).repartition(7)
+    for probabilities in ([0.0, 0.3, 1.0], [0.5]):
+        for accuracy in (10_000, 10**9):
+            got = plots.quantiles(df, "g", "v", probabilities, accuracy=min(accuracy, 2**31 - 1)).toPandas().set_index("g")
+            for g, values in frame.groupby("g")["v"]:
+                want = np.quantile(values, probabilities)
+                assert [got.loc[g, f"q{i}"] for i in range(len(want))] == pytest.approx(want)
+
+
+def test_missed_brackets_are_counted_in_full(spark, monkeypatch):
+    frame = pd.DataFrame({"g": ["a"] * 500 + ["b"] * 300, "v": np.arange(800.0)})
+    df = spark.createDataFrame(frame)
+    exact = {r["g"]: r for r in plots.quantiles(df, "g", "v").collect()}
+    whole = plots._bracketed
+
+    def blind(rows, brackets, group, n):
+        return whole(rows, brackets, group, n).filter("g <> 'b' or _v is null")
+
+    monkeypatch.setattr(plots, "_bracketed", blind)
+    assert {r["g"]: r for r in plots.quantiles(df, "g", "v").collect()} == exact
+    assert exact["b"]["q1"] == 649.5
+
+
 def test_zscores_follow_missing_value_rules(spark):
     rows = [("a", 1.0), ("a", 3.0), ("b", 5.0), ("c", 2.0), ("c", 2.0), ("d", 1.0), ("d", None), (None, 1.0), (None, 2.0)]
     df = spark.createDataFrame(rows, "g string, v double")
@@ -233,6 +260,15 @@ def test_wide_and_long(spark):
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, wide.collect()))
 
 
+def test_shapes_are_checked(spark):
+    df = spark.createDataFrame([(1, 1.0), (2, None)], "i int, x double")
+    with pytest.raises(TypeError, match="long_from_wide"):
+        matrices.long_from_arrays(df, "i", "x")
+    assert matrices.complete_matrix(df, "x") is df
+    with pytest.raises(TypeError, match="missing cells"):
+        matrices.complete_matrix(df.selectExpr("i", "cast(x as int) x"), "x")
+
+
 def test_three_axis_layout(spark):
     cube = np.arange(24).reshape(2, 3, 4)
     cells = [(int(i), int(j), int(k), int(cube[i, j, k])) for i in range(2) for j in range(3) for k in range(4)]
