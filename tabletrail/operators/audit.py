@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import messages as M
 from ..functions.text import parent
-from ..plans import lookup, staged
+from ..plans import bounded_by, lookup, staged
 from .lineage import UNNAMED
 
 PROBLEM_COLUMNS = ("artifact", "severity", "message")
@@ -74,8 +74,9 @@ def identity_of_shared(manifests: DataFrame, producers: DataFrame) -> DataFrame:
     ``manifests(artifact, notebook, code_sha256)``; ``producers(notebook, cell, code_sha256)``.
     """
     producers = staged(producers)
-    joined = lookup(manifests, producers.select("notebook").distinct(), ["notebook"], flag="_readable")
-    hashes = producers.select("notebook", "code_sha256").distinct()
+    readable = bounded_by(producers.select("notebook").distinct(), producers)
+    joined = lookup(manifests, readable, ["notebook"], flag="_readable")
+    hashes = bounded_by(producers.select("notebook", "code_sha256").distinct(), producers)
     joined = lookup(joined, hashes, ["notebook", "code_sha256"], flag="_match")
     notebook = F.col("notebook")
     message = F.when(F.col("_readable").isNull(), M.filled(M.CELLS_UNREADABLE, notebook)).when(
@@ -93,8 +94,10 @@ def identity_of_preserved(manifests: DataFrame, producers: DataFrame) -> DataFra
     producers = staged(producers)
     named = producers.filter(F.col("cell") != UNNAMED)
     current = named.groupBy("notebook", "cell").agg(F.max_by("code_sha256", "position").alias("_sha"))
-    joined = lookup(manifests, producers.select("notebook").distinct(), ["notebook"], flag="_readable")
-    joined = lookup(joined, current.withColumnRenamed("cell", "id"), ["notebook", "id"], flag="_named")
+    readable = bounded_by(producers.select("notebook").distinct(), producers)
+    joined = lookup(manifests, readable, ["notebook"], flag="_readable")
+    current = bounded_by(current.withColumnRenamed("cell", "id"), producers)
+    joined = lookup(joined, current, ["notebook", "id"], flag="_named")
     name, notebook = F.col("id"), F.col("notebook")
     message = (
         F.when(F.col("_readable").isNull(), M.filled(M.CELLS_UNREADABLE, notebook))

@@ -31,9 +31,10 @@ def lookup(
 ) -> DataFrame:
     """Join ``table`` (one row per key, null is a key) to ``rows``.
 
-    The table is staged and measured first. Up to ``broadcast_rows`` and
-    ``BROADCAST_BYTES`` it is broadcast and ``rows`` is not shuffled at all. Beyond that both sides are
-    shuffled on the key, with every hot key of ``rows`` split over many tasks.
+    The table is staged and measured first (unless ``bounded_by`` tells its limits).
+    Up to ``broadcast_rows`` and ``BROADCAST_BYTES`` it is broadcast and ``rows`` is
+    not shuffled at all. Beyond that both sides are shuffled on the key, with every
+    hot key of ``rows`` split over many tasks.
 
     ``rename`` picks and renames the attached columns (all, unchanged); ``flag``
     adds a column that is true where a key was found. ``weight`` names a table
@@ -41,8 +42,10 @@ def lookup(
     ``unique`` says that ``rows`` has no hot keys either.
     """
     on = list(on)
-    table = staged(table)
-    small = table._rows <= broadcast_rows and table._bytes <= BROADCAST_BYTES
+    small = getattr(table, "_rows_limit", broadcast_rows + 1) <= broadcast_rows and table._bytes_limit <= BROADCAST_BYTES
+    if not small:
+        table = staged(table)
+        small = table._rows <= broadcast_rows and table._bytes <= BROADCAST_BYTES
     rename = {c: c for c in table.columns if c not in on} if rename is None else rename
     columns = [F.col(_q(old)).alias(new) for old, new in rename.items()]
     columns += [F.lit(True).alias(flag)] if flag else []

@@ -1,8 +1,8 @@
-"""Cut a plan by writing it to the shared scratch folder.
+"""Cut a plan at a measured intermediate table.
 
-A staged table is computed once and survives the loss of any executor. Being a
-Parquet scan, it also gives Catalyst a measured size and cheap row counts, and
-later readers prune its columns.
+A staged table is computed once, lies in the shared scratch folder, and so
+survives the loss of any executor. Its rows and bytes are measured on the way,
+which is what later decides whether it may be broadcast.
 """
 
 from __future__ import annotations
@@ -16,7 +16,10 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 def scratch_path(spark: SparkSession) -> str:
     """The folder ``spark.checkpoint.dir`` names; a temporary one only in local mode."""
     context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    configured = context.getConf().get("spark.checkpoint.dir")
+    if configured and not context.getCheckpointDir():
+        context.setCheckpointDir(configured)
+    folder = configured or context.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
     if not context.master.startswith("local"):
@@ -61,8 +64,9 @@ def _row_bytes(schema: T.StructType) -> Column:
 def staged(df: DataFrame) -> DataFrame:
     """Write ``df`` once and return a scan of the written table.
 
-    Rows and bytes are measured on the way. A table that :func:`staged` itself
-    returned is passed through.
+    Parquet rather than a checkpoint: the scan gives Catalyst a true size for its
+    own join choices, and later readers prune columns. A staged table is passed
+    through.
     """
     if getattr(df, "_is_staged", False):
         return df
@@ -77,6 +81,12 @@ def staged(df: DataFrame) -> DataFrame:
     return table
 
 
+def bounded_by(df: DataFrame, table: DataFrame) -> DataFrame:
+    """Mark ``df``, a projection of some rows of a staged ``table``, as no larger than it."""
+    df._rows_limit, df._bytes_limit = table._rows, table._bytes
+    return df
+
+
 def row_count(df: DataFrame) -> int:
     """Rows of ``df``; known without a job for a staged table."""
     known = getattr(df, "_rows", None)

@@ -12,7 +12,7 @@ def spark():
     from tabletrail.session import local_session
 
     warnings.filterwarnings("ignore")
-    session = local_session("tabletrail-tests", cores=4, **{"spark.driver.memory": "4g"})
+    session = local_session("tabletrail-tests", cores=os.cpu_count() or 4, **{"spark.driver.memory": "6g", "spark.sql.shuffle.partitions": "4", "spark.ui.showConsoleProgress": "false"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     from tabletrail.plans import release_scratch
