@@ -167,7 +167,7 @@ def typed_elements(elements: DataFrame, list_id: str = "list_id", kind: str = "t
 
     A list of length one is marked ``is_scalar``.
     """
-    typed = lookup(elements, vector_types(elements, list_id, kind, value), [list_id])
+    typed = lookup(elements, vector_types(elements, list_id, kind, value), [list_id], weight="length")
 
     def as_type(name: str, sql_type: str):
         return F.when(F.col("vector_type") == name, F.expr(f"try_cast(`{value}` as {sql_type})"))
