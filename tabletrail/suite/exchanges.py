@@ -10,14 +10,14 @@ from .registry import Tables, query
 
 
 @query(
-    """SELECT o_orderkey::INT AS o_orderkey, (o_orderkey * 1000000)::DOUBLE AS big, CASE WHEN o_totalprice > 100000 THEN o_totalprice END AS price,
+    """SELECT o_orderkey::INT AS o_orderkey, (o_orderkey * 1000000000)::DOUBLE AS big, CASE WHEN o_totalprice > 100000 THEN o_totalprice END AS price,
         o_orderstatus AS "order status", o_orderdate::DATE AS "order-date", o_totalprice > 250000 AS large FROM orders"""
 )
 def exchange_orders(t: Tables) -> DataFrame:
     nan = F.lit(float("nan"))
     table = t.orders.select(
         "o_orderkey",
-        (F.col("o_orderkey") * 1000000).alias("big"),
+        (F.col("o_orderkey") * 1000000000).alias("big"),  # beyond 32 bits at every scale
         F.when(F.col("o_totalprice") > 100000, F.col("o_totalprice")).otherwise(nan).alias("price"),
         F.col("o_orderstatus").alias("order status"),
         F.col("o_orderdate").cast("date").alias("order-date"),
