@@ -34,7 +34,7 @@ from .common import read
 
 PATH_DIM, WORD_DIM, HIDDEN = 192, 32, 16
 DIM = PATH_DIM + WORD_DIM + 4
-TRAIN_PAGES, EPOCHS, RATE, SEED = 800, 6, 0.01, 11
+TRAIN_PAGES, EPOCHS, RATE, SEED = 1000, 8, 0.01, 11
 STEP_ROOM = 1 << 14  # blocks of a padded batch; a longer page is a batch of its own
 
 # Elements of HTML.
@@ -322,10 +322,10 @@ def layout(rng: random.Random) -> str:
         return rng.choice([f"<blockquote>{MARK}{long}</blockquote>", f"<pre>{MARK}{long}</pre>", f"<table><tr><td>{MARK}{say(1, 9)}<td>{MARK}{say(1, 9)}</table>", f"<div>{MARK}{long}</div>", f"<section><p>{MARK}{long}</p></section>"])
 
     tag, attributes = rng.choice([("article", ""), ("article", ""), ("main", ""), ("div", f' class="{rng.choice(MAIN_NAMES)}"'), ("div", f' id="{rng.choice(MAIN_NAMES)}"'), ("section", f' class="{rng.choice(MAIN_NAMES)}"')])
-    body = [text() for _ in range(rng.randint(1, 14))]
+    body = [text() for _ in range(rng.randint(1, rng.choice([3, 14])))]
     for kind in rng.sample(["ad", "aside", "form", "share", "notice", "nav"], k=rng.choice([0, 0, 0, 1, 2])):
         body.insert(rng.randint(0, len(body)), side(kind))
-    heading = f"<h1>{MARK}{say(2, 14)}</h1>" if rng.random() < 0.8 else ""
+    heading = f"<h1>{MARK}{say(1, rng.choice([3, 14]))}</h1>" if rng.random() < 0.85 else ""
     article = f"<{tag}{attributes}>{heading}{''.join(body)}</{tag}>"
     if tag == "article" and rng.random() < 0.3:
         article = f'<main class="{rng.choice(MAIN_NAMES)}">{article}</main>'

@@ -36,7 +36,7 @@ BASE = 32
 HASHED = 256
 OWN = BASE * BASE - HASHED
 WIDTH, HIDDEN = 12, 24
-STRIDE, ROUNDS, BATCH, RATE, SEED = 8, 2, 2048, 0.01, 5
+STRIDE, ROUNDS, BATCH, RATE, SEED = 8, 2, 512, 0.01, 5
 SCALE = 1 << 16
 CHUNK = 1 << 15  # positions scored at once
 
@@ -172,7 +172,7 @@ def train(docs: DataFrame, words: list[str], rounds: int = ROUNDS, stride: int =
                         held.append((contexts(line)[picked], line[picked]))
                         waiting += len(picked)
                         positions += len(picked)
-                    if waiting >= 8 * BATCH:
+                    if waiting >= 32 * BATCH:
                         learn()
                         held.clear()
                         waiting = 0
