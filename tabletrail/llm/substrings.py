@@ -14,7 +14,8 @@ a document with a smaller id or earlier in the same one.
 4. Windows found earlier are spans; overlapping spans join and their words go.
 
 Only blocks, not windows, are shuffled, about one for eight words, and a hot anchor is
-first counted per task. Hashes have 64 bits, block contents 128.
+first counted per task. A block is known by two hashes of 64 bits, its anchor's and its
+content's, a window by two as well.
 
 Edge cases: a null or empty text has no words; texts shorter than a window lose nothing;
 rows with equal ids are equally early, so neither loses to the other at the same start,
@@ -41,7 +42,7 @@ SLICE = 1 << 20  # words worked on together
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
-_BLOCK = "a long, b long, c long, doc_id long, start int, windows int"
+_BLOCK = "a long, b long, doc_id long, start int, windows int"
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -59,7 +60,7 @@ def _rolling(values: np.ndarray, size: int, base: np.uint64) -> np.ndarray:
 
 
 def blocks(hashes: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Anchor hash, two content hashes, start and number of windows of each block of one text."""
+    """Anchor hash, content hash, start and number of windows of each block of one text."""
     runs = _rolling(hashes, K, _MIX)
     n = len(hashes) - SPAN + 1
     lowest = np.arange(n)
@@ -69,15 +70,11 @@ def blocks(hashes: np.ndarray) -> tuple[np.ndarray, ...]:
     starts = np.flatnonzero(np.concatenate(([True], lowest[1:] != lowest[:-1])))
     counts = np.diff(np.concatenate((starts, [n])))
     # A block is hashed as prefix sums times powers, so its length does not matter.
-    content = []
-    for base in (_MIX, _OTHER):
-        powers = np.cumprod(np.full(len(hashes), base, np.uint64))
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * powers)))
-        ends = starts + counts + SPAN - 1
-        inverse = np.uint64(pow(int(base), -1, 1 << 64))
-        back = np.cumprod(np.full(len(hashes), inverse, np.uint64))
-        content.append(_mixed((sums[ends] - sums[starts]) * back[starts] + counts.astype(np.uint64)).view(np.int64))
-    return runs[lowest[starts]].view(np.int64), content[0], content[1], starts, counts
+    powers = np.cumprod(np.full(len(hashes), _MIX, np.uint64))
+    back = np.cumprod(np.full(len(hashes), pow(int(_MIX), -1, 1 << 64), np.uint64))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * powers)))
+    content = _mixed((sums[starts + counts + SPAN - 1] - sums[starts]) * back[starts] + counts.astype(np.uint64))
+    return runs[lowest[starts]].view(np.int64), content.view(np.int64), starts, counts
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
@@ -100,7 +97,7 @@ def _frame(schema: str, columns: list[np.ndarray], ids: pa.Array) -> pa.RecordBa
 
 
 def indexed(docs: DataFrame) -> DataFrame:
-    """All blocks of ``doc_id, hashes`` rows: ``a`` anchor, ``b, c`` content, ``doc_id, start, windows``."""
+    """All blocks of ``doc_id, hashes`` rows: ``a`` anchor, ``b`` content, ``doc_id, start, windows``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,10 +117,10 @@ def indexed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "hashes").mapInArrow(run, _BLOCK)
 
 
-def hashed(docs: DataFrame) -> DataFrame:
+def hashed(docs: DataFrame, *more: str) -> DataFrame:
     """``doc_id, text`` with the hash of every word."""
     parts = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.transform(parts, lambda w: F.xxhash64(w)).alias("hashes"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.transform(parts, lambda w: F.xxhash64(w)).alias("hashes"), *more)
 
 
 def _earliest(*start: str):
@@ -138,19 +135,21 @@ def spans(docs: DataFrame) -> DataFrame:
     """
     texts = hashed(docs.select("doc_id", "text"))
     all_blocks = saved(indexed(texts), "blocks")
-    known = all_blocks.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("a").alias("_a"))
+    # Written first: a join of two plain exchanges can be split where an anchor is hot.
+    known = saved(all_blocks.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("a").alias("_a")), "known")
     met = saved(all_blocks.join(known, F.col("a") == F.col("_a"), "left_semi"), "met")
     # One row per content: the phrase book of the parse.
-    book = saved(met.groupBy("a", "b", "c").agg(_earliest("doc_id", "start").alias("first"), F.min("windows").alias("windows"), F.count(F.lit(1)).alias("n")), "book")
+    book = saved(met.groupBy("a", "b").agg(_earliest("doc_id", "start").alias("first"), F.min("windows").alias("windows"), F.count(F.lit(1)).alias("n")), "book")
     several = book.groupBy("a").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1").select(F.col("a").alias("_a"))
     edges = book.join(several, F.col("a") == F.col("_a"), "left_semi").select("first.doc_id", "first.start", "windows")
-    copied = book.where("n > 1").select(F.col("b").alias("_b"), F.col("c").alias("_c"), "first")
-    phrases = met.join(copied, (F.col("b") == F.col("_b")) & (F.col("c") == F.col("_c")))
+    copied = book.where("n > 1").select(F.col("a").alias("_a"), F.col("b").alias("_b"), "first")
+    phrases = met.join(copied, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")))
     later = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("start") == F.col("first.start")))
     whole = phrases.where(later).select("doc_id", F.struct("start", (F.col("start") + F.col("windows") + SPAN - 1).alias("end")).alias("span"))
     # The windows of edge blocks; a group holds the blocks of one text.
     asked = edges.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("asked")).withColumnRenamed("doc_id", "_doc_id")
-    asked = texts.join(asked.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_doc_id")))
+    asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asked.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_doc_id")))
+    asked = hashed(asked, "asked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = "v long, w long, doc_id long, start int"
