@@ -3,10 +3,9 @@
 Fingerprints of 64 bits link at ``radius`` or fewer differing bits.
 
 1. Only distinct fingerprints are compared; copies share one.
-2. They are dealt over tables keyed by some of ``m`` runs of bits: of ``m`` runs,
-   ``m - radius`` are equal in any linked pair, so every pair meets under the key of
-   those runs. ``m`` grows with the number of fingerprints, so that the keys keep the
-   expected group of unrelated fingerprints small.
+2. They are dealt over tables keyed by some of ``RUNS`` runs of bits: all but ``radius``
+   of the runs are equal in any linked pair, so every pair meets under the key of
+   those runs, while few unrelated fingerprints share a key.
 3. In a group, distances to reference fingerprints are computed once per member. A
    pair is discarded if any of these coordinates differ by more than ``radius`` (the
    triangle inequality) and otherwise verified bit by bit. The search walks from
@@ -24,7 +23,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb, log2
 
 import numpy as np
 import pandas as pd
@@ -35,6 +33,7 @@ from .common import measured, read, saved
 RADIUS = 4
 ROOM = 8192
 PIVOTS = 24
+RUNS = 6  # 15 tables with keys of about 21 bits; 7 gives 35 tables and 27 bits, for billions of fingerprints
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -66,21 +65,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, fp long")
 
 
-def runs_of_bits(n: int, radius: int) -> int:
-    """Runs to cut 64 bits into: the cheapest of tables written and unrelated pairs tested."""
-
-    def cost(m: int) -> float:
-        key = 64 * (m - radius) / m
-        return comb(m, radius) * (10 + n / 2 ** min(key, 60))
-
-    return min(range(radius + 1, radius + 6), key=cost)
-
-
-def _tables(prints: DataFrame, n: int, radius: int) -> DataFrame:
+def _tables(prints: DataFrame, radius: int, runs: int) -> DataFrame:
     """``tab, key, fp``: each fingerprint once per choice of the runs that must be equal."""
-    m = runs_of_bits(max(n, 1), radius)
-    edges = [round(64 * i / m) for i in range(m + 1)]
-    masks = [sum((1 << b) - (1 << a) for a, b in (edges[i:i + 2] for i in kept)) for kept in combinations(range(m), m - radius)]
+    edges = [round(64 * i / runs) for i in range(runs + 1)]
+    masks = [sum((1 << b) - (1 << a) for a, b in (edges[i:i + 2] for i in kept)) for kept in combinations(range(runs), runs - radius)]
     signed = [x - (1 << 64) if x >> 63 else x for x in masks]
     keyed = F.explode(F.array(*[F.struct(F.lit(i).alias("tab"), F.col("fp").bitwiseAND(F.lit(x)).alias("key")) for i, x in enumerate(signed)]))
     return prints.select("fp", keyed.alias("k")).select("k.tab", "k.key", "fp")
@@ -110,9 +98,9 @@ def spanning(fps: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
     return a, b
 
 
-def links(prints: DataFrame, n: int, radius: int = RADIUS, room: int = ROOM) -> DataFrame:
-    """``a, b``: links that join the same fingerprints as all links do. ``prints`` has ``n`` distinct ``fp``."""
-    rows = _tables(prints, n, radius)
+def links(prints: DataFrame, radius: int = RADIUS, room: int = ROOM, runs: int = RUNS) -> DataFrame:
+    """``a, b``: links that join the same fingerprints as all links do. ``prints`` has distinct ``fp``."""
+    rows = _tables(prints, radius, runs)
     large = measured(rows.groupBy("tab", "key").count().where(F.col("count") > room).select(F.col("tab").alias("_tab"), F.col("key").alias("_key"), F.ceil(F.col("count") / room).cast("int").alias("cuts")))
     cut = rows.join(large, (F.col("tab") == F.col("_tab")) & (F.col("key") == F.col("_key")), "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
     own = F.pmod(F.xxhash64("fp"), F.col("cuts")).cast("int")
@@ -166,7 +154,7 @@ def clusters(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``doc_id, fp, component_id`` of every document."""
     rows = saved(fingerprints(docs), "prints")
     prints = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(links(prints.select("fp"), prints.count(), radius))
+    roots = components(links(prints.select("fp"), radius))
     rooted = prints.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "_root")
     table = rooted.join(named, F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), "root", "component_id")

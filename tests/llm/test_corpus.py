@@ -411,7 +411,7 @@ def test_links_of_cut_groups_and_chains(spark):
     fps = np.array(sorted(prints), np.uint64)
     table = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
     for room in (8192, 16):
-        roots = {r.node: r.root for r in simhash.components(simhash.links(table, len(fps), room=room)).collect()}
+        roots = {r.node: r.root for r in simhash.components(simhash.links(table, room=room)).collect()}
         label = list(range(len(fps)))
         for i in range(len(fps)):
             for j in np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= 4):
