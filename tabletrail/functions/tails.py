@@ -37,8 +37,17 @@ def _beta_fraction(a, b, x):
             change = d * c
             h = h * change
         if np.all(np.abs(change - 1.0) < 1e-15):
-            break
-    return h
+            return h
+    raise ArithmeticError("the continued fraction of the beta function did not converge")
+
+
+def _log_gamma_step(a):
+    """log gamma(a) - log gamma(a + 1/2); by its asymptotic series where the difference would cancel."""
+    large = a > 1e3
+    out = -(0.5 * np.log(a) - 1 / (8 * a) + 1 / (192 * a**3))
+    small = a[~large]
+    out[~large] = _each(math.lgamma, small) - _each(math.lgamma, small + 0.5)
+    return out
 
 
 def t_two_sided(t, df):
@@ -59,7 +68,7 @@ def t_two_sided(t, df):
         a, b = nu / 2.0, 0.5
         square = tt * tt
         x, rest = nu / (nu + square), square / (nu + square)
-        log_beta = _each(math.lgamma, a) - _each(math.lgamma, a + b) + math.lgamma(b)
+        log_beta = _log_gamma_step(a) + math.lgamma(b)
         # log1p keeps both logarithms accurate when x is next to 0 or 1.
         log_front = -a * np.log1p(square / nu) - b * np.log1p(nu / square) - log_beta
         front = np.exp(log_front)

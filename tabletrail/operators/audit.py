@@ -134,12 +134,10 @@ def all_problems(*passes: DataFrame) -> DataFrame:
 
 def problem_summary(problems: DataFrame, checked: DataFrame) -> DataFrame:
     """One row: ``checked``, ``errors``, ``warnings``, ``ok``."""
-    counts = problems.agg(
-        F.count_if(F.col("severity") == M.ERROR).alias("errors"), F.count_if(F.col("severity") == M.WARNING).alias("warnings")
-    )
-    # Two one-row tables.
-    total = checked.agg(F.count(F.lit(1)).alias("checked"))
-    return total.join(counts, F.lit(True)).withColumn("ok", F.col("errors") == 0)
+    told = problems.select(*[(F.col("severity") == kind).cast("bigint").alias(name) for kind, name in ((M.ERROR, "errors"), (M.WARNING, "warnings"))], F.lit(0).cast("bigint").alias("checked"))
+    seen = checked.select(F.lit(0).cast("bigint").alias("errors"), F.lit(0).cast("bigint").alias("warnings"), F.lit(1).cast("bigint").alias("checked"))
+    total = told.unionByName(seen).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("checked", "errors", "warnings")])
+    return total.withColumn("ok", F.col("errors") == 0)
 
 
 def listing(artifacts: DataFrame, files: DataFrame, problems: DataFrame) -> DataFrame:

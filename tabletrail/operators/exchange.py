@@ -81,7 +81,7 @@ def from_exchange(df: DataFrame, *, dates: tuple[str, ...] = (), factors: dict[s
         if field.name in dates:
             # Infinite and missing day numbers have no date.
             finite = missing_to_null(column.cast("double"))
-            df = df.withColumn(field.name, F.date_from_unix_date(F.floor(finite).cast("int")))
+            df = df.withColumn(field.name, F.date_from_unix_date(F.floor(finite).try_cast("int")))
         elif factors and field.name in factors:
             levels = F.array(*[F.lit(level) for level in factors[field.name]])
             df = df.withColumn(field.name, level_label(levels, column))
@@ -200,11 +200,12 @@ def parse_nested(df: DataFrame, column: str, name: str = "parsed") -> DataFrame:
 
     The schema is aggregated over the whole column. Where rows disagree (a
     boolean beside a number, say) the field stays a variant and is not coerced.
+    Text that is not JSON gives null; the text itself stays in its column.
     """
     kind = df.schema[column].dataType
     if not isinstance(kind, T.StringType):
         raise ExchangeError(f"column {column!r} has type {kind.simpleString()}, not JSON text")
-    parsed = F.parse_json(column)
-    ddl = df.agg(F.expr(f"schema_of_variant_agg(parse_json(`{column}`))")).first()[0]
+    parsed = F.try_parse_json(column)
+    ddl = df.agg(F.expr(f"schema_of_variant_agg(try_parse_json(`{column}`))")).first()[0]
     spark_type = ddl.replace("OBJECT<", "STRUCT<")
     return df.withColumn(name, F.variant_get(parsed, "$", spark_type))

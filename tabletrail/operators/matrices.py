@@ -24,8 +24,11 @@ def long_from_wide(df: DataFrame, feature: str, samples: Sequence[str] | None =
 
 
 def wide_from_long(df: DataFrame, feature: str, sample: str, value: str, samples: Sequence) -> DataFrame:
-    """One column per sample, for the listed samples (a wide table needs a schema)."""
-    return df.groupBy(feature).pivot(sample, list(samples)).agg(F.first(value, ignorenulls=True))
+    """One column per sample, for the listed samples (a wide table needs a schema).
+
+    Of several values for one cell the largest holds, whatever order they come in.
+    """
+    return df.groupBy(feature).pivot(sample, list(samples)).agg(F.max(value))
 
 
 def long_from_arrays(df: DataFrame, row: str, values: str, *, column_name: str = "j", value_name: str = "value") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .staging import staged
 
@@ -83,7 +83,7 @@ def _salted_join(rows: DataFrame, table: DataFrame, counts: DataFrame, on: list[
     )
     # At most HOT_SHARE rows by construction.
     salted_rows = _null_safe_join(rows, F.broadcast(hot), on, "left").withColumn(
-        "_salt", F.pmod(F.monotonically_increasing_id(), F.coalesce("_salts", F.lit(1))).cast("int")
+        "_salt", F.pmod(_row_hash(rows), F.coalesce("_salts", F.lit(1))).cast("int")
     ).drop("_salts")
     salted_table = _null_safe_join(table, F.broadcast(hot), on, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
@@ -91,5 +91,11 @@ def _salted_join(rows: DataFrame, table: DataFrame, counts: DataFrame, on: list[
     return _null_safe_join(salted_rows, salted_table, [*on, "_salt"], how).drop("_salt")
 
 
+def _row_hash(rows: DataFrame) -> Column:
+    """A hash of the row itself: a task that runs again deals its rows out as before."""
+    hashable = [f.name for f in rows.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return F.xxhash64(*[F.col(_q(c)) for c in hashable])
+
+
 def _q(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"

@@ -10,6 +10,7 @@ there are.
 
 from __future__ import annotations
 
+import posixpath
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -118,7 +119,7 @@ def intact(spark: SparkSession, root: str, table: str, recorded: dict) -> bool:
 
 
 def first_problem(spark: SparkSession, root: str, table: str, recorded: dict) -> str | None:
-    """Text of the first failed check of a recorded run: sizes first, then hashes."""
+    """Text of the first failed check of a recorded run: added parts first, then sizes, then hashes."""
     version, name = recorded.get("version"), recorded["filename"]
     path = f"{root}/{table}/{version}{LEDGER_ENDING}"
     if not version or not Storage(spark).exists(path):
@@ -127,6 +128,9 @@ def first_problem(spark: SparkSession, root: str, table: str, recorded: dict) ->
     if ledger_digest(ledger) != recorded.get("sha256"):
         return f"{name}: content changed since it was written"
     on_disk = walk(spark, root, [f"{table}/{version}"], levels=0)
+    added = on_disk.join(ledger.select("path"), "path", "left_anti").agg(F.min("path")).first()[0]
+    if added:
+        return f"{name}/{posixpath.basename(added)}: not part of what was published"
     part = F.concat(F.lit(name + "/"), F.substring_index("path", "/", -1))
     entries = ledger.select(F.lit(table).alias("artifact"), "path", part.alias("filename"), "size", "sha256")
     same_size = staged(on_disk.join(ledger.select("path", "size"), ["path", "size"], "left_semi"))

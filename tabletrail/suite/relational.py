@@ -60,25 +60,24 @@ def top_counts_sources(t: Tables) -> DataFrame:
     return summaries.top_counts(t.documents, "source")
 
 
-def _orders_and_customers(t: Tables) -> tuple[DataFrame, DataFrame]:
-    orders = t.orders.select(F.col("o_custkey").alias("id"), "o_orderkey", "o_totalprice")
-    # Segment BUILDING only, so that the left join has unmatched rows.
-    customers = t.customer.filter(F.col("c_mktsegment") == "BUILDING").select(F.col("c_custkey").alias("id"), "c_name", "c_acctbal")
-    return orders, customers
+def _documents_and_labels(t: Tables) -> tuple[DataFrame, DataFrame]:
+    # Not every document has a label.
+    documents = t.documents.select(F.col("doc_id").alias("id"), "lang", "source", "n_chars")
+    return documents, t.labels.select(F.col("doc_id").alias("id"), "quality", "toxic")
 
 
-_ENRICH = """SELECT o_custkey AS id, o_orderkey, o_totalprice, c_name, c_acctbal FROM orders
-    {} JOIN (SELECT * FROM customer WHERE c_mktsegment = 'BUILDING') ON o_custkey = c_custkey"""
+_ENRICH = """SELECT d.doc_id AS id, lang, source, n_chars, quality, toxic FROM documents d
+    {} JOIN labels l ON d.doc_id = l.doc_id"""
 
 
 @query(_ENRICH.format("INNER"))
 def enrich_inner(t: Tables) -> DataFrame:
-    return summaries.enrich(*_orders_and_customers(t), on="id")
+    return summaries.enrich(*_documents_and_labels(t), on="id")
 
 
 @query(_ENRICH.format("LEFT"))
 def enrich_left(t: Tables) -> DataFrame:
-    return summaries.enrich(*_orders_and_customers(t), on="id", how="left")
+    return summaries.enrich(*_documents_and_labels(t), on="id", how="left")
 
 
 @query(
@@ -127,13 +126,16 @@ def ordered_distinct(t: Tables) -> DataFrame:
 @query("SELECT o_orderstatus AS \"group\", o_totalprice AS value, upper(substr(o_orderpriority, 3, 3)) AS group_code FROM orders")
 def stacked_groups(t: Tables) -> DataFrame:
     orders = t.orders
+    status = F.col("o_orderstatus")
+    known = status.eqNullSafe("F"), status.eqNullSafe("O")
+    # The last frame is the rest, whatever its status.
     frames = [
-        orders.filter(F.col("o_orderstatus") == status).select(
+        orders.filter(chosen).select(
             F.col("o_orderstatus").alias("group"),
             F.col("o_totalprice").alias("value"),
             F.upper(F.substring("o_orderpriority", 3, 3)).alias("group_code"),
         )
-        for status in ("F", "O", "P")
+        for chosen in (*known, ~(known[0] | known[1]))
     ]
     return summaries.stacked(frames)
 

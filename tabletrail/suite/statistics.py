@@ -22,15 +22,23 @@ def long_embeddings(t: Tables) -> DataFrame:
     return t.embeddings.select("vec_id", "label", position).withColumn("value", F.col("value").cast("double"))
 
 
+# Two groups that cover all vectors.
+HALVES_SQL = LONG_SQL.replace("label,", "(label >= 5)::INT AS label,")
+
+
+def halves(t: Tables) -> DataFrame:
+    return long_embeddings(t).withColumn("label", (F.col("label") >= 5).cast("int"))
+
+
 @query(
     f"""SELECT feature::INT AS feature, n1, n2, round(mean1, 6) AS mean1, round(mean2, 6) AS mean2, round(t, 6) AS t, df FROM (
         SELECT feature, count(v) FILTER (WHERE label = 0)::BIGINT AS n1, count(v) FILTER (WHERE label = 1)::BIGINT AS n2,
           avg(v) FILTER (WHERE label = 0) AS mean1, avg(v) FILTER (WHERE label = 1) AS mean2,
           {_T_POOLED.format(g='label', a=0, b=1)} AS t, (count(v) FILTER (WHERE label IN (0, 1)) - 2)::DOUBLE AS df
-        FROM (SELECT *, value AS v FROM ({LONG_SQL})) GROUP BY feature)"""
+        FROM (SELECT *, value AS v FROM ({HALVES_SQL})) GROUP BY feature)"""
 )
 def ttest_pooled(t: Tables) -> DataFrame:
-    tested = t_test(long_embeddings(t), "value", "label", (0, 1), ["feature"], p_values=False)
+    tested = t_test(halves(t), "value", "label", (0, 1), ["feature"], p_values=False)
     return tested.withColumns({c: F.round(c, 6) for c in ("mean1", "mean2", "t")})
 
 
@@ -77,10 +85,10 @@ def ttest_p_values(t: Tables) -> DataFrame:
         round((var_pop(v) FILTER (WHERE label = 0) * count(v) FILTER (WHERE label = 0) + var_pop(v) FILTER (WHERE label = 1) * count(v) FILTER (WHERE label = 1))
           / (count(v) FILTER (WHERE label IN (0, 1)) - 2), 9) AS s2,
         round(sqrt(1.0 / count(v) FILTER (WHERE label = 0) + 1.0 / count(v) FILTER (WHERE label = 1)), 9) AS stdev_unscaled
-    FROM (SELECT *, value AS v FROM ({LONG_SQL})) GROUP BY feature"""
+    FROM (SELECT *, value AS v FROM ({HALVES_SQL})) GROUP BY feature"""
 )
 def linear_model_two_group(t: Tables) -> DataFrame:
-    fit = models.fit_two_groups(long_embeddings(t), "feature", "value", "label", (0, 1))
+    fit = models.fit_two_groups(halves(t), "feature", "value", "label", (0, 1))
     return fit.withColumns(
         {"log_fc": F.round("log_fc", 6), "ave_expr": F.round("ave_expr", 6), "s2": F.round("s2", 9), "stdev_unscaled": F.round("stdev_unscaled", 9)}
     )
@@ -102,7 +110,7 @@ _TOP_TABLE = f"""WITH RECURSIVE fit AS (SELECT feature, m1 - m0 AS log_fc, (n0 *
         (v0 * n0 + v1 * n1) / (n0 + n1 - 2) AS s2, sqrt(1.0 / n0 + 1.0 / n1) AS u
       FROM (SELECT feature, avg(value) FILTER (WHERE label = 0) AS m0, avg(value) FILTER (WHERE label = 1) AS m1,
           count(*) FILTER (WHERE label = 0) AS n0, count(*) FILTER (WHERE label = 1) AS n1,
-          var_pop(value) FILTER (WHERE label = 0) AS v0, var_pop(value) FILTER (WHERE label = 1) AS v1 FROM ({LONG_SQL}) GROUP BY feature)),
+          var_pop(value) FILTER (WHERE label = 0) AS v0, var_pop(value) FILTER (WHERE label = 1) AS v1 FROM ({HALVES_SQL}) GROUP BY feature)),
     spread AS (SELECT avg(e) AS mean_e, var_samp(e) - avg({_polygamma_sql('(d / 2)', *_TRIGAMMA)}) AS x, sum(d) AS limit_d, avg(s2) AS mean_s2
       FROM (SELECT *, ln(s2) - {_polygamma_sql('(d / 2)', *_DIGAMMA)} + ln(d / 2) AS e FROM fit)),
     root(step, lo, hi) AS (SELECT 0, -18.0::DOUBLE, 18.0::DOUBLE UNION ALL
@@ -123,7 +131,7 @@ _TOP_TABLE = f"""WITH RECURSIVE fit AS (SELECT feature, m1 - m0 AS log_fc, (n0 *
 
 @query(_TOP_TABLE)
 def toptable_moderated(t: Tables) -> DataFrame:
-    table = models.top_table(long_embeddings(t), "feature", "value", "label", (0, 1))
+    table = models.top_table(halves(t), "feature", "value", "label", (0, 1))
     return table.withColumns({c: F.round(c, 6) for c in ("log_fc", "ave_expr", "t", "p_value", "adj_p_value")})
 
 
