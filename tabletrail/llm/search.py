@@ -77,17 +77,24 @@ class Shard:
     def __init__(self, ids: np.ndarray, lengths: np.ndarray, lists: list, counts: list, asked: np.ndarray, idf: np.ndarray, mean: float):
         self.ids = ids
         n = self.n = len(ids)
-        term = np.concatenate(lists) if n else np.zeros(0, np.int64)
-        doc = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in lists])
-        tf = np.concatenate(counts).astype(np.float64) if n else np.zeros(0)
-        place = np.minimum(np.searchsorted(asked, term), max(len(asked) - 1, 0))
-        wanted = asked[place] == term if len(asked) else np.zeros(len(term), bool)
-        place, doc, tf = place[wanted].astype(np.int32), doc[wanted], tf[wanted]
-        del term, wanted
-        impact = np.rint(idf[place] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / mean)) * SCALE)
+        found = [(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0))]
+        # Some documents at a time, so that only postings of terms asked for are held.
+        for at in range(0, n if len(asked) else 0, 1024):
+            part = lists[at:at + 1024]
+            term = np.concatenate(part)
+            doc = np.repeat(np.arange(at, at + len(part), dtype=np.int32), [len(x) for x in part])
+            tf = np.concatenate(counts[at:at + 1024])
+            place = np.minimum(np.searchsorted(asked, term), len(asked) - 1)
+            wanted = asked[place] == term
+            place, doc, tf = place[wanted], doc[wanted], tf[wanted].astype(np.float64)
+            impact = np.rint(idf[place] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / mean)) * SCALE)
+            found.append((place.astype(np.int32), doc, impact))
+            lists[at:at + 1024] = counts[at:at + 1024] = [None] * len(part)
+        place, doc, impact = (np.concatenate(x) for x in zip(*found))
+        del found
         order = np.argsort(place, kind="stable")  # documents stay in order within a term
         place, self.doc, self.impact = place[order], doc[order], impact[order]
-        del order, doc, tf, impact
+        del order, doc, impact
         held = np.bincount(place, minlength=len(asked))
         self.at = np.concatenate(([0], np.cumsum(held)))
         self.dense = np.flatnonzero(held * DENSE > n)
@@ -188,10 +195,9 @@ def search(docs: DataFrame, queries: DataFrame, top: int = TOP, shard_docs: int
         idf = np.zeros(len(flat))
         idf[where] = np.concatenate(wanted["idf"].to_list())
         ends = np.cumsum([len(x) for x in wanted["term"]])
+        names = wanted["query_id"].to_numpy()
         texts = texts.sort_values("doc_id", kind="stable")
         index = Shard(texts["doc_id"].astype("Int64").array, texts["length"].to_numpy(float), texts["terms"].to_list(), texts["counts"].to_list(), flat, idf, mean)
-        names = wanted["query_id"].to_numpy()
-        del texts, wanted  # the index holds what is needed of them
         rows = []
         for query, (found, points) in zip(names, index.search(np.split(where, ends[:-1]), top)):
             # Positions are in the order of ids, nulls last.
