@@ -35,8 +35,8 @@ from .common import read, saved, words
 K1, B, TOP = 1.2, 0.75, 10
 EVERY = 20
 BLOCK, DENSE, SCALE = 64, 24, 1 << 20
-SHARD_DOCS, QUERY_BLOCK = 16_384, 16_384
-SHARD_WORDS = 1 << 23
+SHARD_DOCS, QUERY_BLOCK = 12_288, 16_384
+SHARD_WORDS = 6 << 20
 ROUND = 8  # blocks visited before the k-th best score is looked at first; then eight times as many each time
 
 
@@ -77,7 +77,7 @@ class Shard:
     def __init__(self, ids: np.ndarray, lengths: np.ndarray, lists: list, counts: list, asked: np.ndarray, idf: np.ndarray, mean: float):
         self.ids = ids
         n = self.n = len(ids)
-        found = [(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0))]
+        found = [(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32))]
         # Some documents at a time, so that only postings of terms asked for are held.
         for at in range(0, n if len(asked) else 0, 1024):
             part = lists[at:at + 1024]
@@ -88,7 +88,7 @@ class Shard:
             wanted = asked[place] == term
             place, doc, tf = place[wanted], doc[wanted], tf[wanted].astype(np.float64)
             impact = np.rint(idf[place] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / mean)) * SCALE)
-            found.append((place.astype(np.int32), doc, impact))
+            found.append((place.astype(np.int32), doc, impact.astype(np.int32)))
             lists[at:at + 1024] = counts[at:at + 1024] = [None] * len(part)
         place, doc, impact = (np.concatenate(x) for x in zip(*found))
         del found
@@ -109,7 +109,7 @@ class Shard:
         key = place.astype(np.int64) * max(self.blocks, 1) + self.doc // BLOCK
         self.entry = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
         self.entry_block = (key[self.entry] % max(self.blocks, 1)).astype(np.int32)
-        self.entry_most = np.maximum.reduceat(self.impact, self.entry) if len(key) else np.zeros(0)
+        self.entry_most = np.maximum.reduceat(self.impact, self.entry) if len(key) else np.zeros(0, np.int32)
         self.entry_at = np.searchsorted(self.entry, self.at)
         self.entry = np.append(self.entry, len(key))
 
@@ -177,23 +177,24 @@ def search(docs: DataFrame, queries: DataFrame, top: int = TOP, shard_docs: int
     df = frequencies(indexed).select(F.col("term").alias("_term"), "df")
     asked = terms(queries.select(F.col("query_id").alias("doc_id"), "text")).where(F.col("doc_id").isNotNull())
     weighed = asked.select(F.col("doc_id").alias("query_id"), F.explode("terms").alias("term")).join(df, F.col("term") == F.col("_term"))
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    # A group holds the distinct words of one query.
-    vectors = saved(weighed.groupBy("query_id").agg(F.collect_list(F.struct("term", idf.alias("idf"))).alias("parts")).select("query_id", "parts.term", "parts.idf"), "queries")
+    # A group holds the distinct words of one query. Document frequencies are sent, being
+    # mostly small numbers that compress; a cell turns them into weights.
+    vectors = saved(weighed.groupBy("query_id").agg(F.collect_list(F.struct("term", "df")).alias("parts")).select("query_id", "parts.term", "parts.df"), "queries")
     blocks = max(1, -(-vectors.count() // query_block))
     shards = max(1, -(-n // shard_docs), -(-(total or 0) // SHARD_WORDS))
     block = F.pmod(F.xxhash64(F.lit("block"), "query_id"), F.lit(blocks)).cast("int")
     shard = F.pmod(F.xxhash64(F.lit("shard"), "doc_id"), F.lit(shards)).cast("int")
     every_block, every_shard = F.sequence(F.lit(0), F.lit(blocks - 1)), F.sequence(F.lit(0), F.lit(shards - 1))
     left = indexed.select(shard.alias("shard"), F.explode(every_block).alias("block"), "doc_id", "length", "terms", "counts")
-    right = vectors.select(F.explode(every_shard).alias("shard"), block.alias("block"), "query_id", "term", "idf")
+    right = vectors.select(F.explode(every_shard).alias("shard"), block.alias("block"), "query_id", "term", "df")
 
     def run(texts: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         if not len(texts) or not len(wanted):
             return pd.DataFrame({"query_id": np.zeros(0, np.int64), "doc_id": pd.array([], "Int64"), "points": np.zeros(0, np.int64)})
         flat, where = np.unique(np.concatenate(wanted["term"].to_list()), return_inverse=True)
-        idf = np.zeros(len(flat))
-        idf[where] = np.concatenate(wanted["idf"].to_list())
+        held = np.zeros(len(flat))
+        held[where] = np.concatenate(wanted["df"].to_list())
+        idf = np.log(1 + (n - held + 0.5) / (held + 0.5))
         ends = np.cumsum([len(x) for x in wanted["term"]])
         names = wanted["query_id"].to_numpy()
         texts = texts.sort_values("doc_id", kind="stable")
