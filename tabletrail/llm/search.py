@@ -75,7 +75,7 @@ class Shard:
     """The inverted index of some documents, restricted to the terms asked for."""
 
     def __init__(self, ids: np.ndarray, lengths: np.ndarray, lists: list, counts: list, asked: np.ndarray, idf: np.ndarray, mean: float):
-        self.ids = ids
+        self.ids, self.asked = ids, asked
         n = self.n = len(ids)
         found = [(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32))]
         # Some documents at a time, so that only postings of terms asked for are held.
@@ -113,21 +113,19 @@ class Shard:
         self.entry_at = np.searchsorted(self.entry, self.at)
         self.entry = np.append(self.entry, len(key))
 
-    def search(self, queries: list[np.ndarray], top: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Documents (as positions) and scores of the best ``top`` of each query, all ties at the end included."""
-        out = []
+    def search(self, queries: list[np.ndarray], top: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Documents (as positions) and scores of the best ``top`` of each query (its terms), all ties at the end included."""
         for at in range(0, len(queries), 256):
-            part = queries[at:at + 256]
+            part = [np.searchsorted(self.asked, q) for q in queries[at:at + 256]]
             asks = np.zeros((len(self.dense), len(part)))
             for j, q in enumerate(part):
                 columns = self.column[q]
                 asks[columns[columns >= 0], j] = 1
             dense = asks.T @ self.table.T if len(self.dense) else np.zeros((len(part), self.n))
-            out += [self._one(q[self.column[q] < 0], row, top) for q, row in zip(part, dense)]
-        return out
+            for q, row in zip(part, dense):
+                yield self._one(q[self.column[q] < 0], row, top)
 
     def _one(self, query: np.ndarray, scores: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
-        scores = np.array(scores)
         lows, highs = self.entry_at[query], self.entry_at[query + 1]
         entries = _ranges(lows, highs)
         padded = np.zeros(self.blocks * BLOCK)
@@ -169,6 +167,15 @@ def _ranges(lows: np.ndarray, highs: np.ndarray) -> np.ndarray:
     return (starts + np.arange(total)).astype(np.int64)
 
 
+def _asked(terms: list[np.ndarray], frequencies: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct terms of all queries in order, with their frequencies; merged some queries at a time."""
+    flat, held = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for at in range(0, len(terms), 1024):
+        flat, first = np.unique(np.concatenate([flat, *terms[at:at + 1024]]), return_index=True)
+        held = np.concatenate([held, *frequencies[at:at + 1024]])[first]
+    return flat, held
+
+
 def search(docs: DataFrame, queries: DataFrame, top: int = TOP, shard_docs: int = SHARD_DOCS, query_block: int = QUERY_BLOCK) -> DataFrame:
     """``query_id, rank, doc_id, score``: the ``top`` documents for each of ``query_id, text`` rows."""
     indexed = terms(docs)
@@ -191,20 +198,18 @@ def search(docs: DataFrame, queries: DataFrame, top: int = TOP, shard_docs: int
     def run(texts: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         if not len(texts) or not len(wanted):
             return pd.DataFrame({"query_id": np.zeros(0, np.int64), "doc_id": pd.array([], "Int64"), "points": np.zeros(0, np.int64)})
-        flat, where = np.unique(np.concatenate(wanted["term"].to_list()), return_inverse=True)
-        held = np.zeros(len(flat))
-        held[where] = np.concatenate(wanted["df"].to_list())
+        flat, held = _asked(wanted["term"].to_list(), wanted["df"].to_list())
         idf = np.log(1 + (n - held + 0.5) / (held + 0.5))
-        ends = np.cumsum([len(x) for x in wanted["term"]])
-        names = wanted["query_id"].to_numpy()
         texts = texts.sort_values("doc_id", kind="stable")
         index = Shard(texts["doc_id"].astype("Int64").array, texts["length"].to_numpy(float), texts["terms"].to_list(), texts["counts"].to_list(), flat, idf, mean)
-        rows = []
-        for query, (found, points) in zip(names, index.search(np.split(where, ends[:-1]), top)):
+        docs, scores = [], []
+        for found, points in index.search(wanted["term"].to_list(), top):
             # Positions are in the order of ids, nulls last.
             best = np.lexsort((found, -points))[:top]
-            rows.append(pd.DataFrame({"query_id": query, "doc_id": index.ids[found[best]], "points": points[best].astype(np.int64)}))
-        return pd.concat(rows)
+            docs.append(found[best])
+            scores.append(points[best].astype(np.int64))
+        query = np.repeat(wanted["query_id"].to_numpy(), [len(x) for x in docs])
+        return pd.DataFrame({"query_id": query, "doc_id": index.ids[np.concatenate(docs)], "points": np.concatenate(scores)})
 
     cells = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(run, "query_id long, doc_id long, points long")
     ranked = Window.partitionBy("query_id").orderBy(F.desc("points"), F.col("doc_id").asc_nulls_last())
