@@ -111,13 +111,16 @@ def identity_of_preserved(manifests: DataFrame, producers: DataFrame) -> DataFra
 def unlisted_files(files: DataFrame, claimed: DataFrame, unreadable: DataFrame, *, shared: str = "data/shared") -> DataFrame:
     """Files no manifest claims. ``files(path)``, ``claimed(path)``, ``unreadable(folder)``.
 
-    Placeholders, and folders whose manifest cannot be read, are left out.
+    Placeholders, and all that lies at any depth below a folder whose manifest cannot be
+    read, are left out.
     """
-    rows = files.select("path", parent(F.col("path")).alias("_folder"))
-    rows = rows.filter(~F.col("path").rlike(r"(^|/)\.gitkeep$"))
+    rows = files.select("path").filter(~F.col("path").rlike(r"(^|/)\.gitkeep$"))
     rows = rows.join(claimed.select("path").distinct(), "path", "left_anti")
     marked = unreadable.select(F.col("folder").alias("_folder")).distinct()
-    rows = lookup(rows, marked, ["_folder"], flag="_skip").filter(F.col("_skip").isNull())
+    parts = F.split(parent(F.col("path")), "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda depth: F.array_join(F.slice(parts, 1, depth), "/"))
+    known = lookup(rows.select("path", F.explode(above).alias("_folder")), marked, ["_folder"], flag="_skip")
+    rows = known.groupBy("path").agg(F.max(F.col("_skip").isNotNull()).alias("_hidden")).filter(~F.col("_hidden"))
     writer = F.when(F.col("path").startswith(shared + "/"), M.SHARED_WRITER).otherwise(M.PRESERVED_WRITER)
     return rows.select(
         F.col("path").alias("artifact"), F.lit(M.ERROR).alias("severity"), M.filled(M.FILE_UNRECORDED, writer).alias("message")

@@ -119,15 +119,12 @@ def map_table(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema:
     return result
 
 
-def map_groups(df: DataFrame, by: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, *, max_group_rows: int = 1_000_000) -> DataFrame:
+def map_groups(df: DataFrame, by: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """Apply ``fn`` to each whole group.
 
-    The function needs its group in one task, so the group sizes are checked
-    first; a larger group raises. Express such a computation as an aggregate.
+    The function needs its group in the memory of one task, whatever the size. What can
+    be said as an aggregate, or over any split of the rows (:func:`map_table`), should be.
     """
-    largest = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    if largest > max_group_rows:
-        raise ExchangeError(f"a group has {largest} rows, above max_group_rows={max_group_rows}; use an aggregate or map_table()")
     result = to_exchange(df).groupBy(*by).applyInPandas(fn, schema)
     check_exchangeable(result.schema)
     return result

@@ -94,7 +94,7 @@ def position_distances(df: DataFrame, values: str, width: int, *, block: int = D
     df = df.coalesce(df.sparkSession.sparkContext.defaultParallelism * 4)
     starts = range(0, width, block)
     partials = [
-        _block_partials(df, values, a, min(block, width - a), b, min(block, width - b))
+        _block_partials(df, values, width, a, min(block, width - a), b, min(block, width - b))
         for a in starts for b in starts if a <= b
     ]
     merged = partials[0]
@@ -103,9 +103,13 @@ def position_distances(df: DataFrame, values: str, width: int, *, block: int = D
     return merged.groupBy("i", "j").agg(F.sqrt(F.sum("ss")).alias("distance"))
 
 
-def _block_partials(df: DataFrame, values: str, a: int, a_len: int, b: int, b_len: int) -> DataFrame:
-    left = F.slice(values, a + 1, a_len).cast("array<double>").alias("left")
-    right = F.slice(values, b + 1, b_len).cast("array<double>").alias("right")
+def _block_partials(df: DataFrame, values: str, width: int, a: int, a_len: int, b: int, b_len: int) -> DataFrame:
+    # Checked in the same pass; a short row would otherwise fail inside numpy.
+    whole = F.when(F.size(values) == width, F.col(values)).otherwise(
+        F.raise_error(F.lit(f"column {values!r} must hold arrays of {width} numbers in every row"))
+    )
+    left = F.slice(whole, a + 1, a_len).cast("array<double>").alias("left")
+    right = F.slice(whole, b + 1, b_len).cast("array<double>").alias("right")
     sides = ["left"] if a == b else ["left", "right"]
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -19,7 +19,7 @@ DODGE_WIDTH = 0.8
 # ------------------------------------------------------------------------------
 
 
-def quantiles(df: DataFrame, group: str, value: str, probabilities: Sequence[float] = QUARTILES, *, accuracy: int = 10_000, small_rows: int | None = None) -> DataFrame:
+def quantiles(df: DataFrame, group: str, value: str, probabilities: Sequence[float] = QUARTILES, *, accuracy: int = 10_000) -> DataFrame:
     """Exact linearly interpolated quantiles per group: ``n``, ``q0``, ``q1``, ...
 
     A first pass sketches a narrow bracket around each quantile. A second pass
@@ -39,14 +39,14 @@ def quantiles(df: DataFrame, group: str, value: str, probabilities: Sequence[flo
         columns.append((F.lit(float("inf")) if no_high else F.col("_ends")[2 * i + 1]).alias(f"_high{i}"))
     brackets = staged(brackets.select(group, "_size", *columns))
     sizes = brackets.select(group, "_size")
-    found = staged(_neighbours(_bracketed(rows, brackets, group, len(probabilities)), sizes, group, probabilities, small_rows))
+    found = staged(_neighbours(_bracketed(rows, brackets, group, len(probabilities)), sizes, group, probabilities))
     missed = staged(found.filter(F.size("_picks") < 2 * len(probabilities)).select(group, "_size"))
     if row_count(missed):
         kept = found.filter(F.size("_picks") == 2 * len(probabilities))
         again = lookup(rows, missed, [group], "inner", rename={}, weight="_size")
         whole = again.select(group, F.posexplode(F.array(*[F.col("_v")] * len(probabilities))).alias("_q", "_v"))
         counts = whole.groupBy(group, "_q", "_v").agg(F.count(F.lit(1)).alias("_n"))
-        found = kept.unionByName(_neighbours(counts, missed, group, probabilities, small_rows))
+        found = kept.unionByName(_neighbours(counts, missed, group, probabilities))
     results = []
     for i, q in enumerate(probabilities):
         at = (F.col("_size") - 1) * F.lit(float(q))
@@ -72,10 +72,9 @@ def _bracketed(rows: DataFrame, brackets: DataFrame, group: str, n: int) -> Data
     return spread.groupBy(group, F.col("_e._q").alias("_q"), F.col("_e._v").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
 
 
-def _neighbours(counts: DataFrame, sizes: DataFrame, group: str, probabilities: Sequence[float], small_rows: int | None) -> DataFrame:
+def _neighbours(counts: DataFrame, sizes: DataFrame, group: str, probabilities: Sequence[float]) -> DataFrame:
     """``_picks``: the values at the floor and ceiling position of each quantile, in order."""
-    options = {} if small_rows is None else {"small_rows": small_rows}
-    running = Ordered(counts, [F.col("_v").asc_nulls_first()], [group, "_q"], **options).total("_n", "_upto").result()
+    running = Ordered(counts, [F.col("_v").asc_nulls_first()], [group, "_q"]).total("_n", "_upto").result()
     placed = lookup(running, sizes, [group], "inner").filter("_v is not null")
     q = F.element_at(F.array(*[F.lit(float(p)) for p in probabilities]), F.col("_q") + 1)
     at = (F.col("_size") - 1) * q
@@ -90,10 +89,10 @@ def _neighbours(counts: DataFrame, sizes: DataFrame, group: str, probabilities:
     return lookup(sizes, found, [group], rename={"_picks": "_picks"}, unique=True).withColumn("_picks", F.coalesce("_picks", F.array().cast("array<double>")))
 
 
-def box_summary(df: DataFrame, group: str, value: str, *, small_rows: int | None = None) -> DataFrame:
+def box_summary(df: DataFrame, group: str, value: str) -> DataFrame:
     """Quartiles, whisker ends and outlier count per group."""
     rows = _present(df, group, value)
-    quartiles = staged(quantiles(df, group, value, small_rows=small_rows))
+    quartiles = staged(quantiles(df, group, value))
     named = {"n": "n", "q0": "q1", "q1": "median", "q2": "q3"}
     reach = (F.col("q3") - F.col("q1")) * WHISKER_REACH
     inside = F.col("_v").between(F.col("q1") - reach, F.col("q3") + reach)

@@ -63,7 +63,7 @@ def t_test(df: DataFrame, value: str, group: str, levels: tuple, by: Sequence[st
     return tested.withColumn("p_value", t_p_value(F.col("t"), F.col("df"))) if p_values else tested
 
 
-def adjust_p_values(df: DataFrame, p: str, name: str = "adj_p_value", *, small_rows: int | None = None) -> DataFrame:
+def adjust_p_values(df: DataFrame, p: str, name: str = "adj_p_value") -> DataFrame:
     """Benjamini-Hochberg adjusted p-values; missing p-values stay missing.
 
     Works on the distinct p-values with their counts. In descending order the
@@ -72,8 +72,7 @@ def adjust_p_values(df: DataFrame, p: str, name: str = "adj_p_value", *, small_r
     """
     value = missing_to_null(F.col(p).cast("double"))
     distinct = df.select(value.alias("_p")).filter("_p is not null").groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    options = {} if small_rows is None else {"small_rows": small_rows}
-    table = Ordered(distinct, [F.col("_p").desc()], **options)
+    table = Ordered(distinct, [F.col("_p").desc()])
     total = table.df.agg(F.sum("_n")).first()[0] or 0
     rank = F.lit(total) - F.col("_after") + F.col("_n")
     adjusted = (

@@ -13,13 +13,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .joins import lookup
-from .staging import row_count, staged
+from .staging import staged
 
 _BLOCK_BITS = 33
 
-# Up to this many rows one task sorts the table faster than the staged route.
-SMALL_ROWS = 200_000
-
 
 def _blocks(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     placed = staged(df.orderBy(*order).withColumn("_seat", F.monotonically_increasing_id()))
@@ -49,13 +46,10 @@ class Ordered:
     single value, however frequent, is more than one row here.
     """
 
-    def __init__(self, df: DataFrame, order: Sequence[Column], within: Sequence[str] = (), *, small_rows: int = SMALL_ROWS):
+    def __init__(self, df: DataFrame, order: Sequence[Column], within: Sequence[str] = ()):
         self.within = list(within)
         self.order = list(order)
-        table = staged(df)
-        self.small = row_count(table) <= small_rows
-        full_order = [*[F.col(c) for c in self.within], *self.order]
-        self.df = table if self.small else _blocks(table, full_order)
+        self.df = _blocks(df, [*[F.col(c) for c in self.within], *self.order])
 
     def total(self, value: str, name: str) -> "Ordered":
         """Add the running sum of ``value``, current row included."""
@@ -73,14 +67,10 @@ class Ordered:
 
     def _wrap(self, df: DataFrame) -> "Ordered":
         other = object.__new__(Ordered)
-        other.within, other.order, other.small, other.df = self.within, self.order, self.small, df
+        other.within, other.order, other.df = self.within, self.order, df
         return other
 
     def _scan(self, value, name, aggregate, merge) -> "Ordered":
-        if self.small:
-            running = Window.partitionBy(*self.within).orderBy(*self.order)
-            running = running.rowsBetween(Window.unboundedPreceding, 0)
-            return self._wrap(self.df.withColumn(name, aggregate(value).over(running)))
         key = ["_block", *self.within]
         per_block = self.df.groupBy(*key).agg(aggregate(value).alias("_own"))
         # At most one row per block for each split, so this window stays small.

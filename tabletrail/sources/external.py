@@ -12,13 +12,17 @@ SELF_DESCRIBING = {".parquet": "parquet", ".orc": "orc", ".json": "json", ".json
 # ------------------------------------------------------------------------------------------------
 
 
-def read_external(spark: SparkSession, path: str, *, schema: T.StructType | str | None = None) -> DataFrame:
-    """Read a file or folder by its suffix. Give ``schema`` to skip inferring text types."""
+def read_external(spark: SparkSession, path: str, *, schema: T.StructType | str | None = None, multi_line: bool = False) -> DataFrame:
+    """Read a file or folder by its suffix. Give ``schema`` to skip inferring text types.
+
+    Large delimited files are read in splits. Where quoted fields hold line breaks, pass
+    ``multi_line``; each file is then one task.
+    """
     name = path.rstrip("/").rsplit("/", 1)[-1]
     suffix = "." + name.rsplit(".", 1)[-1].lower() if "." in name else ""
     source = spark.read.schema(schema) if schema is not None else spark.read
     if suffix in DELIMITERS:
-        options = {"header": "true", "sep": DELIMITERS[suffix], "escape": '"', "multiLine": "true"}
+        options = {"header": "true", "sep": DELIMITERS[suffix], "escape": '"', "multiLine": str(multi_line).lower()}
         if schema is None:
             options |= {"inferSchema": "true", "preferDate": "true"}
         return source.options(**options).csv(path)

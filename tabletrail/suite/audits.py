@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import text
 from ..functions.fingerprint import fingerprint
 from ..operators import audit, lineage
+from ..plans import staged
 from .registry import Tables, query
 
 _FILES_SQL = """SELECT 'data/preserved/' || source || '/' || lang || '/' || doc_id || '.txt' AS path, 'preserved/' || source || '-' || lang AS artifact,
@@ -22,8 +23,9 @@ _FILES_SQL = """SELECT 'data/preserved/' || source || '/' || lang || '/' || doc_
 
 
 def _files(t: Tables) -> DataFrame:
+    """The tree these queries audit, staged as :meth:`Project.check` does, so that texts are hashed once."""
     digits, body = F.col("doc_id").cast("string"), F.col("text")
-    return t.documents.join(t.labels, "doc_id", "left").select(
+    return t.once("files", lambda: staged(t.documents.join(t.labels, "doc_id", "left").select(
         F.concat(F.lit("data/preserved/"), "source", F.lit("/"), "lang", F.lit("/"), digits, F.lit(".txt")).alias("path"),
         F.concat(F.lit("preserved/"), "source", F.lit("-"), "lang").alias("artifact"),
         F.concat(digits, F.lit(".txt")).alias("filename"),
@@ -31,7 +33,7 @@ def _files(t: Tables) -> DataFrame:
         text.sha256(body.cast("binary")).alias("sha256"),
         text.sha256(F.reverse(body).cast("binary")).alias("older"),
         "n_chars", "quality", "toxic", "lang", "source", "doc_id",
-    )
+    )))
 
 
 def _on_disk(files: DataFrame) -> DataFrame:

@@ -132,3 +132,15 @@ def user_code_over_table(t: Tables) -> DataFrame:
 
     out = exchange.map_table(rows, scale, "l_returnflag string, l_orderkey int, l_linenumber int, scaled double")
     return out.withColumn("l_orderkey", F.col("l_orderkey").cast("bigint")).withColumn("scaled", F.round("scaled", 6))
+
+
+@query("SELECT o_custkey, o_orderkey, round(max(o_totalprice) OVER (PARTITION BY o_custkey) - o_totalprice, 2) AS below_largest FROM orders")
+def user_code_over_groups(t: Tables) -> DataFrame:
+    rows = t.orders.select("o_custkey", "o_orderkey", "o_totalprice")
+
+    def gaps(orders):
+        price = orders.pop("o_totalprice")
+        return orders.assign(below_largest=price.max() - price)
+
+    out = exchange.map_groups(rows, ["o_custkey"], gaps, "o_custkey bigint, o_orderkey bigint, below_largest double")
+    return out.withColumn("below_largest", F.round("below_largest", 2))

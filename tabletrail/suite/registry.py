@@ -20,10 +20,17 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self._folder = folder.rstrip("/")
+        self._made: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self._folder}/{name}.parquet")
 
+    def once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A table that several parts of one query share."""
+        if name not in self._made:
+            self._made[name] = build()
+        return self._made[name]
+
 
 REGISTRY: dict[str, Entry] = {}
 

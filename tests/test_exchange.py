@@ -106,7 +106,7 @@ def test_user_code(spark):
 
     out = exchange.map_groups(df, ["g"], centred, "g string, c double")
     assert sorted(map(tuple, out.collect())) == [("a", -1.0), ("a", 1.0), ("b", 0.0)]
-    with pytest.raises(ExchangeError, match="max_group_rows=1"):
-        exchange.map_groups(df, ["g"], centred, "g string, c double", max_group_rows=1)
+    many = spark.range(1_200_000).selectExpr("'x' AS g", "id % 2 AS v")
+    assert exchange.map_groups(many, ["g"], centred, "g string, c double").groupBy("c").count().count() == 2
     with pytest.raises(ExchangeError, match="'t'"):
         exchange.map_table(df, lambda b: b, "t timestamp")

@@ -44,10 +44,9 @@ def test_row_numbers(spark, partitions):
     assert list(got["id"]) == list(want["id"])
 
 
-@pytest.mark.parametrize("small_rows", [0, 10**6])
-def test_running_aggregates(spark, small_rows):
+def test_running_aggregates(spark):
     df = spark.range(3000).select((F.col("id") % 3).alias("g"), F.pmod(F.xxhash64("id"), F.lit(100000)).alias("x")).distinct()
-    scanned = Ordered(df, [F.col("x").desc()], ["g"], small_rows=small_rows).total("x", "t").minimum("x", "m").result().toPandas()
+    scanned = Ordered(df, [F.col("x").desc()], ["g"]).total("x", "t").minimum("x", "m").result().toPandas()
     want = scanned.sort_values(["g", "x"], ascending=[True, False])
     assert list(want.groupby("g")["x"].cumsum()) == list(want["t"])
     assert list(want.groupby("g")["x"].cummin()) == list(want["m"])
