@@ -25,7 +25,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
@@ -71,27 +70,36 @@ def frequencies(indexed: DataFrame) -> DataFrame:
     return indexed.select("terms").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
 
 
+class Postings:
+    """Postings of the terms asked for, gathered batch by batch; nothing else of a document is held."""
+
+    def __init__(self, asked: np.ndarray, idf: np.ndarray, mean: float):
+        self.asked, self.idf, self.mean = asked, idf, mean
+        self.ids, self.n = [], 0
+        self.found = [(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32))]
+
+    def add(self, ids: pa.Array, lengths: np.ndarray, sizes: np.ndarray, term: np.ndarray, tf: np.ndarray) -> None:
+        """Documents in the order of ids, with the ``sizes`` of their parts of ``term`` and ``tf``."""
+        doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        if len(self.asked):
+            place = np.minimum(np.searchsorted(self.asked, term), len(self.asked) - 1)
+            wanted = self.asked[place] == term
+            place, doc, tf = place[wanted], doc[wanted], tf[wanted].astype(np.float64)
+            impact = np.rint(self.idf[place] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / self.mean)) * SCALE)
+            self.found.append((place.astype(np.int32), doc + np.int32(self.n), impact.astype(np.int32)))
+        self.ids.append(ids)
+        self.n += len(sizes)
+
+
 class Shard:
     """The inverted index of some documents, restricted to the terms asked for."""
 
-    def __init__(self, ids: np.ndarray, lengths: np.ndarray, lists: list, counts: list, asked: np.ndarray, idf: np.ndarray, mean: float):
-        self.ids, self.asked = ids, asked
-        n = self.n = len(ids)
-        found = [(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32))]
-        # Some documents at a time, so that only postings of terms asked for are held.
-        for at in range(0, n if len(asked) else 0, 1024):
-            part = lists[at:at + 1024]
-            term = np.concatenate(part)
-            doc = np.repeat(np.arange(at, at + len(part), dtype=np.int32), [len(x) for x in part])
-            tf = np.concatenate(counts[at:at + 1024])
-            place = np.minimum(np.searchsorted(asked, term), len(asked) - 1)
-            wanted = asked[place] == term
-            place, doc, tf = place[wanted], doc[wanted], tf[wanted].astype(np.float64)
-            impact = np.rint(idf[place] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / mean)) * SCALE)
-            found.append((place.astype(np.int32), doc, impact.astype(np.int32)))
-            lists[at:at + 1024] = counts[at:at + 1024] = [None] * len(part)
+    def __init__(self, postings: Postings):
+        self.ids = pa.chunked_array(postings.ids, pa.int64())
+        asked, n, found = postings.asked, postings.n, postings.found
+        self.n = n
         place, doc, impact = (np.concatenate(x) for x in zip(*found))
-        del found
+        found.clear()
         order = np.argsort(place, kind="stable")  # documents stay in order within a term
         place, self.doc, self.impact = place[order], doc[order], impact[order]
         del order, doc, impact
@@ -114,9 +122,9 @@ class Shard:
         self.entry = np.append(self.entry, len(key))
 
     def search(self, queries: list[np.ndarray], top: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Documents (as positions) and scores of the best ``top`` of each query (its terms), all ties at the end included."""
+        """Documents (as positions) and scores of the best ``top`` of each query (places of its terms), all ties at the end included."""
         for at in range(0, len(queries), 256):
-            part = [np.searchsorted(self.asked, q) for q in queries[at:at + 256]]
+            part = queries[at:at + 256]
             asks = np.zeros((len(self.dense), len(part)))
             for j, q in enumerate(part):
                 columns = self.column[q]
@@ -167,13 +175,52 @@ def _ranges(lows: np.ndarray, highs: np.ndarray) -> np.ndarray:
     return (starts + np.arange(total)).astype(np.int64)
 
 
-def _asked(terms: list[np.ndarray], frequencies: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct terms of all queries in order, with their frequencies; merged some queries at a time."""
-    flat, held = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for at in range(0, len(terms), 1024):
-        flat, first = np.unique(np.concatenate([flat, *terms[at:at + 1024]]), return_index=True)
-        held = np.concatenate([held, *frequencies[at:at + 1024]])[first]
-    return flat, held
+class Cell:
+    """One block of queries against one shard: queries are added first, then documents, then ``answers`` is read."""
+
+    def __init__(self, n: int, mean: float):
+        self.n, self.mean = n, mean
+        self.query, self.sizes, self.parts = [], [], []
+        self.asked, self.df = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.postings: Postings | None = None
+
+    def queries(self, ids: np.ndarray, sizes: np.ndarray, term: np.ndarray, df: np.ndarray) -> None:
+        self.query.append(ids)
+        self.sizes.append(sizes)
+        self.parts.append(term)
+        self.asked, first = np.unique(np.concatenate([self.asked, term]), return_index=True)
+        self.df = np.concatenate([self.df, df])[first]
+
+    def documents(self, *rows) -> None:
+        if self.postings is None:
+            self.parts = [np.searchsorted(self.asked, part).astype(np.int32) for part in self.parts]
+            self.postings = Postings(self.asked, np.log(1 + (self.n - self.df + 0.5) / (self.df + 0.5)), self.mean)
+        self.postings.add(*rows)
+
+    def answers(self, top: int) -> Iterator[pa.RecordBatch]:
+        if self.postings is None or not self.query:
+            return
+        index, self.postings = Shard(self.postings), None
+        for ids, sizes, flat in zip(self.query, self.sizes, self.parts):
+            found, points = [np.zeros(0, np.int64)], [np.zeros(0)]
+            for docs, scores in index.search(np.split(flat, np.cumsum(sizes)[:-1]), top):
+                # Positions are in the order of ids, nulls last.
+                best = np.lexsort((docs, -scores))[:top]
+                found.append(docs[best])
+                points.append(scores[best])
+            yield pa.RecordBatch.from_pydict({
+                "query_id": pa.array(np.repeat(ids, [len(x) for x in found[1:]]), pa.int64()),
+                "doc_id": index.ids.take(pa.array(np.concatenate(found))).combine_chunks(), "points": pa.array(np.concatenate(points).astype(np.int64)),
+            })
+
+
+def _pieces(batch: pa.RecordBatch, rows: int = 512) -> Iterator[tuple[tuple[int, int], int, pa.RecordBatch]]:
+    """Runs of equal ``shard, block, kind`` in a batch, of some rows at most."""
+    key = np.stack([batch.column(name).to_numpy() for name in ("shard", "block", "kind")])
+    starts = np.flatnonzero((np.diff(key, axis=1, prepend=-1) != 0).any(axis=0))
+    for low, high in zip(starts, np.append(starts[1:], batch.num_rows)):
+        for at in range(low, high, rows):
+            yield (int(key[0, low]), int(key[1, low])), int(key[2, low]), batch.slice(at, min(rows, high - at))
 
 
 def search(docs: DataFrame, queries: DataFrame, top: int = TOP, shard_docs: int = SHARD_DOCS, query_block: int = QUERY_BLOCK) -> DataFrame:
@@ -192,26 +239,28 @@ def search(docs: DataFrame, queries: DataFrame, top: int = TOP, shard_docs: int
     block = F.pmod(F.xxhash64(F.lit("block"), "query_id"), F.lit(blocks)).cast("int")
     shard = F.pmod(F.xxhash64(F.lit("shard"), "doc_id"), F.lit(shards)).cast("int")
     every_block, every_shard = F.sequence(F.lit(0), F.lit(blocks - 1)), F.sequence(F.lit(0), F.lit(shards - 1))
-    left = indexed.select(shard.alias("shard"), F.explode(every_block).alias("block"), "doc_id", "length", "terms", "counts")
-    right = vectors.select(F.explode(every_shard).alias("shard"), block.alias("block"), "query_id", "term", "df")
-
-    def run(texts: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        if not len(texts) or not len(wanted):
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "doc_id": pd.array([], "Int64"), "points": np.zeros(0, np.int64)})
-        flat, held = _asked(wanted["term"].to_list(), wanted["df"].to_list())
-        idf = np.log(1 + (n - held + 0.5) / (held + 0.5))
-        texts = texts.sort_values("doc_id", kind="stable")
-        index = Shard(texts["doc_id"].astype("Int64").array, texts["length"].to_numpy(float), texts["terms"].to_list(), texts["counts"].to_list(), flat, idf, mean)
-        docs, scores = [], []
-        for found, points in index.search(wanted["term"].to_list(), top):
-            # Positions are in the order of ids, nulls last.
-            best = np.lexsort((found, -points))[:top]
-            docs.append(found[best])
-            scores.append(points[best].astype(np.int64))
-        query = np.repeat(wanted["query_id"].to_numpy(), [len(x) for x in docs])
-        return pd.DataFrame({"query_id": query, "doc_id": index.ids[np.concatenate(docs)], "points": np.concatenate(scores)})
-
-    cells = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(run, "query_id long, doc_id long, points long")
+    none = F.lit(None).cast("long")
+    left = indexed.select(shard.alias("shard"), F.explode(every_block).alias("block"), F.lit(1).alias("kind"), F.col("doc_id").alias("id"), "length", "terms", F.col("counts").cast("array<bigint>").alias("held"))
+    right = vectors.select(F.explode(every_shard).alias("shard"), block.alias("block"), F.lit(0).alias("kind"), F.col("query_id").alias("id"), none.alias("length"), F.col("term").alias("terms"), F.col("df").alias("held"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, current = Cell(n, mean), None
+        for batch in batches:
+            for key, kind, rows in _pieces(batch):
+                if key != current:
+                    yield from cell.answers(top)
+                    cell, current = Cell(n, mean), key
+                lists, held = rows.column("terms"), rows.column("held")
+                sizes, term, values = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy(), held.flatten().to_numpy()
+                if kind:
+                    cell.documents(rows.column("id"), rows.column("length").to_numpy().astype(float), sizes, term, values)
+                else:
+                    cell.queries(rows.column("id").to_numpy(), sizes, term, values)
+        yield from cell.answers(top)
+
+    # Sorted rows go by in batches: no cell is ever held as a whole outside the index.
+    dealt = right.unionByName(left).repartition("shard", "block").sortWithinPartitions("shard", "block", "kind", F.col("id").asc_nulls_last())
+    cells = dealt.mapInArrow(run, "query_id long, doc_id long, points long")
     ranked = Window.partitionBy("query_id").orderBy(F.desc("points"), F.col("doc_id").asc_nulls_last())
     merged = cells.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= top)
     return merged.select("query_id", "rank", "doc_id", (F.col("points") / SCALE).alias("score"))
