@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tabletrail.plans.staging import new_scratch, staged
@@ -36,3 +39,15 @@ def measured(df: DataFrame) -> DataFrame:
     """``df`` staged, with a broadcast hint if its measured size allows one."""
     table = staged(df)
     return F.broadcast(table) if table._rows <= BROADCAST_ROWS and table._bytes <= BROADCAST_BYTES else table
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of ``rows`` at most in the jobs run inside; the session's own setting returns afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

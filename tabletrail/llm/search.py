@@ -29,13 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from .common import read, saved, words
+from .common import arrow_rows, read, saved, words
 
 K1, B, TOP = 1.2, 0.75, 10
 EVERY = 20
 BLOCK, DENSE, SCALE = 64, 24, 1 << 20
 SHARD_DOCS, QUERY_BLOCK = 12_288, 16_384
 SHARD_WORDS = 6 << 20
+BATCH = 512  # rows, each with all terms of a document
 ROUND = 8  # blocks visited before the k-th best score is looked at first; then eight times as many each time
 
 
@@ -214,7 +215,7 @@ class Cell:
             })
 
 
-def _pieces(batch: pa.RecordBatch, rows: int = 512) -> Iterator[tuple[tuple[int, int], int, pa.RecordBatch]]:
+def _pieces(batch: pa.RecordBatch, rows: int = BATCH) -> Iterator[tuple[tuple[int, int], int, pa.RecordBatch]]:
     """Runs of equal ``shard, block, kind`` in a batch, of some rows at most."""
     key = np.stack([batch.column(name).to_numpy() for name in ("shard", "block", "kind")])
     starts = np.flatnonzero((np.diff(key, axis=1, prepend=-1) != 0).any(axis=0))
@@ -260,7 +261,8 @@ def search(docs: DataFrame, queries: DataFrame, top: int = TOP, shard_docs: int
 
     # Sorted rows go by in batches: no cell is ever held as a whole outside the index.
     dealt = right.unionByName(left).repartition("shard", "block").sortWithinPartitions("shard", "block", "kind", F.col("id").asc_nulls_last())
-    cells = dealt.mapInArrow(run, "query_id long, doc_id long, points long")
+    with arrow_rows(docs.sparkSession, BATCH):
+        cells = saved(dealt.mapInArrow(run, "query_id long, doc_id long, points long"), "cells")
     ranked = Window.partitionBy("query_id").orderBy(F.desc("points"), F.col("doc_id").asc_nulls_last())
     merged = cells.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= top)
     return merged.select("query_id", "rank", "doc_id", (F.col("points") / SCALE).alias("score"))
