@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audits, exchanges, matrices, publishing, relational, statistics
+from . import audits, exchanges, matrices, projects, publishing, relational, statistics
 from .registry import REGISTRY
 
-__all__ = ["audits", "exchanges", "matrices", "oracle_sql", "publishing", "queries", "relational", "statistics"]
+__all__ = ["audits", "exchanges", "matrices", "oracle_sql", "projects", "publishing", "queries", "relational", "statistics"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

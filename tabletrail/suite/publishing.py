@@ -21,47 +21,45 @@ def _project(spark: SparkSession) -> Project:
     return Project(spark, new_scratch(spark, "project"))
 
 
-@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate FROM orders")
+@query("SELECT * FROM orders")
 def publish_roundtrip(t: Tables) -> DataFrame:
     project = _project(t.spark)
-    orders = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
-    project.save_shared(orders, "orders", inputs=[], producer=UNIT, sort_by=["o_orderkey"])
+    project.save_shared(t.orders, "orders", inputs=[], producer=UNIT, sort_by=["o_orderkey"])
     return project.load_shared("orders")
 
 
-@query("SELECT doc_id, text, lang, CASE WHEN lang <> 'en' THEN source END AS source, CASE WHEN lang = 'de' THEN '' ELSE lang END AS blank FROM documents")
+@query("SELECT doc_id, n_chars, text, lang, CASE WHEN lang <> 'en' THEN source END AS source, CASE WHEN lang = 'de' THEN '' ELSE lang END AS blank FROM documents")
 def publish_text_roundtrip(t: Tables) -> DataFrame:
     project = _project(t.spark)
     documents = t.documents.select(
-        "doc_id", "text", "lang", F.when(F.col("lang") != "en", F.col("source")).alias("source"),
+        "doc_id", "n_chars", "text", "lang", F.when(F.col("lang") != "en", F.col("source")).alias("source"),
         F.when(F.col("lang") == "de", "").otherwise(F.col("lang")).alias("blank"),
     )
     project.save_shared(documents, "documents", inputs=[], producer=UNIT, fmt="csv")
     return project.load_shared("documents")
 
 
-@query("SELECT p_partkey, p_name, p_brand, p_size, p_retailprice FROM part")
+@query("SELECT * FROM part")
 def preserve_roundtrip(t: Tables) -> DataFrame:
     project = _project(t.spark)
-    parts = t.part.select("p_partkey", "p_name", "p_brand", "p_size", "p_retailprice")
-    project.preserve_table(parts, "suite", producer=UNIT, filename="parts")
+    project.preserve_table(t.part, "suite", producer=UNIT, filename="parts")
     path = project.preserved_path("suite.py", "suite", "parts.csv")
-    return textformat.reader(t.spark, parts.schema, "csv").load(path)
+    return textformat.reader(t.spark, t.part.schema, "csv").load(path)
 
 
-@query("SELECT o_orderkey::INT AS o_orderkey, o_orderstatus, o_totalprice, o_orderdate::DATE AS o_orderdate FROM orders")
+@query("SELECT * REPLACE (o_orderkey::INT AS o_orderkey, o_custkey::INT AS o_custkey, o_orderdate::DATE AS o_orderdate) FROM orders")
 def external_csv(t: Tables) -> DataFrame:
     project = _project(t.spark)
     path = project.external_path("orders.csv")
-    exported = t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice", F.col("o_orderdate").cast("date").alias("o_orderdate"))
+    exported = t.orders.withColumn("o_orderdate", F.col("o_orderdate").cast("date"))
     exported.write.option("header", "true").csv(path)
     return project.load_external("orders.csv")
 
 
-@query("SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")
+@query("SELECT * FROM customer")
 def external_tsv(t: Tables) -> DataFrame:
     project = _project(t.spark)
-    customers = t.customer.select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    customers = t.customer
     customers.write.option("header", "true").option("sep", "\t").csv(project.external_path("customer.tsv"))
     return project.load_external("customer.tsv", schema=customers.schema)
 
