@@ -9,9 +9,9 @@ all others share ``HASHED`` tokens by hash. A token is two digits of base ``BASE
 network gives the first digit and then the second one given the first, so a probability
 is exact at the price of two small softmaxes.
 
-Training reads every document in each round: every task starts from the same weights,
-walks over its own texts with Adam on every ``STRIDE``-th position (another offset each
-round), and adds its weights, times the positions it saw, as whole numbers. Spark sums
+Training predicts every position of every document in each round: every task starts from
+the same weights, walks over its own texts with Adam, and adds its weights, times the
+positions it saw, as whole numbers. Spark sums
 them per weight, so what is gathered grows with the corpus while the driver receives
 one number per weight. The sum does not depend on the order of tasks.
 
@@ -36,7 +36,7 @@ BASE = 32
 HASHED = 256
 OWN = BASE * BASE - HASHED
 WIDTH, HIDDEN = 12, 24
-STRIDE, ROUNDS, BATCH, RATE, SEED = 8, 2, 512, 0.01, 5
+STRIDE, ROUNDS, BATCH, RATE, SEED = 1, 2, 512, 0.01, 5
 SCALE = 1 << 16
 CHUNK = 1 << 15  # positions scored at once
 
@@ -113,12 +113,12 @@ def gradients(w: Weights, around: np.ndarray, tokens: np.ndarray) -> Weights:
     d_two /= n
     d_hidden = (d_one @ w["first"].T + d_two @ w["second"].T) * (1 - hidden**2)
     d_seen = (d_hidden @ w["in"].T).reshape(-1, WIDTH)
-    embed, second_b = np.zeros_like(w["embed"]), np.zeros_like(w["second_b"])
-    np.add.at(embed, around.ravel(), d_seen)
-    np.add.at(second_b, tokens // BASE, d_two)
+    places = (around.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel()
+    embed = np.bincount(places, d_seen.ravel(), w["embed"].size).reshape(w["embed"].shape)
+    digits = (tokens[:, None] // BASE == np.arange(BASE)).astype(d_two.dtype)
     return {
-        "embed": embed, "in": seen.T @ d_hidden, "in_b": d_hidden.sum(0), "first": hidden.T @ d_one,
-        "first_b": d_one.sum(0), "second": hidden.T @ d_two, "second_b": second_b,
+        "embed": embed.astype(w["embed"].dtype), "in": seen.T @ d_hidden, "in_b": d_hidden.sum(0), "first": hidden.T @ d_one,
+        "first_b": d_one.sum(0), "second": hidden.T @ d_two, "second_b": digits.T @ d_two,
     }
 
 
@@ -149,13 +149,17 @@ def shaped(values: np.ndarray) -> Weights:
 
 
 def train(docs: DataFrame, words: list[str], rounds: int = ROUNDS, stride: int = STRIDE) -> Weights:
-    """Weights after ``rounds`` of local training and averaging over all texts."""
+    """Weights after ``rounds`` of local training and averaging over all texts.
+
+    With a ``stride`` above 1 a task trains on every ``stride``-th of its positions, counted
+    on from text to text, so that beginnings, ends and short texts have their share.
+    """
     weights = untrained()
     for turn in range(rounds):
         start = flat(weights)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            tokens, local, positions = Tokens(words), Adam(shaped(start)), 0
+            tokens, local, positions, walked = Tokens(words), Adam(shaped(start)), 0, 0
             held: list[tuple[np.ndarray, np.ndarray]] = []
             waiting = 0
 
@@ -167,7 +171,8 @@ def train(docs: DataFrame, words: list[str], rounds: int = ROUNDS, stride: int =
             for batch in batches:
                 for text in batch["text"]:
                     line = tokens.of(text)
-                    picked = np.arange((turn * stride // rounds + len(line)) % stride, len(line), stride)
+                    picked = np.arange((turn * stride // rounds - walked) % stride, len(line), stride)
+                    walked += len(line)
                     if len(picked):
                         held.append((contexts(line)[picked], line[picked]))
                         waiting += len(picked)

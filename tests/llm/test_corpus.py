@@ -147,6 +147,16 @@ def test_gradients_match_differences():
         assert abs((up - down) / 2e-5 - g[k][at]) < 1e-5
 
 
+@pytest.mark.parametrize("text", ["a b", "a b c d e f g h"])
+def test_training_reaches_short_texts_and_ends(spark, text):
+    docs = frame(spark, [(i, text, None, None) for i in range(30_000 // len(text.split()))])
+    words = lm_scores.vocabulary(docs)
+    line = lm_scores.Tokens(words).of(text)
+    one, two = lm_scores.forward(lm_scores.train(docs.coalesce(1), words), lm_scores.contexts(line), line)[2:]
+    told = one[np.arange(len(line)), line // lm_scores.BASE] + two[np.arange(len(line)), line % lm_scores.BASE]
+    assert told.min() > -1
+
+
 # 3 languages
 
 def test_languages_held_out(spark):
