@@ -7,7 +7,10 @@ its words; a higher mean per word is more like the corpus.
 Words are lower-cased; the ``OWN`` most frequent of the whole corpus are tokens of their own,
 all others share ``HASHED`` tokens by hash. A token is two digits of base ``BASE``; the
 network gives the first digit and then the second one given the first, so a probability
-is exact at the price of two small softmaxes.
+is exact at the price of two small softmaxes. A word that shares its token has the
+probability of the token times its share in it: its count over that of all words of
+the token plus one, where the one is for all unseen words together. Spark joins the
+counts to the words, so every distinct word of the corpus has a probability of its own.
 
 Training predicts every position of every document in each round: every task starts from
 the same weights, walks over its own texts with Adam, and adds its weights, times the
@@ -27,9 +30,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import SPACE, read
+from .common import SPACE, read, saved
 
 SIDE = 2
 BASE = 32
@@ -39,17 +42,37 @@ WIDTH, HIDDEN = 12, 24
 STRIDE, ROUNDS, BATCH, RATE, SEED = 1, 2, 512, 0.01, 5
 SCALE = 1 << 16
 CHUNK = 1 << 15  # positions scored at once
+LOG_SCALE = 1 << 32
 
 Weights = dict[str, np.ndarray]
 
 
-def vocabulary(docs: DataFrame) -> list[str]:
+def word_of(text: Column) -> Column:
+    """The words of a text in lower case, a row each; empty ones among them."""
+    return F.explode(F.split(F.lower(F.coalesce(text, F.lit(""))), SPACE))
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """``word, count`` of every distinct word of all texts."""
+    return docs.select(word_of(F.col("text")).alias("word")).where("word <> ''").groupBy("word").count()
+
+
+def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> list[str]:
     """The most frequent words, first the most frequent; counted over all texts."""
-    word = F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), SPACE))
-    counts = docs.select(word.alias("word")).where("word <> ''").groupBy("word").count()
+    counts = word_counts(docs) if counts is None else counts
     return [r["word"] for r in counts.orderBy(F.desc("count"), "word").limit(OWN).collect()]
 
 
+def shared_counts(counts: DataFrame, words: list[str]) -> np.ndarray:
+    """How often each of the ``HASHED`` tokens occurs."""
+    token = F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(HASHED))
+    rows = counts.where(~F.col("word").isin(words)).groupBy(token.alias("token")).agg(F.sum("count").alias("count")).collect()
+    out = np.zeros(HASHED)
+    for r in rows:
+        out[r["token"]] = r["count"]
+    return out
+
+
 class Tokens:
     def __init__(self, words: list[str]):
         self.own = {w.encode(): i for i, w in enumerate(words)}
@@ -197,25 +220,42 @@ def train(docs: DataFrame, words: list[str], rounds: int = ROUNDS, stride: int =
     return weights
 
 
-def scored(docs: DataFrame, words: list[str], weights: Weights) -> DataFrame:
-    """``doc_id, n_tokens, log_likelihood, mean_log_likelihood`` of every document."""
+def scored(docs: DataFrame, words: list[str], weights: Weights, counts: DataFrame | None = None) -> DataFrame:
+    """``doc_id, n_tokens, log_likelihood, mean_log_likelihood`` of every document.
+
+    ``counts`` has ``word, count`` rows of the corpus; by default those of ``docs``.
+    """
+    counts = saved(word_counts(docs), "words") if counts is None else counts
+    wholes = np.log(shared_counts(counts, words) + 1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens = Tokens(words)
         for batch in batches:
             lines = [tokens.of(text) for text in batch["text"]]
-            sums = np.array([log_likelihood(weights, line) for line in lines], float)
-            counts = np.array([len(line) for line in lines], np.int64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64").to_numpy(), "n_tokens": counts, "log_likelihood": sums, "mean_log_likelihood": sums / np.maximum(counts, 1)})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double")
+            sums = np.array([log_likelihood(weights, line) - wholes[line[line >= OWN] - OWN].sum() for line in lines], float)
+            sizes = np.array([len(line) for line in lines], np.int64)
+            yield pd.DataFrame({"row": batch["row"], "doc_id": batch["doc_id"].astype("Int64").to_numpy(), "n_tokens": sizes, "sum": sums})
+
+    # Written once: both readers see the same numbers of rows.
+    rows = saved(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text")), "rows")
+    told = rows.mapInPandas(run, "row long, doc_id long, n_tokens long, sum double")
+    # A word that shares its token is not among the OWN most frequent, so no key is hot. The
+    # log of a count of one is 0; logs are whole numbers, whose sum has no order.
+    rare = rows.select("row", word_of(F.col("text")).alias("word")).where((F.col("word") != "") & ~F.col("word").isin(words))
+    logs = counts.where("count > 1").select(F.col("word").alias("_word"), F.round(F.log("count") * LOG_SCALE).cast("long").alias("log")).hint("shuffle_hash")
+    shares = rare.join(logs, F.col("word") == F.col("_word")).groupBy(F.col("row").alias("_row")).agg(F.sum("log").alias("log"))
+    total = F.col("sum") + F.coalesce(F.col("log"), F.lit(0)) / LOG_SCALE
+    return told.join(shares, F.col("row") == F.col("_row"), "left").select(
+        "doc_id", "n_tokens", total.alias("log_likelihood"), (total / F.greatest("n_tokens", F.lit(1))).alias("mean_log_likelihood"),
+    )
 
 
 def op2_masked_likelihood(spark: SparkSession, folder: str) -> DataFrame:
     """Every document scored by a network trained on all of them."""
     docs = read(spark, folder, "documents")
-    words = vocabulary(docs)
-    return scored(docs, words, train(docs, words))
+    counts = saved(word_counts(docs), "words")
+    words = vocabulary(docs, counts)
+    return scored(docs, words, train(docs, words), counts)
 
 
 QUERIES = {"op2_masked_likelihood": op2_masked_likelihood}

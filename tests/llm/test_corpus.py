@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import os
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -157,6 +159,32 @@ def test_training_reaches_short_texts_and_ends(spark, text):
     assert told.min() > -1
 
 
+def test_words_of_a_shared_token_have_their_own_probability(spark):
+    rng, weights = random.Random(5), lm_scores.untrained()
+    texts = [" ".join(f"W{int(1500 * rng.random() ** 2)}" for _ in range(rng.randint(0, 90))) for _ in range(200)]
+    docs = frame(spark, [(i, t, None, None) for i, t in enumerate(texts)] + [(0, texts[0], None, None), (200, None, None, None)])
+    words = lm_scores.vocabulary(docs)
+    tokens, counts = lm_scores.Tokens(words), Counter(w for t in [*texts, texts[0]] for w in t.lower().split())
+    whole = Counter()
+    for w, n in counts.items():
+        whole[tokens.of(w)[0]] += n
+
+    def want(text):
+        rare = [w for w in text.lower().split() if w not in words]
+        return lm_scores.log_likelihood(weights, tokens.of(text)) + sum(math.log(max(counts[w], 1) / (whole[tokens.of(w)[0]] + 1)) for w in rare)
+
+    assert len(words) == lm_scores.OWN and len(counts) > 1000
+    got = lm_scores.scored(docs, words, weights).collect()
+    assert len(got) == 202
+    for r in got:
+        assert abs(r.log_likelihood - want([*texts, ""][r.doc_id])) < 1e-4
+    # Two words of one token; a word that the corpus lacks.
+    often, seldom = next((a, b) for a in counts for b in counts if counts[a] > counts[b] and a not in words and b not in words and tokens.of(a) == tokens.of(b))
+    asked = {1: often, 2: seldom, 3: "unseen"}
+    got = {r.doc_id: r.log_likelihood for r in lm_scores.scored(frame(spark, [(i, t, None, None) for i, t in asked.items()]), words, weights, lm_scores.word_counts(docs)).collect()}
+    assert got[1] - got[2] > 0.1 and all(abs(got[i] - want(t)) < 1e-4 for i, t in asked.items())
+
+
 # 3 languages
 
 def test_languages_held_out(spark):
