@@ -97,7 +97,7 @@ def find(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return kept.select("blob", "rule", (F.col("end") - F.col("part.size")).cast("long").alias("start"), F.col("end").cast("long").alias("end"))
 
 
-def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, path: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """Bring the ledger folder up to date with ``docs`` and return all findings of ``rules`` in it.
 
     Findings are appended before the pairs they belong to are marked as seen, so a
@@ -105,18 +105,15 @@ def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, path: st
     """
     spark = docs.sparkSession
     names = [r.name for r in rules]
-    versions = docs.select(F.col(path).alias("path"), F.coalesce(F.col(text), F.lit("")).alias("text"), blob(F.col(text)).alias("blob"))
-    first = versions.groupBy("blob").agg(F.min("path").alias("path"))
-    todo = first.withColumn("rules", F.array(*map(F.lit, names)))
+    versions = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), blob(F.col(text)).alias("blob"))
+    # One row per blob, whatever paths or repeated rows hold it; copies merge before the shuffle.
+    todo = versions.groupBy("blob").agg(F.any_value("text").alias("text")).withColumn("rules", F.array(*map(F.lit, names)))
     if exists(spark, f"{ledger}/seen"):
         seen = spark.read.schema(_SEEN).parquet(f"{ledger}/seen").select("blob", F.explode("rules").alias("rule"))
         seen = seen.where(F.col("rule").isin(names)).groupBy("blob").agg(F.collect_set("rule").alias("done"))
         todo = todo.join(seen, "blob", "left").withColumn("rules", F.array_except("rules", F.coalesce("done", F.array().cast("array<string>")))).drop("done")
         todo = todo.where(F.size("rules") > 0)
-    # The path spreads the copies of a blob; only the first of them finds its partner.
-    picked = todo.select(F.col("blob").alias("_blob"), F.col("path").alias("_path"), "rules").hint("shuffle_hash")
-    unseen = versions.join(picked, (F.col("blob") == F.col("_blob")) & F.col("path").eqNullSafe(F.col("_path")))
-    find(unseen.select("blob", "text", "rules"), rules).write.mode("append").parquet(f"{ledger}/found")
+    find(todo.select("blob", "text", "rules"), rules).write.mode("append").parquet(f"{ledger}/found")
     todo.select("blob", "rules").write.mode("append").parquet(f"{ledger}/seen")
     found = spark.read.schema(_FOUND).parquet(f"{ledger}/found").where(F.col("rule").isin(names))
     return found.distinct()
