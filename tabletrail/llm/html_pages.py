@@ -8,7 +8,8 @@ whole sequence and labels every block as main text or not.
 The network is trained on ``TRAIN_PAGES`` seeded layouts, drawn from common ways to mark
 up articles and what surrounds them. Nothing of the pages to extract is learned from.
 
-Markup, comments, scripts and styles never become blocks. Character references are
+Markup, comments, scripts and styles never become blocks. Nor does what stands in a closed
+``UNSEEN`` element; one without an end tag hides nothing. Text in ``<math>`` is text. Character references are
 decoded, white space in a block becomes one space, kept blocks join by a line break.
 
 Edge cases: null or empty html, and pages without main text, give an empty text;
@@ -40,9 +41,14 @@ STEP_ROOM = 1 << 14  # blocks of a padded batch; a longer page is a batch of its
 # Elements of HTML.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = ("script", "style", "template", "svg", "math", "iframe", "noembed", "noframes", "object", "canvas", "audio", "video")
+RAW = ("script", "style", "iframe", "noembed", "noframes")
+FOREIGN = {"svg", "math"}
+UNSEEN = {"template", "svg", "object", "canvas", "audio", "video"}  # what they hold is not shown as text
+LEAVES = set("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+RETURNS = set("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
-WALLS = {"ul", "ol", "dl", "table", "select"}
+SCOPES = {"object", "template"}
+WALLS = {"ul", "ol", "dl", "table", "select"} | SCOPES
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>(?:[^>"']|"[^"]*"|'[^']*')*))>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 _NAME = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -60,17 +66,17 @@ def blocks(html: str | None) -> list[Block]:
     """Leaf blocks of a page in order."""
     html = html or ""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, tuple[str, ...], tuple | None]] = []  # the last says what was there before an embedded element
     parts: list[str] = []
     linked = at = 0
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, parts
         if parts:
             text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
             if text:
-                out.append(Block(text, tuple(word for _, words in stack for word in words), linked))
-            parts.clear()
+                out.append(Block(text, tuple(word for _, words, _ in stack for word in words), linked))
+            parts = []  # a mark may hold the old ones
         linked = 0
 
     def close(names: tuple[str, ...], walls: set[str] = frozenset()) -> None:
@@ -81,12 +87,13 @@ def blocks(html: str | None) -> list[Block]:
             if stack[i][0] in walls:
                 return
 
+    foreign = False
     while True:
         token = _TOKEN.search(html, at)
         piece = html[at:token.start() if token else len(html)]
         if piece:
             parts.append(piece)
-            if any(tag == "a" for tag, _ in stack):
+            if any(tag == "a" for tag, *_ in stack):
                 linked += len(piece)
         if not token:
             break
@@ -95,12 +102,18 @@ def blocks(html: str | None) -> list[Block]:
         if tag is None:
             continue
         tag = tag.lower()
+        outer = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in FOREIGN), None) if foreign else None
         if ends:
-            if tag not in INLINE:
-                flush()
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+            if tag in UNSEEN:
+                if depth is not None:
+                    size, parts, length, linked = stack[depth][2]
+                    del out[size:], parts[length:], stack[depth:]
+                continue
+            if tag not in INLINE and tag not in FOREIGN and (outer is None or depth is None or depth < outer):
+                flush()
             if depth is not None:
-                if tag in INLINE and any(t not in INLINE for t, _ in stack[depth + 1:]):
+                if tag in INLINE and any(t not in INLINE for t, *_ in stack[depth + 1:]):
                     del stack[depth]
                 else:
                     del stack[depth:]
@@ -110,6 +123,18 @@ def blocks(html: str | None) -> list[Block]:
             if not rest.endswith("/"):
                 at = stop.end() if stop else len(html)
             continue
+        if outer is not None and not any(t in RETURNS for t, *_ in stack[outer + 1:]):
+            if tag in LEAVES:
+                del stack[outer:]
+            else:
+                if not rest.endswith("/"):
+                    stack.append((tag, (), (len(out), parts, len(parts), linked)))
+                continue
+        if tag in UNSEEN or tag in FOREIGN:
+            if not rest.endswith("/"):
+                stack.append((tag, (), (len(out), parts, len(parts), linked)))
+                foreign |= tag in FOREIGN
+            continue
         if tag == "br":
             parts.append(" ")
             continue
@@ -118,13 +143,13 @@ def blocks(html: str | None) -> list[Block]:
             if tag in CLOSES:
                 close(CLOSES[tag], WALLS)
             else:
-                close(("p",))
+                close(("p",), SCOPES)
         if tag in VOID:
             continue
         words = [tag]
         for found in _NAME.finditer(rest) if rest else ():
             words += [f".{w}" for w in _PARTS.findall((found[1] or found[2] or found[3] or "").lower())]
-        stack.append((tag, tuple(words)))
+        stack.append((tag, tuple(words), None))
     flush()
     return out
 

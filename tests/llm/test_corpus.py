@@ -307,6 +307,29 @@ def test_extraction(spark):
     assert html_pages.extract(pages.limit(0), model).count() == 0
 
 
+@pytest.mark.parametrize("tag", ["video", "audio", "canvas", "object", "svg", "math", "template"])
+def test_embedded_elements(tag):
+    texts = lambda html: [b.text for b in html_pages.blocks(html)]
+    shown = ["one in two"] if tag == "math" else ["one two"]
+    assert texts(f"<p>one <{tag}>in</{tag}> two</p><p>three</p>") == [*shown, "three"]
+    unclosed = f"<article><p>one <{tag}></p><p>two</p><div>three</div></article><footer>four</footer>"
+    assert texts(unclosed) == ["one", "two", "three", "four"]
+    assert [b.path for b in html_pages.blocks(unclosed)] == [("article", "p"), ("article", "p"), ("article", "div"), ("footer",)]
+    nested = texts(f"<div>one <{tag}>a<{tag}>b</{tag}>c</{tag}> two</div><p>three</p>")
+    assert nested == (["one abc two"] if tag == "math" else ["one two"]) + ["three"]
+    assert texts(f"<div>one <{tag}/>two</div><{tag} src=x><div>three</div>") == ["one two", "three"]
+
+
+def test_embedded_elements_with_blocks_and_formulas():
+    texts = lambda html: [b.text for b in html_pages.blocks(html)]
+    assert texts("<div>one <object><p>a<p>b</p><object>c</object><ul><li>d</ul></object> two</div><p>three") == ["one two", "three"]
+    assert texts("<p>if <math><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow></math> then</p>") == ["if x=2 then"]
+    assert texts("<svg><title>a</title><foreignObject><p>b</p></foreignObject><path d=x /></svg><p>one</p>") == ["one"]
+    assert texts("<b>one<div>two <video>in</b> side</video>three</div>") == ["one", "two three"]
+    assert texts("<svg><circle><p>one</p></svg><p>two</p>") == ["one", "two"]
+    assert texts("<p>one<script>a</p><p>b</script> two</p><p>three<iframe><p>c") == ["one two", "three"]
+
+
 # 7 substrings
 
 def brute_removed(rows):
