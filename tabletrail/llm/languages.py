@@ -178,9 +178,14 @@ def op3_language_profiles(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; those that are ``und`` go. The text decides, by its hash and length."""
+    """Documents with a language; those that are ``und`` go. The text decides, by its hash and length.
+
+    Without any labelled text only those go that are null or have no letter.
+    """
     judged = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull()).select("text", "lang")
     names, profiles = train(judged)
+    if not names:  # nothing to judge by: any text with a letter may stay
+        names, profiles = [""], np.zeros((1, DIM))
     key = [F.xxhash64("text").alias("_hash"), F.length("text").alias("_length")]
     told = predict(docs.select(*key, "text"), names, profiles)
     bad = saved(told.where(F.col("lang_pred") == "und").select("_hash", "_length").distinct(), "foreign")

@@ -538,6 +538,12 @@ def test_stages_on_awkward_and_empty_tables(spark, awkward, nothing, stage):
     assert ids == want[stage]
 
 
+def test_language_stage_without_labels_keeps_texts_with_letters(spark):
+    docs = frame(spark, [(1, "some words", None, "a"), (2, "12 34", None, "a"), (3, None, None, "a"), (4, "été", None, None), (None, "x", None, None)])
+    kept = languages.stage(spark, docs, FOLDER).select("doc_id").collect()
+    assert sorted(r.doc_id or 0 for r in kept) == [0, 1, 4]
+
+
 def test_pipeline_brute_force(spark):
     docs = pd.read_parquet(f"{FOLDER}/documents.parquet")
     bench = pd.read_parquet(f"{FOLDER}/benchmark.parquet")
