@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("decontamination", "mixing", "secrets", "simhash", "urls", "languages", "substrings", "html_pages", "lm_scores", "search", "byte_bpe")
+_MODULES = ("decontamination", "mixing", "secrets", "simhash", "urls", "languages", "substrings", "html_pages", "lm_scores", "search", "byte_bpe", "periodic", "spelling")
 
 
 def _gathered(name: str) -> dict:
