@@ -18,9 +18,9 @@ first counted per task. A block is known by two hashes of 64 bits, its anchor's
 content's, a window by two as well.
 
 Edge cases: a null or empty text has no words; texts shorter than a window lose nothing;
-rows with equal ids are equally early, so neither loses to the other at the same start,
-and a span found under an id holds for its rows of the same length and text hash; a null
-id comes first. Empty tables give no rows. Other columns are not looked at.
+rows with equal ids are equally early, so neither loses to the other at the same start;
+rows of an id that several share, or of a null id, are told apart by a hash of their text
+(equal rows lose the same words); a null id comes first. Empty tables give no rows. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import read, saved
+from .common import measured, read, saved
 
 SPAN = 20
 K = 6
@@ -42,7 +42,8 @@ SLICE = 1 << 20  # words worked on together
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
-_BLOCK = "a long, b long, doc_id long, start int, windows int"
+_BLOCK = "a long, b long, doc_id long, mark long, start int, windows int"
+_WINDOW = "v long, w long, doc_id long, mark long, start int"
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -86,18 +87,19 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
         yield int(row), values[offsets[row]:offsets[row + 1]]
 
 
-def _frame(schema: str, columns: list[np.ndarray], ids: pa.Array) -> pa.RecordBatch:
-    names = [part.split()[0] for part in schema.split(", ")]
-    arrays = {name: (ids if name == "doc_id" else None) for name in names}
+def _frame(schema: str, columns: list[np.ndarray], batch: pa.RecordBatch, rows: np.ndarray) -> pa.RecordBatch:
+    """``columns`` in the order of ``schema``, with id and mark of the rows of ``batch`` they come from."""
+    taken = pa.array(rows)
     rest = iter(columns)
+    arrays = {}
     for name, kind in (part.split() for part in schema.split(", ")):
-        if arrays[name] is None:
-            arrays[name] = pa.array(next(rest), pa.int64() if kind == "long" else pa.int32())
+        own = name in ("doc_id", "mark")
+        arrays[name] = batch.column(name).take(taken) if own else pa.array(next(rest), pa.int64() if kind == "long" else pa.int32())
     return pa.RecordBatch.from_pydict(arrays)
 
 
 def indexed(docs: DataFrame) -> DataFrame:
-    """All blocks of ``doc_id, hashes`` rows: ``a`` anchor, ``b`` content, ``doc_id, start, windows``."""
+    """All blocks of ``doc_id, mark, hashes`` rows: ``a`` anchor, ``b`` content, ``doc_id, mark, start, windows``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,18 +111,33 @@ def indexed(docs: DataFrame) -> DataFrame:
                 found.append(part)
                 held += len(part[0])
                 if held > SLICE // 8:
-                    yield _frame(_BLOCK, [np.concatenate(x) for x in zip(*found)], batch.column("doc_id").take(pa.array(np.concatenate(rows))))
+                    yield _frame(_BLOCK, [np.concatenate(x) for x in zip(*found)], batch, np.concatenate(rows))
                     rows, found, held = [], [], 0
             if found:
-                yield _frame(_BLOCK, [np.concatenate(x) for x in zip(*found)], batch.column("doc_id").take(pa.array(np.concatenate(rows))))
+                yield _frame(_BLOCK, [np.concatenate(x) for x in zip(*found)], batch, np.concatenate(rows))
 
-    return docs.select("doc_id", "hashes").mapInArrow(run, _BLOCK)
+    return docs.select("doc_id", "mark", "hashes").mapInArrow(run, _BLOCK)
 
 
-def hashed(docs: DataFrame, *more: str) -> DataFrame:
-    """``doc_id, text`` with the hash of every word."""
+def marked(docs: DataFrame) -> DataFrame:
+    """``doc_id, mark, text``: the mark is 0 where the id alone tells a row, else a hash of the text."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    shared = measured(texts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_shared")))
+    alone = F.col("doc_id").isNotNull() & F.col("_shared").isNull()
+    mark = F.when(alone, F.lit(0)).otherwise(F.xxhash64(F.coalesce("text", F.lit("")))).cast("long")
+    return texts.join(shared, F.col("doc_id") == F.col("_shared"), "left").select("doc_id", mark.alias("mark"), "text")
+
+
+def hashed(texts: DataFrame, *more: str) -> DataFrame:
+    """``doc_id, mark, text`` with the hash of every word."""
     parts = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.transform(parts, lambda w: F.xxhash64(w)).alias("hashes"), *more)
+    return texts.select("doc_id", "mark", "text", F.transform(parts, lambda w: F.xxhash64(w)).alias("hashes"), *more)
+
+
+def _same_row(texts: DataFrame, table: DataFrame, how: str) -> DataFrame:
+    """``texts`` with the columns of ``table``, one row per ``_doc_id, _mark``."""
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("mark") == F.col("_mark"))
+    return texts.join(table.withColumnsRenamed({"doc_id": "_doc_id", "mark": "_mark"}), same, how).drop("_doc_id", "_mark")
 
 
 def _earliest(*start: str):
@@ -128,31 +145,32 @@ def _earliest(*start: str):
     return F.min(F.struct(*start))
 
 
-def spans(docs: DataFrame) -> DataFrame:
-    """``doc_id, spans``: word ranges, ends exclusive, that windows found earlier cover, unordered.
+def spans(rows: DataFrame) -> DataFrame:
+    """``doc_id, mark, spans`` of ``marked`` rows: word ranges, ends exclusive, that windows found earlier cover, unordered.
 
     A range may be given several times and ranges may overlap.
     """
-    texts = hashed(docs.select("doc_id", "text"))
-    all_blocks = saved(indexed(texts), "blocks")
+    all_blocks = saved(indexed(hashed(rows)), "blocks")
     # Written first: a join of two plain exchanges can be split where an anchor is hot.
     known = saved(all_blocks.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("a").alias("_a")), "known")
     met = saved(all_blocks.join(known, F.col("a") == F.col("_a"), "left_semi"), "met")
     # One row per content: the phrase book of the parse.
-    book = saved(met.groupBy("a", "b").agg(_earliest("doc_id", "start").alias("first"), F.min("windows").alias("windows"), F.count(F.lit(1)).alias("n")), "book")
+    book = saved(met.groupBy("a", "b").agg(_earliest("doc_id", "start", "mark").alias("first"), F.min("windows").alias("windows"), F.count(F.lit(1)).alias("n")), "book")
     several = book.groupBy("a").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1").select(F.col("a").alias("_a"))
-    edges = book.join(several, F.col("a") == F.col("_a"), "left_semi").select("first.doc_id", "first.start", "windows")
+    opened = book.join(several, F.col("a") == F.col("_a"), "left_semi")
+    later = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("start") == F.col("first.start")))
+    edges = opened.select("first.doc_id", "first.mark", "first.start", "windows")
+    # Rows that share the id of the first one may be as early; marked rows are few or none.
+    twins = met.where("mark <> 0").join(opened.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "first"), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")))
+    edges = edges.unionAll(twins.where(~later).select("doc_id", "mark", "start", "windows"))
     copied = book.where("n > 1").select(F.col("a").alias("_a"), F.col("b").alias("_b"), "first")
     phrases = met.join(copied, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")))
-    later = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("start") == F.col("first.start")))
-    whole = phrases.where(later).select("doc_id", F.struct("start", (F.col("start") + F.col("windows") + SPAN - 1).alias("end")).alias("span"))
+    whole = phrases.where(later).select("doc_id", "mark", F.struct("start", (F.col("start") + F.col("windows") + SPAN - 1).alias("end")).alias("span"))
     # The windows of edge blocks; a group holds the blocks of one text.
-    asked = edges.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("asked")).withColumnRenamed("doc_id", "_doc_id")
-    asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asked.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_doc_id")))
-    asked = hashed(asked, "asked")
+    asked = edges.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "windows")).alias("asked"))
+    asked = hashed(_same_row(rows, asked, "inner"), "asked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = "v long, w long, doc_id long, start int"
         for batch in batches:
             wanted = batch.column("asked")
             for row, hashes in _texts(batch):
@@ -161,16 +179,16 @@ def spans(docs: DataFrame) -> DataFrame:
                 at = at[at <= len(hashes) - SPAN]
                 if not len(at):
                     continue
-                ids = batch.column("doc_id").take(pa.array(np.full(len(at), row)))
-                yield _frame(schema, [_rolling(hashes, SPAN, _MIX)[at].view(np.int64), _rolling(hashes, SPAN, _OTHER)[at].view(np.int64), at], ids)
+                found = [_rolling(hashes, SPAN, _MIX)[at].view(np.int64), _rolling(hashes, SPAN, _OTHER)[at].view(np.int64), at]
+                yield _frame(_WINDOW, found, batch, np.full(len(at), row))
 
-    windows = saved(asked.select("doc_id", "hashes", "asked").mapInArrow(run, "v long, w long, doc_id long, start int"), "windows")
+    windows = saved(asked.select("doc_id", "mark", "hashes", "asked").mapInArrow(run, _WINDOW), "windows")
     starts = windows.groupBy("v", "w").agg(_earliest("doc_id", "start").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     starts = starts.select(F.col("v").alias("_v"), F.col("w").alias("_w"), "first")
     single = windows.join(starts, (F.col("v") == F.col("_v")) & (F.col("w") == F.col("_w"))).where(later)
-    single = single.select("doc_id", F.struct("start", (F.col("start") + SPAN).alias("end")).alias("span"))
+    single = single.select("doc_id", "mark", F.struct("start", (F.col("start") + SPAN).alias("end")).alias("span"))
     # A group holds the spans of one text.
-    return whole.unionAll(single).groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
+    return whole.unionAll(single).groupBy("doc_id", "mark").agg(F.collect_list("span").alias("spans"))
 
 
 def covered(n: int, spans: list) -> np.ndarray:
@@ -186,9 +204,8 @@ def covered(n: int, spans: list) -> np.ndarray:
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """``doc_id, n_words, n_removed, kept`` of every document; ``kept`` joins the words that stay."""
-    found = spans(docs).withColumnRenamed("doc_id", "_doc_id").hint("shuffle_hash")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    joined = texts.join(found, F.col("doc_id").eqNullSafe(F.col("_doc_id")), "left").select("doc_id", "text", "spans")
+    rows = marked(docs)
+    joined = _same_row(rows, spans(rows), "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
