@@ -29,10 +29,10 @@ SEED = "mix-1"
 STEP = 2_147_483_647
 
 
-def sizes(docs: DataFrame, seed: str = SEED) -> DataFrame:
+def sizes(docs: DataFrame, seed: str = SEED, *more: Column) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    return docs.select("doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), key.alias("key"))
+    return docs.select("doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), key.alias("key"), *more)
 
 
 def targets(volumes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2) -> DataFrame:
@@ -80,8 +80,12 @@ def seats(parties: DataFrame, group: list[str], votes: str, total: str, n_seats:
     return ranked.groupBy(*own).agg((F.min("_sure") + F.sum((F.col("_rank") <= F.col("_left")).cast("long"))).alias("seats"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, block: int = 16, shard: int = 1 << 20, seed: str = SEED) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` of every document."""
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, block: int = 16, shard: int = 1 << 20, seed: str = SEED, whole: bool = False) -> DataFrame:
+    """``doc_id, size, source_size, target, taken`` of every document.
+
+    With ``whole`` the documents go along: each row has all columns of ``docs``, then the
+    last four of these, which replace columns of the same name.
+    """
     rows = saved(sizes(docs, seed), "sizes")
     volumes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     aims = saved(targets(volumes, weights, share, most), "targets")
@@ -93,6 +97,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
         quotas.select(F.col("source").alias("_source"), "seats"), F.col("source").eqNullSafe(F.col("_source")), "left"
     ).select("source", "source_size", "target", "shards", F.coalesce("seats", F.lit(0)).alias("quota"))
     plan = measured(plan)
+    if whole:
+        rows = sizes(docs, seed, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
     known = rows.join(plan.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     number = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
     dealt = known.withColumn("shard", F.pmod(number, F.col("shards")))
@@ -116,7 +122,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     touched = F.sequence(F.floor(F.col("start") / block), F.floor((F.col("stop") - 1) / block))
     extra = F.when((F.col("rest") > 0) & (F.col("size") > 0), F.aggregate(touched, F.lit(0).cast("long"), lambda acc, b: acc + in_block(b)))
     taken = F.coalesce(F.col("size") * F.col("rounds") + F.coalesce(extra, F.lit(0)), F.lit(0)).cast("long")
-    return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    new = ["size", "source_size", "target", "taken"]
+    # Taken first: a column of the documents may have the name of one that it is made of.
+    mixed = placed.withColumn("taken", taken)
+    return mixed.select(*([F.col(f"_doc.`{c}`") for c in docs.columns if c not in new] if whole else ["doc_id"]), *new)
 
 
 def op4_sainte_lague_mix(spark: SparkSession, folder: str) -> DataFrame:
@@ -127,17 +136,11 @@ def op4_sainte_lague_mix(spark: SparkSession, folder: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with ``size``, ``source_size``, ``target`` and ``taken`` after their own columns.
 
-    A column of ``docs`` with one of these names is replaced. Rows of one id and
-    source have one size in the mix if their texts are equal; otherwise each gets
-    its own by size.
+    Rows are mixed as they are, whether or not their ids tell them apart. A column of
+    ``docs`` with one of these names is replaced.
     """
-    mixed = mix(docs).groupBy("doc_id", "size", "source_size", "target").agg(F.min("taken").alias("taken"))
     del spark, sf_dir
-    own = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
-    new = ("size", "source_size", "target", "taken")
-    kept = docs.drop(*new)
-    told = mixed.select(F.col("doc_id").alias("_doc_id"), F.col("size").alias("_words"), *new).hint("shuffle_hash")
-    return kept.join(told, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (own == F.col("_words")), "left").drop("_doc_id", "_words")
+    return mix(docs, whole=True)
 
 
 def _sql(block: int = 16, shard: int = 1 << 20, share: float = 1.5, most: int = 2) -> str:
