@@ -42,27 +42,89 @@ from .common import measured, read, saved
 CHUNK = 1 << 15
 OVERLAP = 512
 AHEAD = 8  # more than the pattern looks ahead (a contraction and one character)
-CACHE = 1 << 17  # pre-tokens remembered by a worker
+CACHE = 1 << 18  # pre-tokens remembered by a worker
+SHORT = 64  # bytes up to which pre-tokens are merged many at a time
+AT_ONCE = 1 << 20  # pre-tokens looked up together
 ROOM = 1 << 21  # tokens in one batch of rows
 
 _TOKENS = "doc_id long, row long, part int, parts int, ids array<int>"
 
 
-class Vocabulary:
-    """Ranks of a ``.tiktoken`` file; a rank is the id of its token."""
+class Vocabulary(dict):
+    """Ranks of a ``.tiktoken`` file; a rank is the id of its token. Remembers the ids of pre-tokens."""
 
     def __init__(self, path: str):
         with open(path, "rb") as lines:
             pairs = [line.split() for line in lines if line.strip()]
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
-        self._known: dict[str, tuple[int, ...]] = {}
+        self.names = {rank: str(rank) for rank in self.tokens}
+        self._none = max(self.tokens) + 1
+        self._bytes = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
+        # Which two tokens join to which.
+        halves = {
+            self.ranks[token[:i]] * self._none + self.ranks[token[i:]]: rank
+            for token, rank in self.ranks.items() for i in range(1, len(token)) if token[:i] in self.ranks and token[i:] in self.ranks
+        }
+        self._pairs = np.array(sorted(halves), np.int64)
+        self._joined = np.array([halves[p] for p in self._pairs.tolist()], np.int64)
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        ids = self[piece] = self.merged(piece.encode())
+        return ids
 
     def merged(self, piece: bytes) -> tuple[int, ...]:
         """The ids of one pre-token: the adjacent pair of least rank is joined until none has a rank."""
+        if piece in self.ranks:
+            return (self.ranks[piece],)
+        if len(piece) > SHORT:
+            return self._long(piece)
+        ids, _ = self._short([piece])
+        return tuple(ids.tolist())
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left * self._none + right
+        at = np.minimum(np.searchsorted(self._pairs, key), len(self._pairs) - 1)
+        return np.where(self._pairs[at] == key, self._joined[at], self._none)
+
+    def _short(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces and where each one's end, one merge of every piece at a time."""
+        sizes = np.array([len(p) for p in pieces])
+        ids = self._bytes[np.frombuffer(b"".join(pieces), np.uint8)]
+        owner, done = np.repeat(np.arange(len(pieces)), sizes), []
+        rank = np.full(len(ids), self._none)  # of each id and the next one of its piece
+        inner = np.flatnonzero(owner[1:] == owner[:-1])
+        rank[inner] = self._rank(ids[inner], ids[inner + 1])
+        while len(ids):
+            starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            least = np.minimum.reduceat(rank, starts)
+            least = np.repeat(least, np.diff(np.append(starts, len(ids))))
+            going = least < self._none
+            done.append((owner[~going], ids[~going]))
+            owner, ids, rank, least = owner[going], ids[going], rank[going], least[going]
+            lowest = np.flatnonzero(rank == least)
+            if not len(lowest):
+                break
+            left = lowest[np.append(True, owner[lowest[1:]] != owner[lowest[:-1]])]
+            ids[left] = least[left]
+            stay = np.ones(len(ids), bool)
+            stay[left + 1] = False
+            owner, ids, rank = owner[stay], ids[stay], rank[stay]
+            left -= np.arange(len(left))  # one id less before each
+            for at in (left, left[left > 0] - 1):
+                at = at[at + 1 < len(ids)]
+                same = owner[at] == owner[at + 1]
+                rank[at] = self._none
+                rank[at[same]] = self._rank(ids[at[same]], ids[at[same] + 1])
+            if left[-1] + 1 == len(ids):
+                rank[-1] = self._none
+        owner, ids = (np.concatenate(x) for x in zip(*done))
+        order = np.argsort(owner, kind="stable")
+        return ids[order], np.cumsum(np.bincount(owner, minlength=len(pieces)))
+
+    def _long(self, piece: bytes) -> tuple[int, ...]:
+        """The same for one long piece, with a heap of pairs."""
         ranks = self.ranks
-        if piece in ranks:
-            return (ranks[piece],)
         stop = list(range(1, len(piece) + 1))  # where the part that starts here ends; 0: no part starts here
         back = list(range(-1, len(piece) - 1))
         pairs = [(ranks[piece[i:i + 2]], i, i + 1, i + 2) for i in range(len(piece) - 1) if piece[i:i + 2] in ranks]
@@ -87,18 +149,31 @@ class Vocabulary:
             at = stop[at]
         return tuple(out)
 
+    def learn(self, pieces: set[str]) -> None:
+        """Remember the ids of all short ones of new pieces."""
+        if len(self) > CACHE:
+            self.clear()
+        short = []
+        for piece in pieces.difference(self):
+            raw = piece.encode()
+            if raw in self.ranks:
+                self[piece] = (self.ranks[raw],)
+            elif len(raw) <= SHORT:
+                short.append((piece, raw))
+        for first in range(0, len(short), CACHE // 4):
+            some = short[first:first + CACHE // 4]
+            ids, ends = self._short([raw for _, raw in some])
+            ids, start = ids.tolist(), 0
+            for (piece, _), end in zip(some, ends.tolist()):
+                self[piece] = tuple(ids[start:end])
+                start = end
+
     def encode(self, pieces: list[str]) -> np.ndarray:
         """The ids of pre-tokens, in order."""
-        known = self._known
-        for piece in set(pieces).difference(known):
-            known[piece] = self.merged(piece.encode())
-        ids = np.fromiter(chain.from_iterable(map(known.__getitem__, pieces)), np.int32)
-        if len(known) > CACHE:
-            known.clear()
-        return ids
+        return np.fromiter(chain.from_iterable(map(self.__getitem__, pieces)), np.int32)
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
+    def decode(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, ids))
 
 
 @lru_cache(maxsize=2)
@@ -114,6 +189,24 @@ def _splitter(pattern: str):
     return regex.compile(pattern)
 
 
+def _encoded_rows(rows: Iterator[tuple], vocab: Vocabulary) -> Iterator[tuple]:
+    """``(..., pieces)`` rows with ids in place of pre-tokens, which are looked up many rows at a time."""
+    held, size = [], 0
+
+    def out() -> Iterator[tuple]:
+        vocab.learn(set().union(*(row[-1] for row in held)))
+        for *row, pieces in held:
+            yield *row, vocab.encode(pieces)
+
+    for row in rows:
+        held.append(row)
+        size += len(row[-1])
+        if size > AT_ONCE:
+            yield from out()
+            held, size = [], 0
+    yield from out()
+
+
 def _token_rows(rows: Iterator[tuple], kind: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Batches of ``(doc_id, row, part, parts, ids)``, cut by their tokens."""
 
@@ -146,9 +239,9 @@ def _whole(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
         def rows():
             for batch in batches:
                 for doc, row, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                    yield doc, row, 0, 1, vocab.encode(split(text))
+                    yield doc, row, 0, 1, split(text)
 
-        yield from _token_rows(rows(), _KIND)
+        yield from _token_rows(_encoded_rows(rows(), vocab), _KIND)
 
     return docs.select("doc_id", "row", "text").mapInArrow(run, _TOKENS)
 
@@ -205,9 +298,9 @@ def _pieces(stitched: DataFrame, ranks: str, pattern: str) -> DataFrame:
                     beyond = 0 if last is None else lo + len(text) - last
                     while beyond > 0:
                         beyond -= len(pieces.pop())
-                    yield doc, row, part, parts, vocab.encode(pieces)
+                    yield doc, row, part, parts, pieces
 
-        yield from _token_rows(rows(), _KIND)
+        yield from _token_rows(_encoded_rows(rows(), vocab), _KIND)
 
     return stitched.select("doc_id", "row", "part", "parts", "lo", "text", "first", "last").mapInArrow(run, _TOKENS)
 
@@ -257,7 +350,7 @@ def decoded(tokens: DataFrame, ranks: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 some = batch.slice(at, 1024)
-                raw = [vocab.decode(ids.values.to_numpy()) for ids in some.column(4)]
+                raw = [vocab.decode(ids.values.to_pylist()) for ids in some.column(4)]
                 yield pa.RecordBatch.from_arrays([*some.columns[:4], pa.array(raw, pa.binary())], names=["doc_id", "row", "part", "parts", "bytes"])
 
     return tokens.select("doc_id", "row", "part", "parts", "ids").mapInArrow(run, "doc_id long, row long, part int, parts int, bytes binary")
@@ -276,9 +369,9 @@ def digests(tokens: DataFrame, ranks: str, alone: bool = False) -> DataFrame:
         for batch in batches:
             docs, counts, shas, raws = [], [], [], []
             for doc, part, parts, ids in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4)):
-                own = ids.values.to_numpy()
-                if len(own):
-                    names.update(((" " if count else "") + " ".join(map(str, own.tolist()))).encode())
+                own = ids.values.to_numpy().tolist()
+                if own:
+                    names.update(((" " if count else "") + " ".join(map(vocab.names.__getitem__, own))).encode())
                     raw.update(vocab.decode(own))
                     count += len(own)
                 if part == parts - 1:
