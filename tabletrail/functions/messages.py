@@ -21,6 +21,7 @@ NO_MATCHING_CELL = "no cell in {} matches the code that produced this table; the
 NO_SUCH_CELL = "no cell named '{}' in {}; the cell was renamed or deleted, orphaning this bundle"
 CELL_CHANGED = "cell '{}' changed since this was written; re-run it to update the artifact"
 MANIFEST_UNREADABLE = "unreadable manifest"
+MANIFEST_LATER = "{} has manifest_version {}; this version reads up to {}"
 FILE_UNRECORDED = "no manifest records this file; {} did not write it"
 SHARED_WRITER = "save_shared()"
 PRESERVED_WRITER = "preserve_*()"

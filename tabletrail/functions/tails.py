@@ -81,6 +81,27 @@ def t_two_sided(t, df):
     return p
 
 
+def f_upper(f, df1, df2):
+    """P(F >= f) of the F distribution with ``df1`` and ``df2`` degrees of freedom."""
+    f, df1, df2 = np.broadcast_arrays(*[np.asarray(v, dtype=float) for v in (f, df1, df2)])
+    p = np.full(f.shape, np.nan)
+    p[(f == 0) & (df1 > 0) & (df2 > 0)] = 1.0
+    ok = np.isfinite(f) & (f > 0) & (df1 > 0) & (df2 > 0)
+    if ok.any():
+        ff, d1, d2 = f[ok], df1[ok], df2[ok]
+        a, b = d2 / 2, d1 / 2
+        x, rest = d2 / (d2 + d1 * ff), d1 * ff / (d2 + d1 * ff)
+        log_beta = _each(math.lgamma, a) + _each(math.lgamma, b) - _each(math.lgamma, a + b)
+        front = np.exp(-a * np.log1p(d1 * ff / d2) - b * np.log1p(d2 / (d1 * ff)) - log_beta)
+        near = x < (a + 1.0) / (a + b + 2.0)
+        value = np.empty_like(x)
+        value[near] = front[near] * _beta_fraction(a[near], b[near], x[near]) / a[near]
+        far = ~near
+        value[far] = 1.0 - front[far] * _beta_fraction(b[far], a[far], rest[far]) / b[far]
+        p[ok] = value
+    return p
+
+
 def digamma(x):
     x = np.asarray(x, dtype=float).copy()
     shift = np.zeros_like(x)
@@ -123,6 +144,12 @@ def _t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(t_two_sided(t.to_numpy(dtype=float), df.to_numpy(dtype=float))).replace({np.nan: None}).astype("float64")
 
 
+@F.pandas_udf(T.DoubleType())
+def _f_p_value(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
+    values = [v.to_numpy(dtype=float) for v in (f, df1, df2)]
+    return pd.Series(f_upper(*values)).replace({np.nan: None}).astype("float64")
+
+
 @F.pandas_udf(T.DoubleType())
 def _digamma(x: pd.Series) -> pd.Series:
     return pd.Series(digamma(x.to_numpy(dtype=float)))
@@ -138,6 +165,11 @@ def t_p_value(t: Column, df: Column) -> Column:
     return F.nanvl(_t_p_value(t, df), F.lit(None).cast("double"))
 
 
+def f_p_value(f: Column, df1: Column, df2: Column) -> Column:
+    """Upper tail of an F statistic; null or NaN in gives null out."""
+    return F.nanvl(_f_p_value(f, df1, df2), F.lit(None).cast("double"))
+
+
 def digamma_column(x: Column) -> Column:
     return _digamma(x)
 

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.numbers import INT32_MAX, INT32_MIN, level_label, missing_to_null
+from ..functions.text import base_type
 from ..plans import lookup
 
 _INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -28,15 +29,40 @@ def _col(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def refusal(kind: T.DataType) -> str | None:
+    """What to do with a column of a type that does not cross; None for one that does."""
+    if isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):
+        return "flatten it first (matrices go through matrix operators, records through nested ones)"
+    if isinstance(kind, (*_INTEGERS, *_FLOATS, *_PLAIN)):
+        return None
+    return "cast it to a string, a number or a date first"
+
+
 def check_exchangeable(schema: T.StructType) -> None:
     for field in schema.fields:
-        if isinstance(field.dataType, (T.ArrayType, T.StructType, T.MapType)):
-            hint = "flatten it first (matrices go through matrix operators, records through nested ones)"
-        elif isinstance(field.dataType, (*_INTEGERS, *_FLOATS, *_PLAIN)):
-            continue
-        else:
-            hint = "cast it to a string, a number or a date first"
-        raise ExchangeError(f"column {field.name!r} has type {field.dataType.simpleString()}, which does not cross; {hint}")
+        hint = refusal(field.dataType)
+        if hint is not None:
+            raise ExchangeError(f"column {field.name!r} has type {field.dataType.simpleString()}, which does not cross; {hint}")
+
+
+def exchange_report(df: DataFrame) -> DataFrame:
+    """``name, base, rows, missing, refusal`` of every column: what an exchange would refuse, without raising.
+
+    ``base`` is the type's name without its parameters. One aggregate over the table.
+    """
+    facts = [
+        F.struct(
+            F.lit(f.name).alias("name"), base_type(F.lit(f.dataType.simpleString().replace("<", "("))).alias("base"), F.count(F.lit(1)).alias("rows"),
+            F.count_if(_missing(f)).alias("missing"), F.lit(refusal(f.dataType)).cast("string").alias("refusal"),
+        )
+        for f in df.schema.fields
+    ]
+    return df.agg(F.array(*facts).alias("_f")).select(F.explode("_f").alias("_f")).select("_f.*")
+
+
+def _missing(field: T.StructField):
+    column = _col(field.name)
+    return column.isNull() | F.isnan(column) if isinstance(field.dataType, _FLOATS) else column.isNull()
 
 
 def to_exchange(df: DataFrame) -> DataFrame:

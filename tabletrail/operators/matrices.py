@@ -23,12 +23,17 @@ def long_from_wide(df: DataFrame, feature: str, samples: Sequence[str] | None =
     return df.unpivot([feature], columns, sample_name, value_name)
 
 
-def wide_from_long(df: DataFrame, feature: str, sample: str, value: str, samples: Sequence) -> DataFrame:
+def wide_from_long(df: DataFrame, feature: str, sample: str, value: str, samples: Sequence, *, rest: str | None = None) -> DataFrame:
     """One column per sample, for the listed samples (a wide table needs a schema).
 
     Of several values for one cell the largest holds, whatever order they come in.
+    ``rest`` names a column for the values of all other samples, missing ones too;
+    without it they are left out.
     """
-    return df.groupBy(feature).pivot(sample, list(samples)).agg(F.max(value))
+    listed = F.coalesce(F.col(sample).isin(list(samples)), F.lit(False))
+    cells = [F.max(F.when(F.col(sample) == F.lit(s), F.col(value))).alias(str(s)) for s in samples]
+    others = [F.max(F.when(~listed, F.col(value))).alias(rest)] if rest is not None else []
+    return df.groupBy(feature).agg(*cells, *others)
 
 
 def long_from_arrays(df: DataFrame, row: str, values: str, *, column_name: str = "j", value_name: str = "value") -> DataFrame:
@@ -89,9 +94,6 @@ def position_distances(df: DataFrame, values: str, width: int, *, block: int = D
     blocks over its own rows and emits that partial matrix once; no pair of rows
     is ever formed and memory does not grow with the number of rows.
     """
-    # Each task emits one partial matrix, so more tasks than a few per core would
-    # only add partial results to merge.
-    df = df.coalesce(df.sparkSession.sparkContext.defaultParallelism * 4)
     starts = range(0, width, block)
     partials = [
         _block_partials(df, values, width, a, min(block, width - a), b, min(block, width - b))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -90,13 +91,13 @@ def _neighbours(counts: DataFrame, sizes: DataFrame, group: str, probabilities:
 
 
 def box_summary(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Quartiles, whisker ends and outlier count per group."""
+    """Quartiles, whisker ends and outlier count per group; ``n`` is 0 where no value is present."""
     rows = _present(df, group, value)
     quartiles = staged(quantiles(df, group, value))
     named = {"n": "n", "q0": "q1", "q1": "median", "q2": "q3"}
     reach = (F.col("q3") - F.col("q1")) * WHISKER_REACH
     inside = F.col("_v").between(F.col("q1") - reach, F.col("q3") + reach)
-    return (
+    boxes = (
         lookup(rows, quartiles, [group], "inner", rename=named, weight="n")
         .groupBy(group, *named.values())
         .agg(
@@ -105,6 +106,10 @@ def box_summary(df: DataFrame, group: str, value: str) -> DataFrame:
             F.count_if(~inside).alias("n_outliers"),
         )
     )
+    empty = df.groupBy(group).agg(F.count(missing_to_null(F.col(value).cast("double"))).alias("_n")).filter("_n = 0").select(group)
+    nothing = [F.lit(None).cast("double").alias(c) for c in ("q1", "median", "q3", "whisker_low", "whisker_high")]
+    zero = F.lit(0).cast("bigint")
+    return boxes.unionByName(empty.select(group, zero.alias("n"), *nothing, zero.alias("n_outliers")))
 
 
 def strip_points(df: DataFrame, key: str, x: str, hue: str, x_levels: Sequence[str], hue_levels: Sequence[str], *, seed: str = "0") -> DataFrame:
@@ -131,3 +136,48 @@ def volcano_points(results: DataFrame, *, p: str = "p_value", adjusted: str = "a
 def heatmap_cells(long: DataFrame, feature: str, value: str, group: str, palette: dict[str, str]) -> DataFrame:
     """Row z-score and group colour of every heat-map cell."""
     return with_palette(row_zscores(long, feature, value), group, palette)
+
+
+@dataclass(frozen=True)
+class PlotSource:
+    """What a figure shows: the rows it is drawn from and the marks drawn from them.
+
+    ``kind`` is ``box`` (needs ``x`` and ``value``), ``strip`` (``key``, ``x``, ``hue``,
+    ``value`` and the levels of ``x`` and ``hue``) or ``heatmap`` (``x`` as feature, ``key``
+    as sample, ``value``, ``hue`` as group and a ``palette``).
+    """
+
+    kind: str
+    x: str
+    value: str
+    key: str | None = None
+    hue: str | None = None
+    x_levels: Sequence[str] = ()
+    hue_levels: Sequence[str] = ()
+    palette: dict[str, str] | None = None
+
+    def __post_init__(self):
+        needs = {"box": (), "strip": ("key", "hue", "x_levels", "hue_levels"), "heatmap": ("key", "hue", "palette")}
+        if self.kind not in needs:
+            raise ValueError(f"unknown kind of plot {self.kind!r}; use one of {', '.join(needs)}")
+        absent = [name for name in needs[self.kind] if not getattr(self, name)]
+        if absent:
+            raise ValueError(f"a {self.kind} plot needs {', '.join(absent)}")
+
+    def rows(self, df: DataFrame) -> DataFrame:
+        """The columns that the figure shows, of every row."""
+        return df.select(*dict.fromkeys(c for c in (self.key, self.x, self.hue, self.value) if c))
+
+    def marks(self, rows: DataFrame) -> DataFrame:
+        """One row for each thing drawn: a box, a point or a cell."""
+        if self.kind == "box":
+            return box_summary(rows, self.x, self.value)
+        if self.kind == "strip":
+            return strip_points(rows, self.key, self.x, self.hue, self.x_levels, self.hue_levels)
+        return heatmap_cells(rows, self.x, self.value, self.hue, self.palette)
+
+
+def plot_source(df: DataFrame, spec: PlotSource) -> tuple[DataFrame, DataFrame]:
+    """Rows and marks of a figure. The input is read once: marks are drawn from the written rows."""
+    rows = staged(spec.rows(df))
+    return rows, spec.marks(rows)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numbers import label_if, missing_to_null
-from ..plans import lookup, row_numbers
+from ..plans import lookup, row_numbers, staged
 
 
 def summarize_batches(measurements: DataFrame) -> DataFrame:
@@ -83,21 +83,30 @@ def group_zscores(df: DataFrame, group: str, value: str, *, cutoff: float = 2.0,
 
 
 def last_wins(df: DataFrame, key: Sequence[str] | str, sequence: Sequence[str] | str) -> DataFrame:
-    """The latest record of each key. Merges in the map tasks, so hot keys are cheap."""
-    return _one_per_key(df, key, sequence, F.max_by)
+    """The latest record of each key; of equally late ones, any."""
+    return _one_per_key(df, key, sequence, last=True)
 
 
 def first_match(df: DataFrame, key: Sequence[str] | str, sequence: Sequence[str] | str) -> DataFrame:
-    """The earliest record of each key."""
-    return _one_per_key(df, key, sequence, F.min_by)
+    """The earliest record of each key, a missing place being the first; of equally early ones, any."""
+    return _one_per_key(df, key, sequence, last=False)
 
 
-def _one_per_key(df: DataFrame, key, sequence, pick) -> DataFrame:
+def _one_per_key(df: DataFrame, key, sequence, last: bool) -> DataFrame:
+    """Narrow each key to its records at the outermost place, column by column of the order.
+
+    A place is one number or time per key, so it is a hash aggregate merged in the map
+    tasks. Records themselves are neither sorted nor gathered, only compared with it.
+    """
     keys = [key] if isinstance(key, str) else list(key)
-    order = [sequence] if isinstance(sequence, str) else list(sequence)
-    rest = [c for c in df.columns if c not in keys]
-    picked = pick(F.struct(*[F.col(c) for c in rest]), F.struct(*[F.col(c) for c in order]))
-    return df.groupBy(*keys).agg(picked.alias("_r")).select(*keys, "_r.*").select(*df.columns)
+    rows, order = df, [sequence] if isinstance(sequence, str) else list(sequence)
+    for i, column in enumerate(order):
+        # What the places so far have left, about one record a key, is written before it is read twice.
+        rows = staged(rows) if i else rows
+        missing_first = F.when(~F.bool_or(F.col(column).isNull()), F.min(column))
+        place = staged(rows.groupBy(*keys).agg((F.max(column) if last else missing_first).alias("_place"), F.count(F.lit(1)).alias("_count")))
+        rows = lookup(rows, place, keys, "inner", rename={"_place": "_place"}, weight="_count").filter(F.col(column).eqNullSafe(F.col("_place"))).drop("_place")
+    return rows.dropDuplicates(keys)
 
 
 def ordered_distinct(df: DataFrame, value: str, position: str) -> DataFrame:

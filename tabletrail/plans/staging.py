@@ -87,6 +87,12 @@ def bounded_by(df: DataFrame, table: DataFrame) -> DataFrame:
     return df
 
 
+def bounded(df: DataFrame, rows: int, row_bytes: int = 1 << 10) -> DataFrame:
+    """Mark ``df`` as at most ``rows`` rows, known from what it is made of."""
+    df._rows_limit, df._bytes_limit = rows, rows * row_bytes
+    return df
+
+
 def row_count(df: DataFrame) -> int:
     """Rows of ``df``; known without a job for a staged table."""
     known = getattr(df, "_rows", None)

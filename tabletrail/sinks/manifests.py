@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
 import datetime as dt
 import json
 from collections.abc import Iterator
@@ -11,6 +10,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions import messages as M
 from ..functions.text import code_hash
 from ..sources.catalog import MANIFEST_VERSION, Producer
 from ..sources.errors import ArtifactError
@@ -18,16 +18,19 @@ from ..sources.storage import Storage, _arrow
 
 
 def load(storage: Storage, path: str) -> dict | None:
-    """The JSON object stored at ``path``, else None. One of a later format is refused."""
-    found = None
-    if storage.is_file(path):
-        with contextlib.suppress(ValueError):
-            found = json.loads(storage.read(path))
-    if isinstance(found, dict):
-        if found.get("manifest_version", 1) <= MANIFEST_VERSION:
-            return found
-        raise ArtifactError(f"cannot read {path}: its format is later than {MANIFEST_VERSION}, the last one known here")
-    return None
+    """The record at ``path`` as the audit would read it, but one of a later format is refused.
+
+    None where there is no record to go by, so that a producer writes a new one.
+    """
+    text = storage.read(path).decode("utf-8", errors="replace") if storage.is_file(path) else ""
+    try:
+        record = json.loads(text)
+    except ValueError:
+        record = None
+    version = record.get("manifest_version", 1) if isinstance(record, dict) else None
+    if version is not None and version > MANIFEST_VERSION:
+        raise ArtifactError(M.MANIFEST_LATER.format(path, version, MANIFEST_VERSION))
+    return None if version is None else record
 
 
 def document(manifest: dict) -> bytes:
@@ -71,13 +74,6 @@ def record_json(*sorted_fields: Column) -> Column:
     return F.to_json(F.struct(*sorted_fields), {"ignoreNullFields": "false"})
 
 
-def merged_records(entries: DataFrame, keys: list[str], sequence: str) -> DataFrame:
-    """Last record per key, for catalog-sized tables of inputs or outputs."""
-    from ..operators.summaries import last_wins
-
-    return last_wins(entries, keys, sequence)
-
-
 def write_documents(documents: DataFrame, root: str) -> DataFrame:
     """Write ``content`` (string or binary) to ``root/path`` for each row, in tasks.
 
@@ -110,4 +106,4 @@ def write_documents(documents: DataFrame, root: str) -> DataFrame:
     return documents.select("path", "content").mapInPandas(run, "path string, size bigint, sha256 string, written boolean")
 
 
-__all__ = ["code_hash", "document", "load", "merged", "merged_records", "record", "record_json", "unit_hash", "write_documents"]
+__all__ = ["code_hash", "document", "load", "merged", "record", "record_json", "unit_hash", "write_documents"]

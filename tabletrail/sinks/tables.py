@@ -95,7 +95,7 @@ def _write_observed(df: DataFrame, target: str, fmt: str, max_records: int) -> t
 
 
 def _write_ledger(spark: SparkSession, root: str, table: str, version: str) -> DataFrame:
-    parts = staged(walk(spark, root, [f"{table}/{version}"], levels=0))
+    parts = staged(walk(spark, root, [f"{table}/{version}"]))
     files = max(1, -(-row_count(parts) // LEDGER_ROWS_PER_FILE))
     entries = hashed(parts, root).select(F.lit(table).alias("output"), "path", "size", "sha256")
     path = f"{root}/{table}/{version}{LEDGER_ENDING}"
@@ -127,7 +127,7 @@ def first_problem(spark: SparkSession, root: str, table: str, recorded: dict) ->
     ledger = spark.read.schema(LEDGER_DDL).parquet(path)
     if ledger_digest(ledger) != recorded.get("sha256"):
         return f"{name}: content changed since it was written"
-    on_disk = walk(spark, root, [f"{table}/{version}"], levels=0)
+    on_disk = walk(spark, root, [f"{table}/{version}"])
     added = on_disk.join(ledger.select("path"), "path", "left_anti").agg(F.min("path")).first()[0]
     if added:
         return f"{name}/{posixpath.basename(added)}: not part of what was published"

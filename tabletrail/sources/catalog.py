@@ -25,6 +25,7 @@ MANIFEST_DDL = """
     code_deps array<struct<module: string, path: string, sha256: string>>,
     inputs array<struct<kind: string, path: string, sha256: string, size: bigint, name: string>>,
     outputs array<struct<filename: string, sha256: string, size: bigint, content: string, files: bigint, version: string>>,
+    bulk struct<version: string, sha256: string, content: string, files: bigint, size: bigint>,
     schema map<string, string>, schema_json string, format string, rows bigint
 """
 LEDGER_DDL = "output string, path string, size bigint, sha256 string"
@@ -44,7 +45,7 @@ def parse_manifests(documents: DataFrame) -> DataFrame:
     version = F.coalesce(F.expr("try_cast(get_json_object(text, '$.manifest_version') as int)"), F.lit(1))
     rows = documents.withColumns({"_m": parsed, "_version": version, "folder": parent(F.col("path"))})
     is_object = F.coalesce(F.ltrim("text").startswith("{"), F.lit(False))
-    newer = M.filled("{} has manifest_version {}; this version reads up to {}", F.col("path"), F.col("_version"), F.lit(MANIFEST_VERSION))
+    newer = M.filled(M.MANIFEST_LATER, F.col("path"), F.col("_version"), F.lit(MANIFEST_VERSION))
     problem = (
         F.when(is_object & (F.col("_version") > MANIFEST_VERSION), newer)
         .when(~is_object | F.col("_m").isNull() | F.col("_m._corrupt").isNotNull(), M.MANIFEST_UNREADABLE)

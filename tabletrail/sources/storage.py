@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import hashlib
 import posixpath
+import uuid
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -18,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..plans import literal_rows, row_count, staged
 
 CHUNK = 1 << 20
+WALK_BOUND = 20_000  # entries that one task lists before it hands folders on
 
 
 class Storage:
@@ -57,30 +60,38 @@ class Storage:
         """Replace a small file in one step; False when it already holds ``data``."""
         if self.is_file(path) and self.read(path) == data:
             return False
-        temporary = f"{path}.tmp"
+        draft = self._draft(path)
         fs = self._fs(path)
-        fs.setWriteChecksum(False)
-        stream = fs.create(self._path(temporary), True)
+        # A local file system keeps checksums beside its files; the raw one below it does not.
+        if self._jvm.java.lang.Class.forName("org.apache.hadoop.fs.ChecksumFileSystem").isInstance(fs):
+            fs = fs.getRawFileSystem()
+        fs.mkdirs(self._path(path).getParent())
+        stream = fs.create(self._path(draft), True)
         try:
             stream.write(bytearray(data))
         finally:
             stream.close()
-            fs.setWriteChecksum(True)
-        self.replace(temporary, path)
+        self.replace(draft, path)
         return True
 
     def copy(self, source: str, target: str) -> None:
         """Stream one file into place."""
-        temporary = f"{target}.tmp"
+        draft = self._draft(target)
         util = self._jvm.org.apache.hadoop.fs.FileUtil
-        util.copy(self._fs(source), self._path(source), self._fs(target), self._path(temporary), False, True, self._conf)
-        self.replace(temporary, target)
+        util.copy(self._fs(source), self._path(source), self._fs(target), self._path(draft), False, True, self._conf)
+        self.replace(draft, target)
+
+    @staticmethod
+    def _draft(path: str) -> str:
+        """A name no other publisher uses, in the same folder."""
+        return f"{path}.{uuid.uuid4().hex[:12]}.tmp"
 
     def replace(self, source: str, target: str) -> None:
         fs_package = self._jvm.org.apache.hadoop.fs
         option = getattr(fs_package, "Options$Rename")
         options = self._gateway.new_array(option, 1)
         options[0] = option.OVERWRITE
+        self._fs(target).mkdirs(self._path(target).getParent())
         context = fs_package.FileContext.getFileContext(self._fs(target).getUri(), self._conf)
         context.rename(self._qualified(source), self._qualified(target), options)
 
@@ -123,42 +134,54 @@ def _entries(uri: str, recursive: bool):
         yield info.path[len(base):].strip("/"), info.type == FileType.File, info.size or 0
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """Spread few rows that each mean much work over all cores.
+def _spread(df: DataFrame, *by: str) -> DataFrame:
+    """Spread few rows that each mean much work over all cores, by their path if nothing else is said.
 
     The row count of ``df`` must be cheap. Without an explicit number adaptive
     execution would merge these small rows into one task.
     """
     most = df.sparkSession.sparkContext.defaultParallelism * 3
-    return df.repartition(max(1, min(row_count(df), most)), "path")
+    return df.repartition(max(1, min(row_count(df), most)), *(by or ("path",)))
 
 
-def walk(spark: SparkSession, root: str, folders: list[str], *, levels: int = 2) -> DataFrame:
+def walk(spark: SparkSession, root: str, folders: list[str], *, bound: int = WALK_BOUND) -> DataFrame:
     """``path, size`` of every file below ``root/<folder>``, paths relative to ``root``.
 
-    The first ``levels`` are listed one by one; each folder found there becomes a
-    row of its own, so the trees below are listed by different tasks.
+    A task lists folder by folder, deeper ones too, until it has seen ``bound`` entries; the
+    folders it has not opened by then are dealt over all tasks of the next round. So a
+    small tree takes one round however deep it is, and no task lists much more than
+    ``bound`` entries or one folder.
     """
     schema = "path string, is_file boolean, size bigint"
 
-    def listing(recursive: bool):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for folder in batch["path"]:
-                    rows = [(f"{folder}/{p}", is_file, size) for p, is_file, size in _entries(f"{root}/{folder}", recursive)]
-                    yield pd.DataFrame(rows, columns=["path", "is_file", "size"])
-
-        return run
-
-    open_folders, found = literal_rows(spark, "path", folders), []
-    for _ in range(levels):
-        level = staged(_spread(open_folders).mapInPandas(listing(False), schema))
-        found.append(level)
-        open_folders = level.filter("not is_file").select("path")
-    files = _spread(open_folders).mapInPandas(listing(True), schema)
-    for level in found:
-        files = files.unionByName(level)
-    return files.filter("is_file").select("path", "size")
+    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            left, seen = list(batch["path"])[::-1], 0
+            while left and seen < bound:
+                folder = left.pop()
+                for entries in _chunks(_entries(f"{root}/{folder}", False), bound):
+                    seen += len(entries)
+                    left += [f"{folder}/{p}" for p, is_file, _ in entries if not is_file]
+                    yield pd.DataFrame([(f"{folder}/{p}", True, size) for p, is_file, size in entries if is_file], columns=["path", "is_file", "size"])
+            yield pd.DataFrame([(folder, False, 0) for folder in left], columns=["path", "is_file", "size"])
+
+    unopened, found = literal_rows(spark, "path", folders), []
+    while True:
+        level = staged(_spread(unopened).mapInPandas(expand, schema))
+        found.append(level.filter("is_file").select("path", "size"))
+        unopened = level.filter("not is_file").select("path")
+        unopened._rows = unopened.count()
+        if not unopened._rows:
+            break
+    files = found[0]
+    for more in found[1:]:
+        files = files.unionByName(more)
+    return files
+
+
+def _chunks(entries: Iterator[tuple], size: int) -> Iterator[list[tuple]]:
+    while some := list(islice(entries, size)):
+        yield some
 
 
 def hashed(files: DataFrame, root: str) -> DataFrame:
@@ -210,6 +233,27 @@ def texts(files: DataFrame, root: str) -> DataFrame:
     return _spread(files).mapInPandas(run, schema)
 
 
+def parquet_rows(files: DataFrame, root: str, schema: str) -> DataFrame:
+    """The rows of many small Parquet files at ``root/path``, read by tasks, batch by batch."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pyarrow.parquet as pq
+
+        for batch in batches:
+            for path in batch["path"]:
+                if path.rsplit("/", 1)[-1].startswith(("_", ".")):
+                    continue
+                filesystem, source = _arrow(f"{root}/{path}")
+                try:
+                    with filesystem.open_input_file(source) as stream:
+                        for rows in pq.ParquetFile(stream).iter_batches():
+                            yield rows.to_pandas()
+                except (OSError, ValueError):
+                    continue  # an unreadable ledger is an absent one
+
+    return _spread(files).mapInPandas(run, schema)
+
+
 def identify(paths: DataFrame, root: str) -> DataFrame:
     """``path, size, sha256`` of each existing path; a folder is identified by its files.
 

@@ -220,14 +220,15 @@ def table_fingerprint(t: Tables) -> DataFrame:
 _DOTTED_SQL = r"""SELECT page_id, 'h_' || array_to_string(list_reverse(string_split(replace(regexp_extract(url, '^https?://([^/]+)', 1), '-', '_'), '.')), '.h_') AS dotted FROM pages"""
 
 
-@query(
-    f"""WITH u AS ({_DOTTED_SQL}), names AS (
+UNIT_CODE_DEPS_SQL = f"""WITH u AS ({_DOTTED_SQL}), names AS (
       SELECT DISTINCT page_id, array_to_string(string_split(dotted, '.')[1:i], '.') AS module
       FROM u, unnest(range(1, len(string_split(dotted, '.')) + 1)) AS r(i)),
     modules AS (SELECT DISTINCT module FROM names WHERE NOT starts_with(module, 'h_net'))
     SELECT page_id, module, replace(module, '.', '/') || '/__init__.py' AS path, sha256(module) AS sha256 FROM names JOIN modules USING (module)"""
-)
-def unit_code_deps(t: Tables) -> DataFrame:
+
+
+def imported_units(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """(units with their code, ``module, path`` of the modules there are)."""
     host = F.split(F.translate(F.regexp_extract("url", "^https?://([^/]+)", 1), "-", "_"), r"\.")
     dotted = F.array_join(F.transform(F.reverse(host), lambda part: F.concat(F.lit("h_"), part)), ".")
     package, leaf = F.regexp_replace(dotted, r"\.[^.]+$", ""), F.substring_index(dotted, ".", -1)
@@ -237,8 +238,13 @@ def unit_code_deps(t: Tables) -> DataFrame:
     path = F.concat(F.regexp_replace("module", r"\.", "/"), F.lit("/__init__.py"))
     # Modules below h_net are installed ones.
     where = F.when(F.col("module").startswith("h_net"), F.concat(F.lit(".venv/"), path)).otherwise(path)
-    modules = names.select("module", where.alias("path"), text.sha256(F.col("module").cast("binary")).alias("sha256"))
-    return lineage.code_deps(units, ["page_id"], modules)
+    return units.select("page_id", "code"), names.select("module", where.alias("path"))
+
+
+@query(UNIT_CODE_DEPS_SQL)
+def unit_code_deps(t: Tables) -> DataFrame:
+    units, modules = imported_units(t)
+    return lineage.code_deps(units, ["page_id"], modules.withColumn("sha256", text.sha256(F.col("module").cast("binary"))))
 
 
 @query(

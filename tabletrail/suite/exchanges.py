@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import struct
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import numbers
-from ..operators import exchange
+from ..operators import exchange, usercode
 from .registry import Tables, query
 
 
@@ -136,11 +138,35 @@ def user_code_over_table(t: Tables) -> DataFrame:
 
 @query("SELECT o_custkey, o_orderkey, round(max(o_totalprice) OVER (PARTITION BY o_custkey) - o_totalprice, 2) AS below_largest FROM orders")
 def user_code_over_groups(t: Tables) -> DataFrame:
+    """User code that sees a group in parts and merges what it made of them."""
     rows = t.orders.select("o_custkey", "o_orderkey", "o_totalprice")
 
-    def gaps(orders):
-        price = orders.pop("o_totalprice")
-        return orders.assign(below_largest=price.max() - price)
+    def partial(orders):
+        return struct.pack("d", orders["o_totalprice"].max())
+
+    def finish(state):
+        return struct.unpack("d", state)
+
+    largest = usercode.with_group_results(rows, ["o_custkey"], partial, max_state, finish, "largest double")
+    return largest.select("o_custkey", "o_orderkey", F.round(F.col("largest") - F.col("o_totalprice"), 2).alias("below_largest"))
+
+
+def max_state(a: bytes, b: bytes) -> bytes:
+    return max(a, b, key=lambda state: struct.unpack("d", state))
+
+
+_FACTS = """SELECT '{0}.{1}' AS name, '{2}' AS base, count(*)::BIGINT AS rows, count(*) FILTER (WHERE {1} IS NULL)::BIGINT AS missing, {3}::VARCHAR AS refusal FROM {0}"""
+_FLATTEN = "'flatten it first (matrices go through matrix operators, records through nested ones)'"
+_CAST = "'cast it to a string, a number or a date first'"
+_EXPECTED = [
+    ("embeddings", "vec_id", "bigint", "NULL"), ("embeddings", "embedding", "array", _FLATTEN), ("embeddings", "label", "int", "NULL"),
+    ("events", "event_id", "bigint", "NULL"), ("events", "ts", "timestamp_ntz", _CAST), ("events", "user_id", "bigint", "NULL"), ("events", "event_type", "string", "NULL"),
+    ("events", "value", "double", "NULL"), ("events", "props", "string", "NULL"),
+]
+
 
-    out = exchange.map_groups(rows, ["o_custkey"], gaps, "o_custkey bigint, o_orderkey bigint, below_largest double")
-    return out.withColumn("below_largest", F.round("below_largest", 2))
+@query(" UNION ALL ".join(_FACTS.format(*row) for row in _EXPECTED))
+def exchange_report(t: Tables) -> DataFrame:
+    """Which columns of two tables would be refused, and how many cells are missing."""
+    reports = [exchange.exchange_report(table).withColumn("name", F.concat(F.lit(f"{name}."), "name")) for name, table in (("embeddings", t.embeddings), ("events", t.events))]
+    return reports[0].unionByName(reports[1])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import matrices, summaries
+from ..operators import matrices, rows, summaries
 from .registry import Tables, query
 from .statistics import LONG_SQL, long_embeddings
 
@@ -40,12 +40,12 @@ def matrix_long(t: Tables) -> DataFrame:
 @query(
     """SELECT o_custkey, sum(o_totalprice) FILTER (WHERE o_orderstatus = 'F') IS NOT NULL AS has_f,
         max(o_totalprice) FILTER (WHERE o_orderstatus = 'F') AS "F", max(o_totalprice) FILTER (WHERE o_orderstatus = 'O') AS "O",
-        max(o_totalprice) FILTER (WHERE o_orderstatus = 'P') AS "P" FROM orders GROUP BY o_custkey"""
+        max(o_totalprice) FILTER (WHERE o_orderstatus = 'P') AS "P",
+        max(o_totalprice) FILTER (WHERE o_orderstatus IS NULL OR o_orderstatus NOT IN ('F', 'O', 'P')) AS rest FROM orders GROUP BY o_custkey"""
 )
 def matrix_wide(t: Tables) -> DataFrame:
-    cells = t.orders.groupBy("o_custkey", "o_orderstatus").agg(F.max("o_totalprice").alias("value"))
-    wide = matrices.wide_from_long(cells, "o_custkey", "o_orderstatus", "value", ["F", "O", "P"])
-    return wide.select("o_custkey", F.col("F").isNotNull().alias("has_f"), "F", "O", "P")
+    wide = matrices.wide_from_long(t.orders, "o_custkey", "o_orderstatus", "o_totalprice", ["F", "O", "P"], rest="rest")
+    return wide.select("o_custkey", F.col("F").isNotNull().alias("has_f"), "F", "O", "P", "rest")
 
 
 @query(
@@ -74,3 +74,16 @@ def matrix_vector(t: Tables) -> DataFrame:
 def pairwise_distance(t: Tables) -> DataFrame:
     distances = matrices.position_distances(t.embeddings, "embedding", WIDTH)
     return distances.withColumn("distance", F.round("distance", 6))
+
+
+@query()
+def nearest_rows(t: Tables) -> DataFrame:
+    """The ten nearest vectors of every twentieth one, by an index; tests measure its recall."""
+    found = rows.nearest_rows(t.embeddings, "vec_id", "embedding", F.col("vec_id") % 20 == 0)
+    return found.withColumn("distance", F.round("distance", 6))
+
+
+@query()
+def row_order(t: Tables) -> DataFrame:
+    """All vectors in the order of a heat map's rows."""
+    return rows.row_order(t.embeddings, "vec_id", "embedding")

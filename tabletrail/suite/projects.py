@@ -6,8 +6,13 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.text import base_name
 from ..plans import new_scratch, staged
 from ..project import Project
+from ..sinks import manifests
+from ..sources.catalog import Producer
+from ..sources.storage import hashed, walk
+from .audits import UNIT_CODE_DEPS_SQL, imported_units
 from .publishing import UNIT
 from .registry import Tables, query
 
@@ -62,32 +67,125 @@ def list_shared(t: Tables) -> DataFrame:
     return project.list_shared().select("name", "notebook", F.col("rows").cast("long").alias("rows"), "path", F.size("problems").alias("n_problems"))
 
 
-def _bundles(t: Tables) -> Project:
+def _files_of(documents: DataFrame) -> DataFrame:
+    return documents.select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"), F.col("text").alias("content"))
+
+
+def _edited(name: str) -> Producer:
+    """The producer of a bundle after its code changed."""
+    return Producer(UNIT.notebook, name, f"def {name}():\n    return 1\n")
+
+
+_FILE_SQL = "SELECT doc_id || '.txt' AS filename, strlen({0})::BIGINT AS size, sha256({0}) AS sha256 FROM documents"
+
+
+@query(_FILE_SQL.format("CASE WHEN lang = 'de' THEN reverse(text) ELSE text END"))
+def bundle_add(t: Tables) -> DataFrame:
+    """All documents as files of one bundle, the German ones added again with other content."""
     project = Project(t.spark, new_scratch(t.spark, "tree"))
-    for name in ("nation", "region"):
-        project.preserve_table(getattr(t, name), "suite", producer=UNIT, filename=name)
-    return project
+    project.preserve_files(_files_of(t.documents), "suite", producer=UNIT)
+    edited = t.documents.filter("lang = 'de'").withColumn("text", F.reverse("text"))
+    project.preserve_files(_files_of(edited), "suite", producer=UNIT)
+    return _in_place(project, "data/preserved/suite/suite").join(project.bundle_files("suite", "suite"), ["filename", "size", "sha256"], "left_semi")
+
+
+def _in_place(project: Project, folder: str) -> DataFrame:
+    """Name, size and hash of the files that lie in a bundle's folder, but for its manifest."""
+    files = staged(walk(project.spark, project.root, [folder]).filter(~F.col("path").endswith("/manifest.json")))
+    return hashed(files, project.root).select(base_name(F.col("path")).alias("filename"), "size", "sha256")
+
+
+@query(_FILE_SQL.format("text") + " WHERE lang = 'en' UNION ALL SELECT 'note.txt', 4, sha256('note')")
+def bundle_replace(t: Tables) -> DataFrame:
+    """A bundle of all documents whose code changed: only the English ones and a note, given since, remain."""
+    project, changed = Project(t.spark, new_scratch(t.spark, "tree")), _edited("suite")
+    project.preserve_files(_files_of(t.documents), "suite", producer=UNIT)
+    project.preserve_files(_files_of(t.documents.filter("lang = 'en'")), "suite", producer=changed)
+    project.preserve_file("note", "suite", filename="note.txt", producer=changed)
+    return _in_place(project, "data/preserved/suite/suite").join(project.bundle_files("suite", "suite"), ["filename", "size", "sha256"], "left_semi")
 
 
 @query(
-    """SELECT 'suite' AS id, 'notebooks/suite.py' AS notebook, 'data/preserved/suite/suite' AS path,
-        ['nation.csv', 'region.csv'] AS files, count(*) = 0 AS damaged FROM nation"""
+    """SELECT 'in_' || lang AS id, 'notebooks/suite.py' AS notebook, 'data/preserved/suite/in_' || lang AS path, count(*)::BIGINT AS n_files,
+        CASE lang WHEN 'de' THEN 2 ELSE 0 END AS n_problems FROM documents WHERE lang IS NOT NULL GROUP BY lang"""
 )
 def list_preserved(t: Tables) -> DataFrame:
-    """Two tables of one unit are one bundle that lists both files."""
-    listed = _bundles(t).list_preserved("suite")
-    return listed.select("id", "notebook", "path", F.sort_array("files").alias("files"), (F.size("problems") > 0).alias("damaged"))
+    """A bundle of files for each language; in the German one, one file was lost and one changed."""
+    project = Project(t.spark, new_scratch(t.spark, "tree"))
+    for row in t.documents.select("lang").filter("lang is not null").distinct().collect():
+        name = f"in_{row['lang']}"
+        project.preserve_files(_files_of(t.documents.filter(F.col("lang") == row["lang"])), name, producer=Producer(UNIT.notebook, name, UNIT.code))
+    names = [r["filename"] for r in project.bundle_files("suite", "in_de").orderBy("filename").limit(2).collect()]
+    project.storage.delete(f"{project.root}/data/preserved/suite/in_de/{names[0]}")
+    project.storage.write(f"{project.root}/data/preserved/suite/in_de/{names[1]}", b"other")
+    listed = project.list_preserved("suite")
+    return listed.select("id", "notebook", "path", F.col("n_files").cast("long").alias("n_files"), F.size("problems").alias("n_problems"))
 
 
 @query(
-    """SELECT 'data/shared/' || name || '.parquet' AS path, 'shared' AS kind, name, length(sha256) AS digits
-    FROM (SELECT name, sha256(name) AS sha256 FROM (SELECT 'benchmark' AS name UNION ALL SELECT 'nation' UNION ALL SELECT 'region'))"""
+    """SELECT 'supplier-' || l_suppkey AS name, count(*)::BIGINT AS rows, round(sum(l_quantity), 2) AS quantity, round(sum(l_tax), 4) AS tax, l_suppkey % 10 = 0 AS written,
+        0::BIGINT AS errors FROM lineitem GROUP BY l_suppkey"""
 )
+def publish_many(t: Tables) -> DataFrame:
+    """The items of each supplier as a table of their own, all at once; then again with other rows for every tenth."""
+    project = Project(t.spark, new_scratch(t.spark, "tree"))
+    items = t.lineitem.withColumn("name", F.concat(F.lit("supplier-"), F.col("l_suppkey").cast("string")))
+    tenth = F.col("l_suppkey") % 10 == 0
+    project.save_shared_many(items.withColumn("l_tax", F.when(tenth, F.col("l_tax") + 1).otherwise(F.col("l_tax"))), "name", inputs=[], producer=UNIT)
+    published = project.save_shared_many(items, "name", inputs=[], producer=UNIT)
+    stem = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)\.parquet/", 1)
+    rows = t.spark.read.schema(t.lineitem.schema).parquet(f"{project.root}/data/shared/*.parquet/*[0-9a-f]/part-*").select("*", stem.alias("name"))
+    read = rows.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"), F.round(F.sum("l_tax"), 4).alias("tax"))
+    wrong = project.check().problems.filter("severity = 'error'").groupBy(F.regexp_extract("artifact", "shared/([^/]+)", 1).alias("name")).agg(F.count(F.lit(1)).alias("e"))
+    joined = published.join(read, "name").join(wrong, "name", "left").filter("n = rows")
+    return joined.select("name", "rows", "quantity", "tax", "written", F.coalesce("e", F.lit(0)).cast("long").alias("errors"))
+
+
+_CONSUMED = {"benchmark": ("item_id", "text"), "conversations": ("conv_id", "turn", "role", "text"), "documents": ("doc_id", "text", "lang", "source")}
+
+
+def _identity_sql(name: str, columns: tuple[str, ...]) -> str:
+    """SQL of a table's content identity: its row count, the lane sums of its row digests, and its types."""
+    text = " || ',' || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}, '~')" for c in columns)
+    lanes = " || '|' || ".join(f"coalesce(sum(('0x' || substr(d, {8 * i + 1}, 8))::BIGINT), 0)::VARCHAR" for i in range(4))
+    types = ";".join(f"{c}:{'string' if c in ('text', 'role', 'lang', 'source') else 'bigint'}" for c in columns)
+    return f"""SELECT 'data/shared/{name}.parquet' AS path, 'shared' AS kind, '{name}' AS name, sha256(count(*) || '|' || {lanes} || '|{types}') AS sha256
+        FROM (SELECT sha256({text}) AS d FROM {name})"""
+
+
+@query(" UNION ALL ".join(_identity_sql(*item) for item in _CONSUMED.items()))
 def resolve_inputs(t: Tables) -> DataFrame:
     """Published tables as inputs of a consumer, pinned to their content."""
-    project = _publish(t)
-    entries = project.resolve_inputs([project.shared_path(name) for name in NAMES])
-    return t.spark.createDataFrame([(e["path"], e["kind"], e["name"], len(e["sha256"])) for e in entries], "path string, kind string, name string, digits long")
+    project = Project(t.spark, new_scratch(t.spark, "tree"))
+    for name, columns in _CONSUMED.items():
+        project.save_shared(getattr(t, name).select(*columns), name, inputs=[], producer=UNIT)
+    entries = project.resolve_inputs([project.shared_path(name) for name in _CONSUMED])
+    return t.spark.createDataFrame([(e["path"], e["kind"], e["name"], e["sha256"]) for e in entries], "path string, kind string, name string, sha256 string")
+
+
+@query(
+    """SELECT path, kind, CASE WHEN lang = 'de' THEN NULL ELSE strlen(text)::BIGINT END AS size, CASE WHEN lang = 'de' THEN NULL ELSE sha256(text) END AS sha256,
+        CASE WHEN lang = 'de' THEN 'does not exist' END AS problem
+    FROM (SELECT *, CASE WHEN doc_id % 2 = 0 THEN 'external' ELSE 'file' END AS kind,
+      CASE WHEN doc_id % 2 = 0 THEN 'data/external/' || doc_id ELSE 'inputs/' || doc_id END AS path FROM documents)"""
+)
+def project_inputs(t: Tables) -> DataFrame:
+    """Every document as a declared input file of a tree; the German ones are not there."""
+    project = Project(t.spark, new_scratch(t.spark, "tree"))
+    place = F.when(F.col("doc_id") % 2 == 0, F.lit("data/external/")).otherwise(F.lit("inputs/"))
+    files = t.documents.select(F.concat(place, F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content"), "lang")
+    staged(manifests.write_documents(files.filter("lang is null or lang <> 'de'"), project.root))
+    declared = files.select(F.concat(F.lit(project.root + "/"), "path").alias("path"))
+    return project.describe_inputs(declared).select("path", "kind", "size", "sha256", "problem")
+
+
+@query(UNIT_CODE_DEPS_SQL)
+def project_code_deps(t: Tables) -> DataFrame:
+    """The modules that units import, found and hashed as files of a tree."""
+    project = Project(t.spark, new_scratch(t.spark, "tree"))
+    units, modules = imported_units(t)
+    staged(manifests.write_documents(modules.select("path", F.col("module").alias("content")), project.root))
+    return project.code_deps_of(units, ["page_id"])
 
 
 @query(

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import numbers, text
+from ..operators.plots import PlotSource
 from ..operators.summaries import group_moments
 from ..plans import new_scratch, staged
 from ..project import Project
 from ..sinks import manifests
-from ..sources import textformat
+from ..sources import chunks, textformat
 from ..sources.catalog import Producer, parse_manifests, producers
 from ..sources.storage import hashed, walk
 from .registry import Tables, query
@@ -47,6 +48,30 @@ def preserve_roundtrip(t: Tables) -> DataFrame:
     return textformat.reader(t.spark, t.part.schema, "csv").load(path)
 
 
+@query(
+    """WITH q AS (SELECT l_returnflag, count(*) AS n, quantile_cont(l_extendedprice, 0.25) AS a, quantile_cont(l_extendedprice, 0.5) AS b,
+        quantile_cont(l_extendedprice, 0.75) AS c FROM lineitem GROUP BY 1),
+    w AS (SELECT l.l_returnflag, l_extendedprice AS v, n, a, b, c, l_extendedprice BETWEEN a - 1.5 * (c - a) AND c + 1.5 * (c - a) AS inside
+        FROM lineitem l JOIN q ON q.l_returnflag = l.l_returnflag)
+    SELECT l_returnflag, n::BIGINT AS n, round(b, 6) AS median, count(*) FILTER (WHERE NOT inside)::BIGINT AS n_outliers, count(*)::BIGINT AS n_source,
+        round(sum(v), 2) AS total, ['boxes-marks.csv', 'boxes-source.csv'] AS files FROM w GROUP BY l_returnflag, n, a, b, c"""
+)
+def plot_source(t: Tables) -> DataFrame:
+    """The rows and the boxes of a figure, preserved together and read back."""
+    project = _project(t.spark)
+    spec = PlotSource("box", "l_returnflag", "l_extendedprice")
+    project.preserve_plot(spec, t.lineitem, "suite", producer=UNIT, filename="boxes")
+    source, marks = (textformat.reader(t.spark, schema, "csv").load(project.preserved_path("suite", "suite", f"boxes-{name}.csv"))
+                     for name, schema in (("source", "l_returnflag string, l_extendedprice double"), ("marks", _MARKS)))
+    totals = source.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n_source"), F.round(F.sum("l_extendedprice"), 2).alias("total"))
+    listed = project.list_preserved("suite").first()["files"]
+    files = F.array(*[F.lit(name) for name in sorted(listed)])
+    return marks.join(totals, "l_returnflag").select("l_returnflag", "n", F.round("median", 6).alias("median"), "n_outliers", "n_source", "total", files.alias("files"))
+
+
+_MARKS = "l_returnflag string, n bigint, q1 double, median double, q3 double, whisker_low double, whisker_high double, n_outliers bigint"
+
+
 @query("SELECT * REPLACE (o_orderkey::INT AS o_orderkey, o_custkey::INT AS o_custkey, o_orderdate::DATE AS o_orderdate) FROM orders")
 def external_csv(t: Tables) -> DataFrame:
     project = _project(t.spark)
@@ -64,6 +89,16 @@ def external_tsv(t: Tables) -> DataFrame:
     return project.load_external("customer.tsv", schema=customers.schema)
 
 
+@query("SELECT doc_id || '.txt' AS name, strlen(text)::BIGINT AS size, sha256(text) AS sha256 FROM documents")
+def external_binary(t: Tables) -> DataFrame:
+    """External files of no known table format, by their path and any reader."""
+    project = _project(t.spark)
+    path = F.concat(F.lit("data/external/texts/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    staged(manifests.write_documents(t.documents.select(path.alias("path"), F.col("text").alias("content")), project.root))
+    files = t.spark.read.format("binaryFile").load(project.external_path("texts"))
+    return files.select(text.base_name(F.col("path")).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+
+
 @query(
     """SELECT unnest(['conv_id', 'role', 'text', 'turn']) AS name, unnest(['bigint', 'string', 'string', 'bigint']) AS type, true AS restorable,
         unnest([0::BIGINT, count(*) FILTER (WHERE role = '\\N'), count(*) FILTER (WHERE text = '\\N'), 0::BIGINT]) AS reserved FROM conversations"""
@@ -119,6 +154,47 @@ def walk_files(t: Tables) -> DataFrame:
     return hashed(staged(walk(t.spark, root, ["data/preserved"])), root)
 
 
+# Bytes from 512 k on of every text, and the tree over them with 256 digests a node.
+_CHUNKS_SQL = """SELECT doc_id, k AS chunk, 512 * k AS start, least(512, size - 512 * k) AS length, sha256(coalesce(body[512 * k + 1:512 * k + 512], ''::BLOB)) AS sha256
+    FROM (SELECT doc_id, encode(text) AS body, strlen(text)::BIGINT AS size, unnest(range(0, greatest((strlen(text) + 511) // 512, 1))) AS k FROM documents)"""
+
+
+def _document_chunks(t: Tables, root: str) -> DataFrame:
+    """The chunks of all documents, written as files."""
+    written = staged(manifests.write_documents(_document_files(t), root))
+    return chunks.chunk_digests(written.select("path", "size"), root, 512)
+
+
+@query(
+    f"""WITH c AS ({_CHUNKS_SQL}), t AS (SELECT doc_id, count(*) AS n, CASE WHEN count(*) = 1 THEN any_value(sha256) ELSE sha256(string_agg(sha256, '' ORDER BY chunk)) END AS root FROM c GROUP BY doc_id)
+    SELECT doc_id, chunk, start, length, sha256, root FROM c JOIN t USING (doc_id)"""
+)
+def chunk_digests(t: Tables) -> DataFrame:
+    """Every chunk of every document file with its digest and the file's root."""
+    found = _document_chunks(t, new_scratch(t.spark, "files"))
+    top = chunks.roots(chunks.chunk_tree(found))
+    digits = F.regexp_extract("path", r"/([^/]+)\.txt$", 1).cast("bigint")
+    return found.join(top, "path").select(digits.alias("doc_id"), "chunk", "start", "length", "sha256", "root")
+
+
+@query(
+    """SELECT doc_id, CASE WHEN gone THEN 0 ELSE 512 * ((size - 1) // 512) END AS start, CASE WHEN gone THEN size ELSE size - 512 * ((size - 1) // 512) END AS length
+    FROM (SELECT doc_id, strlen(text)::BIGINT AS size, lang = 'es' AS gone FROM documents WHERE lang IN ('de', 'es') AND strlen(text) > 0)"""
+)
+def chunk_damage(t: Tables) -> DataFrame:
+    """Document files of which the Spanish are lost and the last byte of the German ones was changed: the ranges to restore."""
+    root = new_scratch(t.spark, "files")
+    before = _document_chunks(t, root)
+    files = _document_files(t).join(t.documents.select("lang", F.col("doc_id").cast("string").alias("_id")), F.regexp_extract("path", r"/([^/]+)\.txt$", 1) == F.col("_id"))
+    other = F.concat(F.expr("substring(cast(content AS binary), 1, octet_length(content) - 1)"), F.lit(b"\x00"))
+    changed = files.filter("lang <> 'es' and content <> ''").select("path", F.when(F.col("lang") == "de", other).otherwise(F.col("content").cast("binary")).alias("content"))
+    second = new_scratch(t.spark, "files")
+    now = chunks.chunk_digests(staged(manifests.write_documents(changed, second)).select("path", "size"), second, 512)
+    recorded = before.filter("length > 0")
+    found = chunks.damaged_ranges(recorded, chunks.chunk_tree(recorded), now, chunks.chunk_tree(now))
+    return found.select(F.regexp_extract("path", r"/([^/]+)\.txt$", 1).cast("bigint").alias("doc_id"), "start", "length")
+
+
 _MANIFEST_SQL = """SELECT 'data/preserved/' || source || '/' || doc_id || '/manifest.json' AS path, * FROM documents"""
 
 
