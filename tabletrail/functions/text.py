@@ -84,21 +84,6 @@ def is_identifier(name: Column) -> Column:
     return F.coalesce(name.rlike(IDENTIFIER), F.lit(False))
 
 
-def flat_name_problem(name: Column) -> Column:
-    """Why a table or file name is not one flat path part; null when it is."""
-    return (
-        F.when(name.isNull() | (name == "") | (stripped(name) != name), "empty or padded")
-        .when(name.contains("/") | name.contains("\\") | name.startswith("."), "not flat")
-    )
-
-
-def relative_path_problem(path: Column) -> Column:
-    """Why a path cannot lie below the external folder; null when it can."""
-    return F.when(path.startswith("/"), "absolute").when(
-        F.array_contains(F.split(path, "/"), ".."), "climbs out"
-    )
-
-
 def epoch_day(date: Column) -> Column:
     return F.unix_date(date)
 

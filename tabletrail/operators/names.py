@@ -2,23 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ..functions.text import flat_name_problem, is_identifier, relative_path_problem
-
-
-def doubled_suffix(name: Column, ending: str) -> Column:
-    return F.coalesce(name.endswith(ending), F.lit(False))
+from ..functions.rules import EXTERNAL, FLAT, UNIT, ends_in, problem_column
 
 
 def name_lint(df: DataFrame, name: str, *, suffix: str = ".csv") -> DataFrame:
     """The rule each name breaks in each role; null where it is valid."""
-    value = F.col(name)
-    return df.withColumns(
-        {
-            "table_problem": F.coalesce(flat_name_problem(value), F.when(doubled_suffix(value, suffix), "repeats suffix")),
-            "file_problem": flat_name_problem(value),
-            "unit_problem": F.when(~is_identifier(value), "not an identifier"),
-            "external_problem": relative_path_problem(value),
-        }
-    )
+    roles = {"table": (*FLAT, ends_in(suffix)), "file": FLAT, "unit": UNIT, "external": EXTERNAL}
+    return df.withColumns({f"{role}_problem": problem_column(rules, F.col(name)) for role, rules in roles.items()})
