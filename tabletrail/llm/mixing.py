@@ -80,13 +80,13 @@ def seats(parties: DataFrame, group: list[str], votes: str, total: str, n_seats:
     return ranked.groupBy(*own).agg((F.min("_sure") + F.sum((F.col("_rank") <= F.col("_left")).cast("long"))).alias("seats"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, block: int = 16, shard: int = 1 << 20, seed: str = SEED, whole: bool = False) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, block: int = 16, shard: int = 1 << 20, seed: str = SEED, marked: bool = False) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` of every document.
 
-    With ``whole`` the documents go along: each row has all columns of ``docs``, then the
-    last four of these, which replace columns of the same name.
+    With ``marked``, ``source`` and ``mark``, a hash of the text, follow.
     """
-    rows = saved(sizes(docs, seed), "sizes")
+    more = [F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark")] if marked else []
+    rows = saved(sizes(docs, seed, *more), "sizes")
     volumes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     aims = saved(targets(volumes, weights, share, most), "targets")
     voted = aims.withColumn("_one", F.lit(0))
@@ -97,8 +97,6 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
         quotas.select(F.col("source").alias("_source"), "seats"), F.col("source").eqNullSafe(F.col("_source")), "left"
     ).select("source", "source_size", "target", "shards", F.coalesce("seats", F.lit(0)).alias("quota"))
     plan = measured(plan)
-    if whole:
-        rows = sizes(docs, seed, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
     known = rows.join(plan.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     number = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
     dealt = known.withColumn("shard", F.pmod(number, F.col("shards")))
@@ -122,10 +120,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     touched = F.sequence(F.floor(F.col("start") / block), F.floor((F.col("stop") - 1) / block))
     extra = F.when((F.col("rest") > 0) & (F.col("size") > 0), F.aggregate(touched, F.lit(0).cast("long"), lambda acc, b: acc + in_block(b)))
     taken = F.coalesce(F.col("size") * F.col("rounds") + F.coalesce(extra, F.lit(0)), F.lit(0)).cast("long")
-    new = ["size", "source_size", "target", "taken"]
-    # Taken first: a column of the documents may have the name of one that it is made of.
-    mixed = placed.withColumn("taken", taken)
-    return mixed.select(*([F.col(f"_doc.`{c}`") for c in docs.columns if c not in new] if whole else ["doc_id"]), *new)
+    return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), *(["source", "mark"] if marked else []))
 
 
 def op4_sainte_lague_mix(spark: SparkSession, folder: str) -> DataFrame:
@@ -136,11 +131,17 @@ def op4_sainte_lague_mix(spark: SparkSession, folder: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with ``size``, ``source_size``, ``target`` and ``taken`` after their own columns.
 
-    Rows are mixed as they are, whether or not their ids tell them apart. A column of
-    ``docs`` with one of these names is replaced.
+    A column of ``docs`` with one of these names is replaced. A row is known by id, source
+    and text; rows equal in all three share what they are given evenly, down to the word.
     """
     del spark, sf_dir
-    return mix(docs, whole=True)
+    key, new = ["doc_id", "source", "mark"], ["size", "source_size", "target", "taken"]
+    shared = F.floor(F.sum("taken") / F.count(F.lit(1))).cast("long")
+    told = mix(docs, marked=True).groupBy(*key, *new[:3]).agg(shared.alias("taken"))
+    # The narrow side is the table; documents stream by unsorted.
+    told = told.withColumnsRenamed({c: f"_{c}" for c in key}).hint("shuffle_hash")
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_mark"))
+    return docs.drop(*new).join(told, same, "left").drop("_doc_id", "_source", "_mark")
 
 
 def _sql(block: int = 16, shard: int = 1 << 20, share: float = 1.5, most: int = 2) -> str:
