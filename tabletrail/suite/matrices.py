@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import matrices, rows, summaries
+from ..plans import row_count, staged
 from .registry import Tables, query
 from .statistics import LONG_SQL, long_embeddings
 
@@ -76,14 +77,26 @@ def pairwise_distance(t: Tables) -> DataFrame:
     return distances.withColumn("distance", F.round("distance", 6))
 
 
-@query()
+@query("SELECT vec_id, least(10, (SELECT count(*) FROM embeddings) - 1)::BIGINT AS n_near, true AS in_order FROM embeddings WHERE vec_id % 20 = 0")
 def nearest_rows(t: Tables) -> DataFrame:
-    """The ten nearest vectors of every twentieth one, by an index; tests measure its recall."""
+    """Every twentieth vector with its number of neighbours from the index, and whether they are distinct and in order.
+
+    Which neighbours they are depends on the index; tests measure its recall against brute force.
+    """
     found = rows.nearest_rows(t.embeddings, "vec_id", "embedding", F.col("vec_id") % 20 == 0)
-    return found.withColumn("distance", F.round("distance", 6))
+    # At most ten a row.
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("rank", "distance"))), lambda x: x["distance"])
+    per = found.groupBy("vec_id").agg(F.count("near").alias("n_near"), F.count_distinct("near").alias("_n"), listed.alias("_d"))
+    return per.select("vec_id", "n_near", ((F.col("_n") == F.col("n_near")) & (F.col("_d") == F.sort_array("_d"))).alias("in_order"))
 
 
-@query()
+@query("SELECT vec_id, true AS placed FROM embeddings")
 def row_order(t: Tables) -> DataFrame:
-    """All vectors in the order of a heat map's rows."""
-    return rows.row_order(t.embeddings, "vec_id", "embedding")
+    """Every vector, and whether it has a place of its own in the order of a heat map's rows.
+
+    The order itself is checked by tests: rows of one cluster are together.
+    """
+    ordered = staged(rows.row_order(t.embeddings, "vec_id", "embedding"))
+    taken = ordered.groupBy("position").agg(F.count(F.lit(1)).alias("_n"))
+    place = (F.col("_n") == 1) & F.col("position").between(1, row_count(ordered))
+    return ordered.join(taken, "position").select("vec_id", place.alias("placed"))
