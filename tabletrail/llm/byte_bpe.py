@@ -42,10 +42,10 @@ from .common import measured, read, saved
 CHUNK = 1 << 15
 OVERLAP = 512
 AHEAD = 8  # more than the pattern looks ahead (a contraction and one character)
-CACHE = 1 << 18  # pre-tokens remembered by a worker
+CACHE = 1 << 17  # pre-tokens remembered by a worker
 SHORT = 64  # bytes up to which pre-tokens are merged many at a time
-AT_ONCE = 1 << 20  # pre-tokens looked up together
-ROOM = 1 << 21  # tokens in one batch of rows
+AT_ONCE = 1 << 18  # pre-tokens looked up together
+ROOM = 1 << 19  # tokens in one batch of rows
 
 _TOKENS = "doc_id long, row long, part int, parts int, ids array<int>"
 
