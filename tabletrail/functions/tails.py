@@ -21,8 +21,12 @@ def _each(function, values):
 
 
 def _beta_fraction(a, b, x):
-    """Continued fraction of the incomplete beta function (modified Lentz)."""
-    c = np.ones_like(x)
+    """Continued fraction of the incomplete beta function (modified Lentz).
+
+    A value stays as it is once its own steps are over: later ones only add rounding, which
+    with many degrees of freedom keeps a batch from ever being over as a whole.
+    """
+    c, over = np.ones_like(x), np.zeros(x.shape, bool)
     d = 1.0 - (a + b) * x / (a + 1.0)
     d = 1.0 / np.where(np.abs(d) < _TINY, _TINY, d)
     h = d.copy()
@@ -35,8 +39,9 @@ def _beta_fraction(a, b, x):
             c = 1.0 + step / c
             c = np.where(np.abs(c) < _TINY, _TINY, c)
             change = d * c
-            h = h * change
-        if np.all(np.abs(change - 1.0) < 1e-15):
+            h = np.where(over, h, h * change)
+        over |= np.abs(change - 1.0) < 1e-15
+        if over.all():
             return h
     raise ArithmeticError("the continued fraction of the beta function did not converge")
 

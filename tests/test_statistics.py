@@ -65,6 +65,16 @@ def test_t_tail_edges():
     assert 0 < p[5] < 1e-200
 
 
+def test_tails_of_a_batch_with_many_degrees_of_freedom():
+    # Some values of a batch are over long before others; all together never were.
+    t = np.random.default_rng(0).normal(size=64) * 5
+    for df in (1e4, 1e5, 4e6, 1e9):
+        batch = tails.t_two_sided(t, np.full(64, df))
+        assert batch == pytest.approx([float(tails.t_two_sided([x], [df])[0]) for x in t], rel=1e-14)
+        assert tails.f_upper(t * t, np.ones(64), np.full(64, df)) == pytest.approx(batch, rel=1e-5)
+    assert batch == pytest.approx([math.erfc(abs(x) / math.sqrt(2)) for x in t], rel=1e-6)
+
+
 def test_polygamma():
     assert float(tails.digamma(np.array([1.0]))[0]) == pytest.approx(-0.5772156649015329, abs=1e-13)
     assert float(tails.trigamma(np.array([1.0]))[0]) == pytest.approx(math.pi**2 / 6, abs=1e-13)
