@@ -160,6 +160,24 @@ def test_recall_on_the_given_vectors(spark):
     assert len(found) == 10 * len({r.vec_id for r in found}) and recall(found, want) >= 0.9
 
 
+def test_neighbours_write_no_pairs(spark):
+    # All rows share their buckets: half are copies of one vector, ids are texts and one is repeated.
+    rng = np.random.default_rng(3)
+    x = np.vstack([np.zeros((300, 4)), rng.normal(size=(300, 4)) * 1e-3])
+    data = [(f"r{i:03d}", v.tolist()) for i, v in enumerate(x)] + [("r599", x[599].tolist()), (None, x[0].tolist())]
+    table = spark.createDataFrame(data, "id string, v array<double>")
+    found = rows.nearest_rows(table, "id", "v", F.col("id").endswith("9"), index=rows.Buckets(4, 100.0, 1, 2))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "HashAggregate" not in plan
+    per = {}
+    for r in found.collect():
+        per.setdefault(r.id, []).append((r.rank, r.distance, r.near))
+    assert len(per) == 60 and all(len(v) == 10 for v in per.values())
+    for i in range(9, 590, 10):
+        far = sorted((float(np.sqrt(np.cumsum((x[i] - v) ** 2)[-1])), name) for name, v in data if name not in (None, f"r{i:03d}"))[:10]
+        assert [(d, n) for _, d, n in sorted(per[f"r{i:03d}"])] == far
+
+
 def test_place_chance_matches_draws():
     rng = np.random.default_rng(0)
     for distance, width in ((0.5, 1.0), (1.0, 1.0), (3.0, 2.0)):
