@@ -60,7 +60,7 @@ def add(files: DataFrame, root: str, bundle: str, recorded: dict | None, carried
     """
     spark, version = files.sparkSession, uuid.uuid4().hex[:12]
     drafts = F.concat(F.lit(f"{bundle}{DRAFTS}/{version}/"), "filename").alias("path")
-    written = staged(write_documents(files.select(drafts, "content"), root))
+    written = staged(write_documents(files.select(drafts, "content"), root, new=True))
     place = F.concat(F.lit(f"{bundle}/"), base_name(F.col("path")))
     new = written.select(F.lit(bundle).alias("output"), place.alias("path"), "size", "sha256")
     old = recorded_files(spark, root, bundle, recorded)
@@ -131,16 +131,19 @@ def resume(storage: Storage, root: str, bundle: str, recorded: dict | None, spar
 
 def _moved(moves: DataFrame, root: str) -> None:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow.fs import FileType
-
+        made = set()
         for batch in batches:
             for draft, path in zip(batch["draft"], batch["path"]):
                 filesystem, source = _arrow(f"{root}/{draft}")
                 target = _arrow(f"{root}/{path}")[1]
-                filesystem.create_dir(target.rsplit("/", 1)[0], recursive=True)
-                # A task that runs again finds its first files moved.
-                if filesystem.get_file_info(source).type == FileType.File:
+                folder = target.rsplit("/", 1)[0]
+                if folder not in made:
+                    filesystem.create_dir(folder, recursive=True)
+                    made.add(folder)
+                try:
                     filesystem.move(source, target)
+                except FileNotFoundError:
+                    pass  # moved by an earlier attempt of this task
             yield pd.DataFrame({"n": [len(batch)]})
 
     _spread(moves).mapInPandas(run, "n int").agg(F.sum("n")).collect()

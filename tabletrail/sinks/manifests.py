@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,6 +17,8 @@ from ..sources.catalog import MANIFEST_VERSION, Producer
 from ..sources.errors import ArtifactError
 from ..sources.storage import Storage, _arrow
 
+DRAFTS = ".drafts"  # folders of single tasks, gone when these end
+
 
 def load(storage: Storage, path: str) -> dict | None:
     """The record at ``path`` as the audit would read it, but one of a later format is refused.
@@ -81,34 +84,48 @@ def merged_records(entries: DataFrame, keys: list[str], sequence: str) -> DataFr
     return last_wins(entries, keys, sequence)
 
 
-def write_documents(documents: DataFrame, root: str) -> DataFrame:
+def write_documents(documents: DataFrame, root: str, *, new: bool = False) -> DataFrame:
     """Write ``content`` (string or binary) to ``root/path`` for each row, in tasks.
 
-    Returns ``path, size, sha256, written``; an unchanged file is not rewritten.
+    Returns ``path, size, sha256, written``; an unchanged file is not rewritten, and none is
+    looked for where the caller knows by ``new`` that there are none. A file is
+    written in a folder of its task, below ``root``, and then moved: tasks that create files
+    in one folder wait for each other.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib
 
-        for batch in batches:
-            rows = []
-            for path, content in zip(batch["path"], batch["content"]):
-                data = content.encode("utf-8") if isinstance(content, str) else bytes(content)
-                filesystem, target = _arrow(f"{root}/{path}")
-                try:
-                    with filesystem.open_input_stream(target) as stream:
-                        same = stream.read() == data
-                except (FileNotFoundError, OSError):
+        # Named by attempt, as a speculative twin may write the same file.
+        drafts = f"{root}/{DRAFTS}-{uuid.uuid4().hex[:12]}-{TaskContext.get().taskAttemptId()}"
+        made = set()
+        try:
+            for batch in batches:
+                rows = []
+                for path, content in zip(batch["path"], batch["content"]):
+                    data = content.encode("utf-8") if isinstance(content, str) else bytes(content)
+                    filesystem, target = _arrow(f"{root}/{path}")
                     same = False
-                if not same:
-                    filesystem.create_dir(target.rsplit("/", 1)[0], recursive=True)
-                    # Named by attempt, as a speculative twin may write the same file.
-                    draft = f"{target}.{TaskContext.get().taskAttemptId()}.tmp"
-                    with filesystem.open_output_stream(draft) as stream:
-                        stream.write(data)
-                    filesystem.move(draft, target)
-                rows.append((path, len(data), hashlib.sha256(data).hexdigest(), not same))
-            yield pd.DataFrame(rows, columns=["path", "size", "sha256", "written"])
+                    if not new:
+                        try:
+                            with filesystem.open_input_stream(target) as stream:
+                                same = stream.read() == data
+                        except (FileNotFoundError, OSError):
+                            pass
+                    if not same:
+                        draft = f"{_arrow(drafts)[1]}/draft"
+                        for folder in {target.rsplit("/", 1)[0], draft.rsplit("/", 1)[0]} - made:
+                            filesystem.create_dir(folder, recursive=True)
+                            made.add(folder)
+                        with filesystem.open_output_stream(draft) as stream:
+                            stream.write(data)
+                        filesystem.move(draft, target)
+                    rows.append((path, len(data), hashlib.sha256(data).hexdigest(), not same))
+                yield pd.DataFrame(rows, columns=["path", "size", "sha256", "written"])
+        finally:
+            if made:
+                filesystem, folder = _arrow(drafts)
+                filesystem.delete_dir(folder)
 
     return documents.select("path", "content").mapInPandas(run, "path string, size bigint, sha256 string, written boolean")
 

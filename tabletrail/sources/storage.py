@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans import literal_rows, row_count, staged
 
-CHUNK = 1 << 20
+CHUNK, FIRST_CHUNK = 1 << 20, 1 << 14
 WALK_BOUND = 20_000  # entries that one task lists before it hands folders on
 
 
@@ -202,11 +202,13 @@ def hashed(files: DataFrame, root: str) -> DataFrame:
 
 def _hash_one(uri: str) -> str | None:
     filesystem, path = _arrow(uri)
-    digest = hashlib.sha256()
+    digest, size = hashlib.sha256(), FIRST_CHUNK
     try:
         with filesystem.open_input_stream(path) as stream:
-            while chunk := stream.read(CHUNK):
+            while chunk := stream.read(size):
                 digest.update(chunk)
+                # Room for a whole chunk costs more than reading a small file.
+                size = CHUNK if len(chunk) == size else size
     except (FileNotFoundError, OSError):
         return None
     return digest.hexdigest()
@@ -267,18 +269,22 @@ def identify(paths: DataFrame, root: str) -> DataFrame:
         from pyarrow.fs import FileType
 
         for batch in batches:
+            # A table costs more than a file, so many paths share one.
+            rows = []
             for path in batch["path"]:
                 uri = path if path.startswith("/") or "://" in path else f"{root}/{path}"
                 filesystem, base = _arrow(uri)
                 info = filesystem.get_file_info(base)
-                rows = []
                 if info.type == FileType.File:
-                    rows = [(path, "", True, info.size, uri)]
+                    rows.append((path, "", True, info.size, uri))
                 elif info.type == FileType.Directory:
-                    rows = [(path, p, False, size, f"{uri}/{p}") for p, is_file, size in _entries(uri, True) if is_file]
+                    found = [(path, p, False, size, f"{uri}/{p}") for p, is_file, size in _entries(uri, True) if is_file]
                     # A folder without files still exists.
-                    rows = rows or [(path, None, False, 0, None)]
-                yield pd.DataFrame(rows, columns=["path", "part", "whole", "size", "location"])
+                    rows += found or [(path, None, False, 0, None)]
+                if len(rows) >= WALK_BOUND:
+                    yield pd.DataFrame(rows, columns=["path", "part", "whole", "size", "location"])
+                    rows = []
+            yield pd.DataFrame(rows, columns=["path", "part", "whole", "size", "location"])
 
     parts = staged(_spread(staged(paths.select("path").distinct())).mapInPandas(expand, schema))
     named = parts.withColumnsRenamed({"path": "input", "location": "path"})

@@ -1,5 +1,6 @@
 """Bundles and tables published in bulk, the walk of large trees, and merged user code."""
 
+import hashlib
 import json
 import struct
 from dataclasses import replace
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tabletrail import ArtifactError
 from tabletrail.operators import summaries, usercode
+from tabletrail.sinks import manifests
 from tabletrail.sources import storage
 from tabletrail.sources.storage import walk
 from test_project import Tree
@@ -270,3 +272,52 @@ def test_damaged_range_of_a_shared_table(tree, spark):
     part.write_bytes(data)
     found = p.damaged_ranges("t").collect()
     assert [(r.start, r.length) for r in found] == [(100_000 // 4096 * 4096, 4096)]
+
+
+def test_files_are_drafts_of_their_task(spark, tmp_path, monkeypatch):
+    """Files are created in a folder of the task, which goes; their own folder sees whole files only."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "7").write_text("text 7")
+    documents = spark.range(40).selectExpr("concat('in/', id) AS path", "concat('text ', id) AS content")
+
+    class Folder:
+        def __init__(self, filesystem):
+            self.filesystem = filesystem
+
+        def open_output_stream(self, path):
+            created.append(path)
+            return self.filesystem.open_output_stream(path)
+
+        def __getattr__(self, name):
+            return getattr(self.filesystem, name)
+
+    created, batches = [], [documents.toPandas()]
+    opened = manifests._arrow
+    monkeypatch.setattr(manifests, "_arrow", lambda uri: (Folder(opened(uri)[0]), opened(uri)[1]))
+    monkeypatch.setattr(manifests, "TaskContext", type("Context", (), {"get": staticmethod(lambda: type("Task", (), {"taskAttemptId": lambda self: 1})())}))
+
+    class Rows:
+        def select(self, *columns):
+            return self
+
+        def mapInPandas(self, run, schema):
+            return list(run(iter(batches)))
+
+    written = manifests.write_documents(Rows(), str(tmp_path))[0]
+    assert len(created) == 39 and not [p for p in created if "/in/" in p]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["in"] and len(list((tmp_path / "in").iterdir())) == 40
+    assert written["written"].tolist() == [i != 7 for i in range(40)]
+
+
+def test_many_inputs_share_a_batch(spark, tmp_path, monkeypatch):
+    for i in range(30):
+        (tmp_path / f"{i}.txt").write_text(f"text {i}")
+    (tmp_path / "folder").mkdir()
+    steps = []
+    paths = spark.range(31).selectExpr("concat(id, '.txt') AS path").unionByName(spark.sql("SELECT 'folder' AS path"))
+    monkeypatch.setattr(storage, "_spread", lambda df, *by: type("Spied", (), {"mapInPandas": lambda self, run, schema: (steps.append(run), df.mapInPandas(run, schema))[1]})())
+    found = {r.path: (r.size, r.sha256) for r in storage.identify(paths, str(tmp_path)).collect()}
+    assert set(found) == {"folder", *(f"{i}.txt" for i in range(30))}
+    assert all(found[f"{i}.txt"] == (len(f"text {i}"), hashlib.sha256(f"text {i}".encode()).hexdigest()) for i in range(30))
+    tables = list(steps[0](iter([paths.toPandas()])))
+    assert [len(t) for t in tables] == [31]
