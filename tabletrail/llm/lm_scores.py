@@ -41,9 +41,11 @@ OWN = BASE * BASE - HASHED
 WIDTH, HIDDEN = 12, 24
 STRIDE, ROUNDS, BATCH, RATE, SEED = 1, 2, 512, 0.01, 5
 SCALE = 1 << 16
-CHUNK = 1 << 15  # positions scored at once
+CHUNK = 1 << 11  # positions scored at once
 LOG_SCALE = 1 << 32
 
+PLACES = np.arange((BASE * BASE + 1) * WIDTH).reshape(-1, WIDTH)  # of a token's values among all embeddings
+
 Weights = dict[str, np.ndarray]
 
 
@@ -75,12 +77,13 @@ def shared_counts(counts: DataFrame, words: list[str]) -> np.ndarray:
 
 class Tokens:
     def __init__(self, words: list[str]):
-        self.own = {w.encode(): i for i, w in enumerate(words)}
+        # Below 0, so as not to be taken for a checksum.
+        self.own = {w.encode(): ~i for i, w in enumerate(words)}
 
     def of(self, text: str | None) -> np.ndarray:
-        own, crc = self.own, zlib.crc32
         words = (text or "").lower().encode().split()
-        return np.fromiter((own[w] if w in own else OWN + crc(w) % HASHED for w in words), np.int64, len(words))
+        found = np.fromiter(map(self.own.get, words, map(zlib.crc32, words)), np.int64, len(words))
+        return np.where(found < 0, ~found, OWN + found % HASHED)
 
 
 def untrained(seed: int = SEED) -> Weights:
@@ -100,17 +103,29 @@ def contexts(tokens: np.ndarray) -> np.ndarray:
     return np.stack([line[i:i + n] for i in range(2 * SIDE + 1) if i != SIDE], axis=1)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _outputs(w: Weights, around: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What is seen, a row per position; then hidden values and outputs for both digits, a column per position.
+
+    With columns, maxima and sums over a few digits are taken for many positions at once.
+    Each digit's outputs are below 0 by their maximum.
+    """
+    seen = w["embed"].take(around.ravel(), axis=0).reshape(len(around), -1)
+    hidden = w["in"].T @ seen.T
+    hidden += w["in_b"][:, None]
+    np.tanh(hidden, out=hidden)
+    out = np.hstack([w["first"], w["second"]]).T @ hidden
+    out = out.reshape(2, BASE, -1)
+    out[0] += w["first_b"][:, None]
+    out[1] += w["second_b"].take(tokens // BASE, axis=0).T
+    out -= out.max(axis=1, keepdims=True)
+    return seen, hidden, out
 
 
 def forward(w: Weights, around: np.ndarray, tokens: np.ndarray):
-    seen = w["embed"][around].reshape(len(around), -1)
-    hidden = np.tanh(seen @ w["in"] + w["in_b"])
-    one = _log_softmax(hidden @ w["first"] + w["first_b"])
-    two = _log_softmax(hidden @ w["second"] + w["second_b"][tokens // BASE])
-    return seen, hidden, one, two
+    """What is seen, hidden values, log-probabilities of both digits; a row per position."""
+    seen, hidden, out = _outputs(w, around, tokens)
+    out -= np.log(np.exp(out).sum(axis=1, keepdims=True))
+    return seen, hidden.T, out[0].T, out[1].T
 
 
 def log_likelihood(w: Weights, tokens: np.ndarray) -> float:
@@ -119,58 +134,77 @@ def log_likelihood(w: Weights, tokens: np.ndarray) -> float:
     around = contexts(tokens)
     for at in range(0, len(tokens), CHUNK):
         part = tokens[at:at + CHUNK]
-        _, _, one, two = forward(w, around[at:at + CHUNK], part)
-        rows = np.arange(len(part))
-        total += float(one[rows, part // BASE].sum(dtype=np.float64) + two[rows, part % BASE].sum(dtype=np.float64))
+        _, _, out = _outputs(w, around[at:at + CHUNK], part)
+        told = out[[[0], [1]], [part // BASE, part % BASE], np.arange(len(part))]
+        total += float((told - np.log(np.exp(out, out=out).sum(axis=1))).sum(dtype=np.float64))
     return total
 
 
 def gradients(w: Weights, around: np.ndarray, tokens: np.ndarray) -> Weights:
     """Of the mean negative log-probability."""
-    seen, hidden, one, two = forward(w, around, tokens)
-    n, rows = len(tokens), np.arange(len(tokens))
-    d_one, d_two = np.exp(one), np.exp(two)
-    d_one[rows, tokens // BASE] -= 1
-    d_two[rows, tokens % BASE] -= 1
-    d_one /= n
-    d_two /= n
-    d_hidden = (d_one @ w["first"].T + d_two @ w["second"].T) * (1 - hidden**2)
-    d_seen = (d_hidden @ w["in"].T).reshape(-1, WIDTH)
-    places = (around.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel()
-    embed = np.bincount(places, d_seen.ravel(), w["embed"].size).reshape(w["embed"].shape)
-    digits = (tokens[:, None] // BASE == np.arange(BASE)).astype(d_two.dtype)
+    seen, hidden, out = _outputs(w, around, tokens)
+    n, rows, high = len(tokens), np.arange(len(tokens)), tokens // BASE
+    np.exp(out, out=out)
+    out /= out.sum(axis=1, keepdims=True) * n
+    out[0, high, rows] -= 1 / n
+    out[1, tokens % BASE, rows] -= 1 / n
+    both = out.reshape(2 * BASE, n)
+    last = hidden @ both.T
+    d_hidden = np.hstack([w["first"], w["second"]]) @ both
+    d_hidden *= 1 - hidden * hidden
+    d_seen = d_hidden.T @ w["in"].T
+    places = PLACES.take(around.ravel(), axis=0)
+    embed = np.bincount(places.ravel(), d_seen.ravel(), w["embed"].size).reshape(w["embed"].shape)
+    is_high = np.zeros((BASE, n), out.dtype)
+    is_high[high, rows] = 1
     return {
-        "embed": embed.astype(w["embed"].dtype), "in": seen.T @ d_hidden, "in_b": d_hidden.sum(0), "first": hidden.T @ d_one,
-        "first_b": d_one.sum(0), "second": hidden.T @ d_two, "second_b": digits.T @ d_two,
+        "embed": embed.astype(w["embed"].dtype), "in": seen.T @ d_hidden.T, "in_b": d_hidden.sum(1), "first": last[:, :BASE],
+        "first_b": out[0].sum(1), "second": last[:, BASE:], "second_b": is_high @ out[1].T,
     }
 
 
 class Adam:
+    """``weights`` are views of one vector, so that a step is a few operations on all of them."""
+
     def __init__(self, weights: Weights, rate: float = RATE):
-        self.weights, self.rate, self.step = {k: v.copy() for k, v in weights.items()}, rate, 0
-        self.first = {k: np.zeros_like(v) for k, v in weights.items()}
-        self.second = {k: np.zeros_like(v) for k, v in weights.items()}
+        self.values, self.rate, self.step = flat(weights), rate, 0
+        self.weights = views(self.values)
+        self.first, self.second, self.spare = (np.zeros_like(self.values) for _ in range(3))
 
     def learn(self, around: np.ndarray, tokens: np.ndarray) -> None:
         self.step += 1
-        for k, g in gradients(self.weights, around, tokens).items():
-            self.first[k] += 0.1 * (g - self.first[k])
-            self.second[k] += 0.01 * (g * g - self.second[k])
-            self.weights[k] -= self.rate * (self.first[k] / (1 - 0.9**self.step)) / (np.sqrt(self.second[k] / (1 - 0.99**self.step)) + 1e-6)
+        g, spare = flat(gradients(self.weights, around, tokens)), self.spare
+        np.subtract(g, self.first, out=spare)
+        spare *= 0.1
+        self.first += spare
+        g *= g
+        g -= self.second
+        g *= 0.01
+        self.second += g
+        np.divide(self.second, 1 - 0.99**self.step, out=g)
+        np.sqrt(g, out=g)
+        g += 1e-6
+        np.multiply(self.first, self.rate / (1 - 0.9**self.step), out=spare)
+        spare /= g
+        self.values -= spare
 
 
 def flat(w: Weights) -> np.ndarray:
     return np.concatenate([w[k].ravel() for k in sorted(w)])
 
 
-def shaped(values: np.ndarray) -> Weights:
+def views(values: np.ndarray) -> Weights:
     out, at = {}, 0
     for k, like in sorted(untrained().items()):
-        out[k] = values[at:at + like.size].reshape(like.shape).astype(np.float32)
+        out[k] = values[at:at + like.size].reshape(like.shape)
         at += like.size
     return out
 
 
+def shaped(values: np.ndarray) -> Weights:
+    return views(values.astype(np.float32))
+
+
 def train(docs: DataFrame, words: list[str], rounds: int = ROUNDS, stride: int = STRIDE) -> Weights:
     """Weights after ``rounds`` of local training and averaging over all texts.
 
@@ -207,7 +241,7 @@ def train(docs: DataFrame, words: list[str], rounds: int = ROUNDS, stride: int =
             if waiting:
                 learn()
             if positions:
-                change = np.rint((flat(local.weights) - start).astype(np.float64) * SCALE).astype(np.int64)
+                change = np.rint((local.values - start).astype(np.float64) * SCALE).astype(np.int64)
                 yield pd.DataFrame({"place": np.arange(len(change)), "part": change * positions, "positions": positions})
 
         parts = docs.select("text").mapInPandas(run, "place int, part long, positions long")

@@ -150,6 +150,25 @@ def test_gradients_match_differences():
         assert abs((up - down) / 2e-5 - g[k][at]) < 1e-5
 
 
+def test_a_step_is_taken_on_one_vector():
+    rng = np.random.default_rng(1)
+    start = lm_scores.untrained()
+    adam = lm_scores.Adam(start)
+    assert all(np.shares_memory(v, adam.values) for v in adam.weights.values())
+    want, first, second = ({k: f(v) for k, v in start.items()} for f in (np.copy, np.zeros_like, np.zeros_like))
+    for step in range(1, 6):
+        tokens = rng.integers(0, 1024, 300)
+        around = lm_scores.contexts(tokens)
+        for k, g in lm_scores.gradients(want, around, tokens).items():
+            assert g.shape == want[k].shape and g.dtype == np.float32
+            first[k] += 0.1 * (g - first[k])
+            second[k] += 0.01 * (g * g - second[k])
+            want[k] -= lm_scores.RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)
+        adam.learn(around, tokens)
+    assert all(np.abs(adam.weights[k] - want[k]).max() < 1e-5 for k in want)
+    assert all((start[k] == lm_scores.untrained()[k]).all() for k in start)
+
+
 @pytest.mark.parametrize("text", ["a b", "a b c d e f g h"])
 def test_training_reaches_short_texts_and_ends(spark, text):
     docs = frame(spark, [(i, text, None, None) for i in range(30_000 // len(text.split()))])
