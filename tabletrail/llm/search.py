@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from .common import arrow_rows, read, saved, words
@@ -36,13 +36,18 @@ EVERY = 20
 BLOCK, DENSE, SCALE = 64, 24, 1 << 20
 SHARD_DOCS, QUERY_BLOCK = 12_288, 16_384
 SHARD_WORDS = 6 << 20
+TASKS = 4096  # at most, for the cells
 BATCH = 512  # rows, each with all terms of a document
 ROUND = 8  # blocks visited before the k-th best score is looked at first; then eight times as many each time
 
 
+def hashes() -> Column:
+    """The lower-cased words of a text, each as a 64-bit hash."""
+    return F.transform(words(F.lower("text")), lambda w: F.xxhash64(w))
+
+
 def terms(docs: DataFrame) -> DataFrame:
     """``doc_id, length, terms, counts``: distinct lower-cased words as 64-bit hashes, sorted, with their counts."""
-    hashed = F.transform(words(F.lower("text")), lambda w: F.xxhash64(w))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -56,19 +61,17 @@ def terms(docs: DataFrame) -> DataFrame:
                 "terms": pa.ListArray.from_arrays(ends, pa.array(flat[0], pa.int64())), "counts": pa.ListArray.from_arrays(ends, pa.array(flat[1].astype(np.int32))),
             })
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), hashed.alias("hashes"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), hashes().alias("hashes"))
     return rows.mapInArrow(run, "doc_id long, length long, terms array<bigint>, counts array<int>")
 
 
-def frequencies(indexed: DataFrame) -> DataFrame:
-    """``term, df``: documents that hold a term, over the whole table; counted per task first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            term, n = np.unique(batch.column("terms").flatten().to_numpy(zero_copy_only=False), return_counts=True)
-            yield pa.RecordBatch.from_pydict({"term": pa.array(term, pa.int64()), "n": pa.array(n.astype(np.int64))})
+def frequencies(docs: DataFrame) -> DataFrame:
+    """``term, df``: documents that hold a term, over the whole table.
 
-    return indexed.select("terms").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
+    Without Python: a stage with two Python steps has two workers to a task, which keep their
+    memory when later stages run beside them.
+    """
+    return docs.select(F.explode(F.array_distinct(hashes())).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 class Postings:
@@ -97,13 +100,17 @@ class Shard:
 
     def __init__(self, postings: Postings):
         self.ids = pa.chunked_array(postings.ids, pa.int64())
-        asked, n, found = postings.asked, postings.n, postings.found
+        asked, n = postings.asked, postings.n
         self.n = n
-        place, doc, impact = (np.concatenate(x) for x in zip(*found))
-        found.clear()
+        # One column after the other, so that no two copies of all of them are held.
+        place, doc, impact = (list(column) for column in zip(*postings.found))
+        postings.found.clear()
+        place = _joined(place)
         order = np.argsort(place, kind="stable")  # documents stay in order within a term
-        place, self.doc, self.impact = place[order], doc[order], impact[order]
-        del order, doc, impact
+        place = place[order]
+        self.doc = _joined(doc)[order]
+        self.impact = _joined(impact)[order]
+        del order
         held = np.bincount(place, minlength=len(asked))
         self.at = np.concatenate(([0], np.cumsum(held)))
         self.dense = np.flatnonzero(held * DENSE > n)
@@ -115,12 +122,13 @@ class Shard:
             self.table[self.doc[part], j] = self.impact[part]
         # One entry per term and block: where its postings begin, and their largest impact.
         self.blocks = -(-n // BLOCK)
-        key = place.astype(np.int64) * max(self.blocks, 1) + self.doc // BLOCK
-        self.entry = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-        self.entry_block = (key[self.entry] % max(self.blocks, 1)).astype(np.int32)
-        self.entry_most = np.maximum.reduceat(self.impact, self.entry) if len(key) else np.zeros(0, np.int32)
+        block, starts = self.doc // BLOCK, np.ones(len(place), bool)
+        starts[1:] = (place[1:] != place[:-1]) | (block[1:] != block[:-1])
+        self.entry = np.flatnonzero(starts)
+        self.entry_block = block[self.entry]
+        self.entry_most = np.maximum.reduceat(self.impact, self.entry) if len(place) else np.zeros(0, np.int32)
         self.entry_at = np.searchsorted(self.entry, self.at)
-        self.entry = np.append(self.entry, len(key))
+        self.entry = np.append(self.entry, len(place))
 
     def search(self, queries: list[np.ndarray], top: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Documents (as positions) and scores of the best ``top`` of each query (places of its terms), all ties at the end included."""
@@ -137,9 +145,10 @@ class Shard:
     def _one(self, query: np.ndarray, scores: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
         lows, highs = self.entry_at[query], self.entry_at[query + 1]
         entries = _ranges(lows, highs)
-        padded = np.zeros(self.blocks * BLOCK)
-        padded[:self.n] = scores
-        bound = padded.reshape(self.blocks, BLOCK).max(axis=1) + np.bincount(self.entry_block[entries], self.entry_most[entries], minlength=self.blocks)
+        # Block by block; what fills up the last one stays at 0 and is never found.
+        by_block = np.zeros((self.blocks, BLOCK))
+        by_block.ravel()[:self.n] = scores
+        bound = by_block.max(axis=1) + np.bincount(self.entry_block[entries], self.entry_most[entries], minlength=self.blocks)
         order = np.argsort(-bound, kind="stable")
         where = self.entry_block[entries]
         found_docs, found_scores, least, first, size = [], [], 0.0, 0, ROUND
@@ -153,12 +162,11 @@ class Shard:
             turn[visited] = True
             some = entries[turn[where]]
             postings = _ranges(self.entry[some], self.entry[some + 1])
-            np.add.at(scores, self.doc[postings], self.impact[postings])
-            docs = (visited[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            docs = docs[docs < self.n]
-            docs = docs[scores[docs] >= max(least, 1)]
-            found_docs.append(docs)
-            found_scores.append(scores[docs])
+            by_block += np.bincount(self.doc[postings], self.impact[postings], minlength=by_block.size).reshape(by_block.shape)
+            rows = by_block[visited]
+            at, lane = np.nonzero(rows >= max(least, 1))
+            found_docs.append(visited[at] * BLOCK + lane)
+            found_scores.append(rows[at, lane])
             best = np.concatenate(found_scores)
             if len(best) >= top:
                 least = np.partition(best, -top)[-top]
@@ -168,12 +176,19 @@ class Shard:
         return docs[best >= least], best[best >= least]
 
 
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    """The parts as one array; the list is left empty."""
+    out = np.concatenate(parts)
+    parts.clear()
+    return out
+
+
 def _ranges(lows: np.ndarray, highs: np.ndarray) -> np.ndarray:
     """All numbers of the half-open ranges, one range after the other."""
     sizes = highs - lows
     total = int(sizes.sum())
     starts = np.repeat(lows - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) if total else np.zeros(0, np.int64)
-    return (starts + np.arange(total)).astype(np.int64)
+    return (starts + np.arange(total)).astype(np.int64, copy=False)
 
 
 class Cell:
@@ -226,22 +241,23 @@ def _pieces(batch: pa.RecordBatch, rows: int = BATCH) -> Iterator[tuple[tuple[in
 
 def search(docs: DataFrame, queries: DataFrame, top: int = TOP, shard_docs: int = SHARD_DOCS, query_block: int = QUERY_BLOCK) -> DataFrame:
     """``query_id, rank, doc_id, score``: the ``top`` documents for each of ``query_id, text`` rows."""
-    indexed = terms(docs)
-    n, total = indexed.agg(F.count(F.lit(1)), F.sum("length")).first()
+    n, total = docs.agg(F.count(F.lit(1)), F.sum(F.size(words(F.lower("text"))))).first()
     mean = max((total or 0) / max(n, 1), 1e-9)
-    df = frequencies(indexed).select(F.col("term").alias("_term"), "df")
+    df = frequencies(docs).select(F.col("term").alias("_term"), "df")
     asked = terms(queries.select(F.col("query_id").alias("doc_id"), "text")).where(F.col("doc_id").isNotNull())
     weighed = asked.select(F.col("doc_id").alias("query_id"), F.explode("terms").alias("term")).join(df, F.col("term") == F.col("_term"))
     # A group holds the distinct words of one query. Document frequencies are sent, being
     # mostly small numbers that compress; a cell turns them into weights.
-    vectors = saved(weighed.groupBy("query_id").agg(F.collect_list(F.struct("term", "df")).alias("parts")).select("query_id", "parts.term", "parts.df"), "queries")
+    with arrow_rows(docs.sparkSession, BATCH):
+        vectors = saved(weighed.groupBy("query_id").agg(F.collect_list(F.struct("term", "df")).alias("parts")).select("query_id", "parts.term", "parts.df"), "queries")
     blocks = max(1, -(-vectors.count() // query_block))
     shards = max(1, -(-n // shard_docs), -(-(total or 0) // SHARD_WORDS))
+    tasks = min(shards * blocks, TASKS)
     block = F.pmod(F.xxhash64(F.lit("block"), "query_id"), F.lit(blocks)).cast("int")
     shard = F.pmod(F.xxhash64(F.lit("shard"), "doc_id"), F.lit(shards)).cast("int")
     every_block, every_shard = F.sequence(F.lit(0), F.lit(blocks - 1)), F.sequence(F.lit(0), F.lit(shards - 1))
     none = F.lit(None).cast("long")
-    left = indexed.select(shard.alias("shard"), F.explode(every_block).alias("block"), F.lit(1).alias("kind"), F.col("doc_id").alias("id"), "length", "terms", F.col("counts").cast("array<bigint>").alias("held"))
+    left = terms(docs).select(shard.alias("shard"), F.explode(every_block).alias("block"), F.lit(1).alias("kind"), F.col("doc_id").alias("id"), "length", "terms", F.col("counts").cast("array<bigint>").alias("held"))
     right = vectors.select(F.explode(every_shard).alias("shard"), block.alias("block"), F.lit(0).alias("kind"), F.col("query_id").alias("id"), none.alias("length"), F.col("term").alias("terms"), F.col("df").alias("held"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +276,9 @@ def search(docs: DataFrame, queries: DataFrame, top: int = TOP, shard_docs: int
         yield from cell.answers(top)
 
     # Sorted rows go by in batches: no cell is ever held as a whole outside the index.
-    dealt = right.unionByName(left).repartition("shard", "block").sortWithinPartitions("shard", "block", "kind", F.col("id").asc_nulls_last())
+    # Dealt by number, not by hash: as far as there are tasks, none has a second cell to sort.
+    cell = F.pmod(F.col("shard") * F.lit(blocks) + F.col("block"), F.lit(tasks)).cast("int")
+    dealt = right.unionByName(left).repartitionById(tasks, cell).sortWithinPartitions("shard", "block", "kind", F.col("id").asc_nulls_last())
     with arrow_rows(docs.sparkSession, BATCH):
         cells = saved(dealt.mapInArrow(run, "query_id long, doc_id long, points long"), "cells")
     ranked = Window.partitionBy("query_id").orderBy(F.desc("points"), F.col("doc_id").asc_nulls_last())

@@ -422,6 +422,16 @@ def test_markers_in_text_and_overlaps(spark):
 
 # 9 search
 
+def test_frequencies_are_counted_without_python(spark):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["A", "b", "c", "ü", "a"]) for _ in range(rng.randint(0, 6))) for _ in range(50)] + [None, " \t", "b b"]
+    found = search.frequencies(frame(spark, [(i % 7 or None, t, None, None) for i, t in enumerate(texts)]))
+    assert "Python" not in (plan := found._jdf.queryExecution().toString()) and "MapInArrow" not in plan
+    want = Counter(w for t in texts for w in set((t or "").lower().split()))
+    names = {r.term: r.w for r in spark.createDataFrame([(w,) for w in want], "w string").selectExpr("w", "xxhash64(w) AS term").collect()}
+    assert {names[r.term]: r.df for r in found.collect()} == want
+
+
 @pytest.mark.parametrize("shard_docs", [7, 1000])
 def test_search_brute_force(spark, shard_docs, monkeypatch):
     monkeypatch.setattr(search, "BLOCK", 4)
