@@ -15,7 +15,9 @@ from collections.abc import Iterator
 from itertools import islice
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..plans import literal_rows, row_count, staged
 
@@ -256,6 +258,29 @@ def parquet_rows(files: DataFrame, root: str, schema: str) -> DataFrame:
     return _spread(files).mapInPandas(run, schema)
 
 
+def parquet_columns(files: DataFrame, root: str, schema: T.StructType) -> DataFrame:
+    """``path`` and the columns of ``schema`` of every row of many small Parquet files at ``root/path``.
+
+    Files are opened by the tasks that read them; the driver neither lists nor plans them.
+    A file that cannot be read fails the job.
+    """
+    names = schema.fieldNames()
+    kinds = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.parquet as pq
+
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                filesystem, source = _arrow(f"{root}/{path}")
+                with filesystem.open_input_file(source) as stream:
+                    for rows in pq.ParquetFile(stream).iter_batches(columns=names):
+                        values = [rows.column(f.name).cast(f.type) for f in kinds]
+                        yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows), pa.string()), *values], names=["path", *names])
+
+    return _spread(files).select("path").mapInArrow(run, T.StructType([T.StructField("path", T.StringType()), *schema.fields]))
+
+
 def identify(paths: DataFrame, root: str) -> DataFrame:
     """``path, size, sha256`` of each existing path; a folder is identified by its files.
 

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import base_name
 from ..plans import new_scratch, staged
-from ..project import Project
+from ..project import SHARED, Project
 from ..sinks import manifests
 from ..sources.catalog import Producer
-from ..sources.storage import hashed, walk
+from ..sources.storage import hashed, parquet_columns, walk
 from .audits import UNIT_CODE_DEPS_SQL, imported_units
 from .publishing import UNIT
 from .registry import Tables, query
@@ -133,8 +133,10 @@ def publish_many(t: Tables) -> DataFrame:
     tenth = F.col("l_suppkey") % 10 == 0
     project.save_shared_many(items.withColumn("l_tax", F.when(tenth, F.col("l_tax") + 1).otherwise(F.col("l_tax"))), "name", inputs=[], producer=UNIT)
     published = project.save_shared_many(items, "name", inputs=[], producer=UNIT)
-    stem = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)\.parquet/", 1)
-    rows = t.spark.read.schema(t.lineitem.schema).parquet(f"{project.root}/data/shared/*.parquet/*[0-9a-f]/part-*").select("*", stem.alias("name"))
+    # The files are found and read by tasks: a pattern over so many folders would be opened on the driver, one by one.
+    parts = staged(walk(t.spark, project.root, [SHARED]).filter(F.col("path").rlike(f"^{SHARED}/[^/]+\\.parquet/[^/]*[0-9a-f]/part-[^/]*$")))
+    stem = F.regexp_extract("path", r"/([^/]+)\.parquet/", 1)
+    rows = parquet_columns(parts, project.root, t.lineitem.select("l_quantity", "l_tax").schema).select("*", stem.alias("name"))
     read = rows.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"), F.round(F.sum("l_tax"), 4).alias("tax"))
     wrong = project.check().problems.filter("severity = 'error'").groupBy(F.regexp_extract("artifact", "shared/([^/]+)", 1).alias("name")).agg(F.count(F.lit(1)).alias("e"))
     joined = published.join(read, "name").join(wrong, "name", "left").filter("n = rows")

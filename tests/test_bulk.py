@@ -321,3 +321,20 @@ def test_many_inputs_share_a_batch(spark, tmp_path, monkeypatch):
     assert all(found[f"{i}.txt"] == (len(f"text {i}"), hashlib.sha256(f"text {i}".encode()).hexdigest()) for i in range(30))
     tables = list(steps[0](iter([paths.toPandas()])))
     assert [len(t) for t in tables] == [31]
+
+
+def test_columns_of_many_parquet_files_are_read_by_tasks(spark, tmp_path):
+    from tabletrail.sources.storage import parquet_columns, walk
+
+    rows = spark.createDataFrame([(i % 5 or None, f"t{i}", i / 2, i) for i in range(40)], "k int, s string, x double, n long")
+    for name in ("a", "b"):
+        rows.filter("n % 2 = 0" if name == "a" else "n % 2 = 1").repartition(3).write.parquet(f"{tmp_path}/in/{name}.parquet")
+    files = walk(spark, str(tmp_path), ["in"]).filter("path rlike '/part-[^/]*parquet$'")
+    got = parquet_columns(files, str(tmp_path), rows.select("x", "k").schema)
+    assert got.columns == ["path", "x", "k"]
+    told = sorted((r.path.split("/")[1], r.x, r.k) for r in got.collect())
+    assert told == sorted(("ab"[r.n % 2] + ".parquet", r.x, r.k) for r in rows.collect())
+    assert parquet_columns(files.filter("false"), str(tmp_path), rows.schema).count() == 0
+    (tmp_path / "in/a.parquet/part-x.parquet").write_bytes(b"no table")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        parquet_columns(walk(spark, str(tmp_path), ["in"]).filter("path like '%part-x%'"), str(tmp_path), rows.schema).collect()
