@@ -12,6 +12,7 @@ probability of the token times its share in it: its count over that of all words
 the token plus one, where the one is for all unseen words together. Spark joins the
 counts to the words, so every distinct word of the corpus has a probability of its own.
 
+Texts are tokenised once; the tokens, two bytes each, are kept for all rounds and the scoring.
 Training predicts every position of every document in each round: every task starts from
 the same weights, walks over its own texts with Adam, and adds its weights, times the
 positions it saw, as whole numbers. Spark sums
@@ -29,7 +30,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import SPACE, read, saved
@@ -81,11 +82,35 @@ class Tokens:
         self.own = {w.encode(): ~i for i, w in enumerate(words)}
 
     def of(self, text: str | None) -> np.ndarray:
-        words = (text or "").lower().encode().split()
+        return self.of_lower((text or "").lower().encode())
+
+    def of_lower(self, text: bytes | None) -> np.ndarray:
+        words = (text or b"").split()
         found = np.fromiter(map(self.own.get, words, map(zlib.crc32, words)), np.int64, len(words))
         return np.where(found < 0, ~found, OWN + found % HASHED)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``row, doc_id, text``: lower-cased texts, written once, so that all readers see the same numbers of rows."""
+    return saved(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text")), "rows")
+
+
+def tokenised(rows: DataFrame, words: list[str]) -> DataFrame:
+    """``row, doc_id, tokens`` of numbered rows, written once: two bytes a token, for every round and for scoring."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens(words)
+        for batch in batches:
+            lines = [tokens.of_lower(text).astype(np.uint16).tobytes() for text in batch.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_pydict({"row": batch.column("row"), "doc_id": batch.column("doc_id"), "tokens": pa.array(lines, pa.binary())})
+
+    return saved(rows.mapInArrow(run, "row long, doc_id long, tokens binary"), "tokens")
+
+
+def _lines(tokens: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(line.as_buffer(), np.uint16).astype(np.int64) for line in tokens]
+
+
 def untrained(seed: int = SEED) -> Weights:
     rng = np.random.default_rng(seed)
     shapes = {
@@ -116,7 +141,7 @@ def _outputs(w: Weights, around: np.ndarray, tokens: np.ndarray) -> tuple[np.nda
     out = np.hstack([w["first"], w["second"]]).T @ hidden
     out = out.reshape(2, BASE, -1)
     out[0] += w["first_b"][:, None]
-    out[1] += w["second_b"].take(tokens // BASE, axis=0).T
+    out[1] += np.ascontiguousarray(w["second_b"].T).take(tokens // BASE, axis=1)
     out -= out.max(axis=1, keepdims=True)
     return seen, hidden, out
 
@@ -145,18 +170,18 @@ def gradients(w: Weights, around: np.ndarray, tokens: np.ndarray) -> Weights:
     seen, hidden, out = _outputs(w, around, tokens)
     n, rows, high = len(tokens), np.arange(len(tokens)), tokens // BASE
     np.exp(out, out=out)
-    out /= out.sum(axis=1, keepdims=True) * n
-    out[0, high, rows] -= 1 / n
-    out[1, tokens % BASE, rows] -= 1 / n
+    out *= 1 / (out.sum(axis=1, keepdims=True) * n)
+    places = high * n + rows
+    out[0].ravel()[places] -= 1 / n
+    out[1].ravel()[tokens % BASE * n + rows] -= 1 / n
     both = out.reshape(2 * BASE, n)
     last = hidden @ both.T
     d_hidden = np.hstack([w["first"], w["second"]]) @ both
     d_hidden *= 1 - hidden * hidden
     d_seen = d_hidden.T @ w["in"].T
-    places = PLACES.take(around.ravel(), axis=0)
-    embed = np.bincount(places.ravel(), d_seen.ravel(), w["embed"].size).reshape(w["embed"].shape)
+    embed = np.bincount(PLACES.take(around.ravel(), axis=0).ravel(), d_seen.ravel(), w["embed"].size).reshape(w["embed"].shape)
     is_high = np.zeros((BASE, n), out.dtype)
-    is_high[high, rows] = 1
+    is_high.ravel()[places] = 1
     return {
         "embed": embed.astype(w["embed"].dtype), "in": seen.T @ d_hidden.T, "in_b": d_hidden.sum(1), "first": last[:, :BASE],
         "first_b": out[0].sum(1), "second": last[:, BASE:], "second_b": is_high @ out[1].T,
@@ -211,12 +236,17 @@ def train(docs: DataFrame, words: list[str], rounds: int = ROUNDS, stride: int =
     With a ``stride`` above 1 a task trains on every ``stride``-th of its positions, counted
     on from text to text, so that beginnings, ends and short texts have their share.
     """
+    return learned(tokenised(numbered(docs), words), rounds, stride)
+
+
+def learned(lines: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE) -> Weights:
+    """``train`` on ``tokens`` rows."""
     weights = untrained()
     for turn in range(rounds):
         start = flat(weights)
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            tokens, local, positions, walked = Tokens(words), Adam(shaped(start)), 0, 0
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            local, positions, walked = Adam(shaped(start)), 0, 0
             held: list[tuple[np.ndarray, np.ndarray]] = []
             waiting = 0
 
@@ -226,8 +256,7 @@ def train(docs: DataFrame, words: list[str], rounds: int = ROUNDS, stride: int =
                     local.learn(around[at:at + BATCH], wanted[at:at + BATCH])
 
             for batch in batches:
-                for text in batch["text"]:
-                    line = tokens.of(text)
+                for line in _lines(batch.column("tokens")):
                     picked = np.arange((turn * stride // rounds - walked) % stride, len(line), stride)
                     walked += len(line)
                     if len(picked):
@@ -242,9 +271,9 @@ def train(docs: DataFrame, words: list[str], rounds: int = ROUNDS, stride: int =
                 learn()
             if positions:
                 change = np.rint((local.values - start).astype(np.float64) * SCALE).astype(np.int64)
-                yield pd.DataFrame({"place": np.arange(len(change)), "part": change * positions, "positions": positions})
+                yield pa.RecordBatch.from_pydict({"place": np.arange(len(change), dtype=np.int32), "part": change * positions, "positions": np.full(len(change), positions)})
 
-        parts = docs.select("text").mapInPandas(run, "place int, part long, positions long")
+        parts = lines.select("tokens").mapInArrow(run, "place int, part long, positions long")
         exact = "decimal(38,0)"
         sums = parts.groupBy("place").agg((F.sum(F.col("part").cast(exact)).cast("double") / F.sum("positions")).alias("change")).toPandas()
         if len(sums):
@@ -260,22 +289,24 @@ def scored(docs: DataFrame, words: list[str], weights: Weights, counts: DataFram
     ``counts`` has ``word, count`` rows of the corpus; by default those of ``docs``.
     """
     counts = saved(word_counts(docs), "words") if counts is None else counts
+    rows = numbered(docs)
+    return _scored(rows, tokenised(rows, words), words, weights, counts)
+
+
+def _scored(rows: DataFrame, lines: DataFrame, words: list[str], weights: Weights, counts: DataFrame) -> DataFrame:
     wholes = np.log(shared_counts(counts, words) + 1)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens = Tokens(words)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lines = [tokens.of(text) for text in batch["text"]]
+            lines = _lines(batch.column("tokens"))
             sums = np.array([log_likelihood(weights, line) - wholes[line[line >= OWN] - OWN].sum() for line in lines], float)
             sizes = np.array([len(line) for line in lines], np.int64)
-            yield pd.DataFrame({"row": batch["row"], "doc_id": batch["doc_id"].astype("Int64").to_numpy(), "n_tokens": sizes, "sum": sums})
+            yield pa.RecordBatch.from_pydict({"row": batch.column("row"), "doc_id": batch.column("doc_id"), "n_tokens": sizes, "sum": sums})
 
-    # Written once: both readers see the same numbers of rows.
-    rows = saved(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text")), "rows")
-    told = rows.mapInPandas(run, "row long, doc_id long, n_tokens long, sum double")
+    told = lines.mapInArrow(run, "row long, doc_id long, n_tokens long, sum double")
     # A word that shares its token is not among the OWN most frequent, so no key is hot. The
     # log of a count of one is 0; logs are whole numbers, whose sum has no order.
-    rare = rows.select("row", word_of(F.col("text")).alias("word")).where((F.col("word") != "") & ~F.col("word").isin(words))
+    rare = rows.select("row", F.explode(F.split("text", SPACE)).alias("word")).where((F.col("word") != "") & ~F.col("word").isin(words))
     logs = counts.where("count > 1").select(F.col("word").alias("_word"), F.round(F.log("count") * LOG_SCALE).cast("long").alias("log")).hint("shuffle_hash")
     shares = rare.join(logs, F.col("word") == F.col("_word")).groupBy(F.col("row").alias("_row")).agg(F.sum("log").alias("log"))
     total = F.col("sum") + F.coalesce(F.col("log"), F.lit(0)) / LOG_SCALE
@@ -289,7 +320,9 @@ def op2_masked_likelihood(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents")
     counts = saved(word_counts(docs), "words")
     words = vocabulary(docs, counts)
-    return scored(docs, words, train(docs, words), counts)
+    rows = numbered(docs)
+    lines = tokenised(rows, words)
+    return _scored(rows, lines, words, learned(lines), counts)
 
 
 QUERIES = {"op2_masked_likelihood": op2_masked_likelihood}

@@ -169,6 +169,19 @@ def test_a_step_is_taken_on_one_vector():
     assert all((start[k] == lm_scores.untrained()[k]).all() for k in start)
 
 
+def test_texts_are_tokenised_once_for_training_and_scoring(spark, tmp_path, monkeypatch):
+    texts = ["A b  c\tä Ä", None, "", " \n", "b b unseen"] + [f"a b w{i} w{i % 7}" for i in range(900)]
+    frame(spark, [(i // 2, t, None, None) for i, t in enumerate(texts)]).write.parquet(f"{tmp_path}/documents.parquet")
+    made, plain, lists = [], lm_scores.tokenised, []
+    monkeypatch.setattr(lm_scores, "tokenised", lambda rows, words: lists.append(words) or made.append(plain(rows, words)) or made[-1])
+    scores = lm_scores.op2_masked_likelihood(spark, str(tmp_path)).collect()
+    assert len(made) == 1 and len(scores) == len(texts)
+    got = sorted((r.doc_id, bytes(r.tokens)) for r in made[0].collect())
+    tokens = lm_scores.Tokens(lists[0])
+    assert got == sorted((i // 2, tokens.of(t).astype(np.uint16).tobytes()) for i, t in enumerate(texts))
+    assert sorted((r.doc_id, r.n_tokens) for r in scores) == sorted((i // 2, len((t or "").split())) for i, t in enumerate(texts))
+
+
 @pytest.mark.parametrize("text", ["a b", "a b c d e f g h"])
 def test_training_reaches_short_texts_and_ends(spark, text):
     docs = frame(spark, [(i, text, None, None) for i in range(30_000 // len(text.split()))])
