@@ -1,22 +1,26 @@
 """Exact top-k search: BM25 over sharded inverted indexes with block-max pruning.
 
-Documents are dealt over shards of bounded size. In a shard, postings of the terms that
-queries ask for are sorted by term and document; documents form blocks of ``BLOCK``. A term in more than 1/``DENSE`` of a
-shard is scored for all documents at once (a matrix product). The other terms keep, per
-block, their largest impact. A query adds up these maxima and the best dense score of
-each block, visits blocks from the highest bound down, scores their documents exactly,
-and stops when no bound reaches its k-th best score. Nothing that could enter the top k
-is skipped, ties included. Shards then merge by score, then id.
+Every document is indexed once: a task cuts its documents into shards of bounded size and
+writes each as one packed row, with postings sorted by term and document. Queries come in
+blocks of bounded size, a task each, which read the shards one after the other from the
+shared scratch folder. What is written thus grows with the documents, and what is returned with the
+queries; the time is that of comparing each query with each document, less what is pruned.
+
+In a shard, like documents stand together and form blocks of ``BLOCK``, which keep the
+largest impact of every term. A query adds up these maxima block by block, and scores the
+documents of blocks whose bound reaches its k-th best score so
+far, which it takes along from shard to shard; in the first one it comes from the ``ROUND``
+blocks of highest bound. Terms in more than 1/``DENSE`` of a shard are scored for all
+documents of a block and all queries that visit it at once (a matrix product). Nothing that could enter the top k is skipped, ties included.
 
 Document counts, mean length and document frequencies are those of the whole table.
-Queries come in blocks of bounded size, so a cell of the shard by query grid is bounded.
 
 A term's impact is rounded to a multiple of 1/``SCALE``, and scores are sums of these: they
 do not depend on the order of summing. A query's repeated words count once.
 
 Edge cases: a null or empty text is a document without terms and a query without
 results; only documents that share a term are results; equal scores go by id; rows with
-equal ids are documents of their own; null ids come last among equals and are no
+equal ids are documents of their own, and one query with the words of all; null ids come last among equals and are no
 queries. Empty tables give no rows. Other columns are not looked at.
 """
 
@@ -26,19 +30,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.window import Window
+
+from tabletrail.plans.staging import new_scratch
+from tabletrail.sources import storage
 
 from .common import arrow_rows, read, saved, words
 
 K1, B, TOP = 1.2, 0.75, 10
 EVERY = 20
-BLOCK, DENSE, SCALE = 64, 24, 1 << 20
-SHARD_DOCS, QUERY_BLOCK = 12_288, 16_384
-SHARD_WORDS = 6 << 20
-TASKS = 4096  # at most, for the cells
-BATCH = 512  # rows, each with all terms of a document
-ROUND = 8  # blocks visited before the k-th best score is looked at first; then eight times as many each time
+BLOCK, DENSE, SCALE = 64, 16, 1 << 20
+SHARD_DOCS, QUERY_BLOCK = 8192, 4096
+SHARD_WORDS = 5 << 19
+BATCH = 512  # rows, each with all words of a document
+TOGETHER = 128  # queries scored at once by dense terms
+ROUND = 8  # blocks visited before the k-th best score is looked at first
+
+INDEX = "docs long, words long, ids array<bigint>, lengths binary, terms array<bigint>, held array<int>, doc binary, tf binary"
 
 
 def hashes() -> Column:
@@ -46,134 +55,177 @@ def hashes() -> Column:
     return F.transform(words(F.lower("text")), lambda w: F.xxhash64(w))
 
 
-def terms(docs: DataFrame) -> DataFrame:
-    """``doc_id, length, terms, counts``: distinct lower-cased words as 64-bit hashes, sorted, with their counts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("hashes")
-            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-            found = [np.unique(values[a:b], return_counts=True) for a, b in zip(offsets[:-1], offsets[1:])]
-            ends = pa.array(np.concatenate(([0], np.cumsum([len(f[0]) for f in found]))).astype(np.int32))
-            flat = [np.concatenate([f[i] for f in found] or [np.zeros(0, np.int64)]) for i in (0, 1)]
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id"), "length": pa.array(np.diff(offsets).astype(np.int64)),
-                "terms": pa.ListArray.from_arrays(ends, pa.array(flat[0], pa.int64())), "counts": pa.ListArray.from_arrays(ends, pa.array(flat[1].astype(np.int32))),
-            })
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), hashes().alias("hashes"))
-    return rows.mapInArrow(run, "doc_id long, length long, terms array<bigint>, counts array<int>")
-
-
 def frequencies(docs: DataFrame) -> DataFrame:
-    """``term, df``: documents that hold a term, over the whole table.
-
-    Without Python: a stage with two Python steps has two workers to a task, which keep their
-    memory when later stages run beside them.
-    """
+    """``term, df``: documents that hold a term, over the whole table, without an index; a search sums up those of its index."""
     return docs.select(F.explode(F.array_distinct(hashes())).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-class Postings:
-    """Postings of the terms asked for, gathered batch by batch; nothing else of a document is held."""
+def inverted(ids: pa.Array, sizes: np.ndarray, flat: np.ndarray) -> pa.RecordBatch:
+    """A shard as one row of ``INDEX``: postings by term, then document.
 
-    def __init__(self, asked: np.ndarray, idf: np.ndarray, mean: float):
-        self.asked, self.idf, self.mean = asked, idf, mean
-        self.ids, self.n = [], 0
-        self.found = [(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32))]
+    Documents whose most frequent word is the same stand together, by length: blocks of like documents have low maxima for unlike queries.
+    """
+    doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    by_term = np.argsort(flat, kind="stable")  # documents stay in order within a term
+    total, term, doc = len(flat), flat[by_term], doc[by_term]
+    del by_term
+    new_term = np.ones(len(term), bool)
+    new_term[1:] = term[1:] != term[:-1]
+    first = new_term.copy()
+    first[1:] |= doc[1:] != doc[:-1]
+    first = np.flatnonzero(first)
+    tf = np.diff(first, append=len(term)).astype(np.int32)
+    doc, starts = doc[first], np.flatnonzero(new_term[first])
+    terms, held = term[first[starts]], np.diff(starts, append=len(first)).astype(np.int32)
+    del term, new_term, first
+    place = np.repeat(np.arange(len(starts), dtype=np.int32), held)
+    # Of equally frequent words, the one of most documents; the last entry of a document is its most frequent word.
+    by_doc = np.lexsort((held[place], tf, doc))
+    last = by_doc[np.flatnonzero(np.diff(doc[by_doc], append=-1))]
+    del by_doc
+    like = np.full(len(sizes), -1)
+    like[doc[last]] = place[last]
+    order = np.lexsort((sizes, like))
+    moved = np.empty(len(order), np.int32)
+    moved[order] = np.arange(len(order), dtype=np.int32)
+    doc = moved[doc]
+    by_place = np.lexsort((doc, place))
+    doc, tf, sizes = doc[by_place], tf[by_place], sizes[order]
+
+    def row(values: pa.Array) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+    return pa.RecordBatch.from_pydict({
+        "docs": pa.array([len(sizes)], pa.int64()), "words": pa.array([total], pa.int64()), "ids": row(ids.take(pa.array(order))),
+        "lengths": pa.array([sizes.astype(np.int64).tobytes()], pa.binary()), "terms": row(pa.array(terms, pa.int64())),
+        "held": row(pa.array(held)), "doc": pa.array([doc.tobytes()], pa.binary()), "tf": pa.array([tf.tobytes()], pa.binary()),
+    })
+
+
+def indexed(docs: DataFrame, shard_docs: int = SHARD_DOCS) -> DataFrame:
+    """``INDEX`` rows, a shard each, of all documents; a task cuts what it reads."""
 
-    def add(self, ids: pa.Array, lengths: np.ndarray, sizes: np.ndarray, term: np.ndarray, tf: np.ndarray) -> None:
-        """Documents in the order of ids, with the ``sizes`` of their parts of ``term`` and ``tf``."""
-        doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-        if len(self.asked):
-            place = np.minimum(np.searchsorted(self.asked, term), len(self.asked) - 1)
-            wanted = self.asked[place] == term
-            place, doc, tf = place[wanted], doc[wanted], tf[wanted].astype(np.float64)
-            impact = np.rint(self.idf[place] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / self.mean)) * SCALE)
-            self.found.append((place.astype(np.int32), doc + np.int32(self.n), impact.astype(np.int32)))
-        self.ids.append(ids)
-        self.n += len(sizes)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
+        count = total = 0
+        for batch in batches:
+            while batch.num_rows:
+                lists = batch.column("hashes")
+                sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+                room = np.searchsorted(np.cumsum(sizes), SHARD_WORDS - total, "right")
+                taken = min(max(int(room), 0 if held else 1), shard_docs - count)
+                part, batch = batch.slice(0, taken), batch.slice(taken)
+                if taken:
+                    held.append((part.column("doc_id"), sizes[:taken], part.column("hashes").flatten().to_numpy(zero_copy_only=False)))
+                    count, total = count + taken, total + int(sizes[:taken].sum())
+                if batch.num_rows:
+                    yield _shard(held)
+                    count = total = 0
+        if held:
+            yield _shard(held)
+
+    def _shard(held: list) -> pa.RecordBatch:
+        ids, sizes, flat = (list(column) for column in zip(*held))
+        held.clear()
+        return inverted(pa.concat_arrays(ids), _joined(sizes), _joined(flat))
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), hashes().alias("hashes")).mapInArrow(run, INDEX)
 
 
 class Shard:
-    """The inverted index of some documents, restricted to the terms asked for."""
-
-    def __init__(self, postings: Postings):
-        self.ids = pa.chunked_array(postings.ids, pa.int64())
-        asked, n = postings.asked, postings.n
-        self.n = n
-        # One column after the other, so that no two copies of all of them are held.
-        place, doc, impact = (list(column) for column in zip(*postings.found))
-        postings.found.clear()
-        place = _joined(place)
-        order = np.argsort(place, kind="stable")  # documents stay in order within a term
-        place = place[order]
-        self.doc = _joined(doc)[order]
-        self.impact = _joined(impact)[order]
-        del order
+    """One row of the index, restricted to the terms asked for, with their impacts and block maxima."""
+
+    def __init__(self, row: pa.RecordBatch, asked: np.ndarray, idf: np.ndarray, mean: float):
+        self.ids = row.column("ids").flatten()
+        self.n = len(self.ids)
+        self.rank = np.empty(self.n, np.int64)  # by id, nulls last
+        self.rank[np.lexsort((self.ids.fill_null(0).to_numpy(), self.ids.is_null().to_numpy(zero_copy_only=False)))] = np.arange(self.n)
+        self.blocks = -(-self.n // BLOCK)
+        terms, held = (row.column(name).flatten().to_numpy() for name in ("terms", "held"))
+        lengths, doc, tf = (np.frombuffer(row.column(name)[0].as_buffer(), kind) for name, kind in (("lengths", np.int64), ("doc", np.int32), ("tf", np.int32)))
+        place = np.minimum(np.searchsorted(asked, terms), len(asked) - 1)
+        wanted = asked[place] == terms
+        kept = np.repeat(wanted, held)
+        place = np.repeat(place[wanted], held[wanted])
+        doc, tf = doc[kept].astype(np.int64), tf[kept].astype(np.float64)
+        impact = np.rint(idf[place] * tf * (K1 + 1) / (tf + (K1 * (1 - B + B * lengths.astype(float) / mean))[doc]) * SCALE)
         held = np.bincount(place, minlength=len(asked))
-        self.at = np.concatenate(([0], np.cumsum(held)))
-        self.dense = np.flatnonzero(held * DENSE > n)
+        dense = np.flatnonzero(held * DENSE > self.n)
         self.column = np.full(len(asked), -1)
-        self.column[self.dense] = np.arange(len(self.dense))
-        self.table = np.zeros((n, len(self.dense)))
-        for j, t in enumerate(self.dense):
-            part = slice(self.at[t], self.at[t + 1])
-            self.table[self.doc[part], j] = self.impact[part]
+        self.column[dense] = np.arange(len(dense))
+        # A matrix for each block; what fills up the last one stays at 0 and is never found.
+        sparse = self.column[place] < 0
+        self.table = np.zeros((self.blocks, len(dense), BLOCK))
+        self.table[doc[~sparse] // BLOCK, self.column[place[~sparse]], doc[~sparse] % BLOCK] = impact[~sparse]
+        self.most = self.table.max(axis=2).T
+        place, self.doc, self.impact = place[sparse], doc[sparse], impact[sparse]
         # One entry per term and block: where its postings begin, and their largest impact.
-        self.blocks = -(-n // BLOCK)
         block, starts = self.doc // BLOCK, np.ones(len(place), bool)
         starts[1:] = (place[1:] != place[:-1]) | (block[1:] != block[:-1])
-        self.entry = np.flatnonzero(starts)
-        self.entry_block = block[self.entry]
-        self.entry_most = np.maximum.reduceat(self.impact, self.entry) if len(place) else np.zeros(0, np.int32)
-        self.entry_at = np.searchsorted(self.entry, self.at)
-        self.entry = np.append(self.entry, len(place))
-
-    def search(self, queries: list[np.ndarray], top: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Documents (as positions) and scores of the best ``top`` of each query (places of its terms), all ties at the end included."""
-        for at in range(0, len(queries), 256):
-            part = queries[at:at + 256]
-            asks = np.zeros((len(self.dense), len(part)))
-            for j, q in enumerate(part):
-                columns = self.column[q]
-                asks[columns[columns >= 0], j] = 1
-            dense = asks.T @ self.table.T if len(self.dense) else np.zeros((len(part), self.n))
-            for q, row in zip(part, dense):
-                yield self._one(q[self.column[q] < 0], row, top)
-
-    def _one(self, query: np.ndarray, scores: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
-        lows, highs = self.entry_at[query], self.entry_at[query + 1]
-        entries = _ranges(lows, highs)
-        # Block by block; what fills up the last one stays at 0 and is never found.
-        by_block = np.zeros((self.blocks, BLOCK))
-        by_block.ravel()[:self.n] = scores
-        bound = by_block.max(axis=1) + np.bincount(self.entry_block[entries], self.entry_most[entries], minlength=self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        where = self.entry_block[entries]
-        found_docs, found_scores, least, first, size = [], [], 0.0, 0, ROUND
-        while first < self.blocks:
-            visited = order[first:first + size]
-            visited = visited[bound[visited] >= max(least, 1)]
-            if not len(visited):
-                break
-            first, size = first + size, 8 * size
-            turn = np.zeros(self.blocks, bool)
-            turn[visited] = True
-            some = entries[turn[where]]
-            postings = _ranges(self.entry[some], self.entry[some + 1])
-            by_block += np.bincount(self.doc[postings], self.impact[postings], minlength=by_block.size).reshape(by_block.shape)
-            rows = by_block[visited]
-            at, lane = np.nonzero(rows >= max(least, 1))
-            found_docs.append(visited[at] * BLOCK + lane)
-            found_scores.append(rows[at, lane])
-            best = np.concatenate(found_scores)
-            if len(best) >= top:
-                least = np.partition(best, -top)[-top]
-        if not found_docs:
-            return np.zeros(0, np.int64), np.zeros(0)
-        docs, best = np.concatenate(found_docs), np.concatenate(found_scores)
-        return docs[best >= least], best[best >= least]
+        entry = np.flatnonzero(starts)
+        self.entry_block = block[entry]
+        self.entry_most = np.maximum.reduceat(self.impact, entry) if len(entry) else np.zeros(0)
+        self.entry_at = np.searchsorted(place[entry], np.arange(len(asked) + 1))
+        self.at = np.searchsorted(place, np.arange(len(asked) + 1))
+        self.entry = np.append(entry, len(place))
+
+    def search(self, sizes: np.ndarray, flat: np.ndarray, least: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Queries, documents (as positions) and points of what may be among the best ``top`` of each query.
+
+        Query i has the next ``sizes[i]`` of the places ``flat``; what is below ``least[i]`` is not among its best.
+        """
+        m = len(sizes)
+        least, owner = np.maximum(least, 1), np.repeat(np.arange(m), sizes)
+        column = self.column[flat]
+        asks = np.zeros((m, len(self.most)))
+        asks[owner[column >= 0], column[column >= 0]] = 1
+        flat, owner = flat[column < 0], owner[column < 0]
+        bound = asks @ self.most
+        parts = []
+        for line, low, high in zip(bound, np.searchsorted(owner, np.arange(m)), np.searchsorted(owner, np.arange(m), "right")):
+            entries = _ranges(self.entry_at.take(flat[low:high]), self.entry_at.take(flat[low:high] + 1))
+            where = self.entry_block.take(entries)
+            line += np.bincount(where, self.entry_most.take(entries), self.blocks)
+            parts.append((flat[low:high], entries, where))
+        scores = np.zeros((m, self.blocks, BLOCK))
+
+        def visit(turn: np.ndarray, seen: np.ndarray) -> None:
+            for block in np.flatnonzero(turn.any(axis=0)):
+                rows = np.flatnonzero(turn[:, block])
+                scores[rows, block] = asks[rows] @ self.table[block]
+            # If most entries are visited, a term's postings are taken as a whole: what that adds to other blocks stays below their bound.
+            for line, taken, before, (asked, entries, where) in zip(scores, turn, seen.any(axis=1), parts):
+                some = entries[taken.take(where)]
+                if 5 * len(some) > 4 * len(entries) and not before:
+                    postings = _ranges(self.at.take(asked), self.at.take(asked + 1))
+                else:
+                    postings = _ranges(self.entry.take(some), self.entry.take(some + 1))
+                line += np.bincount(self.doc.take(postings), self.impact.take(postings), line.size).reshape(line.shape)
+
+        seen = np.zeros(bound.shape, bool)
+        new = np.flatnonzero(least <= 1)
+        if len(new) and self.blocks > ROUND:
+            best = np.argpartition(-bound[new], ROUND - 1, axis=1)[:, :ROUND]
+            seen[new[:, None], best] = True
+            visit(seen, seen)
+            found = scores[new[:, None], best].reshape(len(new), -1)
+            if found.shape[1] >= top:
+                least[new] = np.maximum(np.partition(found, -top, axis=1)[:, -top], 1)
+        visit((bound >= least[:, None]) & ~seen, seen)
+        scores = scores.reshape(m, -1)
+        query, doc = np.nonzero(scores >= least[:, None])
+        points = scores[query, doc]
+        many = np.bincount(query, minlength=m) > 4 * top
+        if many.any():
+            kept = ~many[query]
+            for q in np.flatnonzero(many):
+                low, high = np.searchsorted(query, [q, q + 1])
+                kth = np.partition(points[low:high], -top)[-top]
+                kept[low:high] = points[low:high] > kth
+                ties = low + np.flatnonzero(points[low:high] == kth)
+                kept[ties[np.argsort(self.rank[doc[ties]])][:top]] = True
+            query, doc, points = query[kept], doc[kept], points[kept]
+        return query, doc, points
 
 
 def _joined(parts: list[np.ndarray]) -> np.ndarray:
@@ -186,104 +238,101 @@ def _joined(parts: list[np.ndarray]) -> np.ndarray:
 def _ranges(lows: np.ndarray, highs: np.ndarray) -> np.ndarray:
     """All numbers of the half-open ranges, one range after the other."""
     sizes = highs - lows
-    total = int(sizes.sum())
-    starts = np.repeat(lows - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) if total else np.zeros(0, np.int64)
-    return (starts + np.arange(total)).astype(np.int64, copy=False)
-
-
-class Cell:
-    """One block of queries against one shard: queries are added first, then documents, then ``answers`` is read."""
-
-    def __init__(self, n: int, mean: float):
-        self.n, self.mean = n, mean
-        self.query, self.sizes, self.parts = [], [], []
-        self.asked, self.df = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.postings: Postings | None = None
-
-    def queries(self, ids: np.ndarray, sizes: np.ndarray, term: np.ndarray, df: np.ndarray) -> None:
-        self.query.append(ids)
-        self.sizes.append(sizes)
-        self.parts.append(term)
-        self.asked, first = np.unique(np.concatenate([self.asked, term]), return_index=True)
-        self.df = np.concatenate([self.df, df])[first]
-
-    def documents(self, *rows) -> None:
-        if self.postings is None:
-            self.parts = [np.searchsorted(self.asked, part).astype(np.int32) for part in self.parts]
-            self.postings = Postings(self.asked, np.log(1 + (self.n - self.df + 0.5) / (self.df + 0.5)), self.mean)
-        self.postings.add(*rows)
-
-    def answers(self, top: int) -> Iterator[pa.RecordBatch]:
-        if self.postings is None or not self.query:
-            return
-        index, self.postings = Shard(self.postings), None
-        for ids, sizes, flat in zip(self.query, self.sizes, self.parts):
-            found, points = [np.zeros(0, np.int64)], [np.zeros(0)]
-            for docs, scores in index.search(np.split(flat, np.cumsum(sizes)[:-1]), top):
-                # Positions are in the order of ids, nulls last.
-                best = np.lexsort((docs, -scores))[:top]
-                found.append(docs[best])
-                points.append(scores[best])
-            yield pa.RecordBatch.from_pydict({
-                "query_id": pa.array(np.repeat(ids, [len(x) for x in found[1:]]), pa.int64()),
-                "doc_id": index.ids.take(pa.array(np.concatenate(found))).combine_chunks(), "points": pa.array(np.concatenate(points).astype(np.int64)),
-            })
-
-
-def _pieces(batch: pa.RecordBatch, rows: int = BATCH) -> Iterator[tuple[tuple[int, int], int, pa.RecordBatch]]:
-    """Runs of equal ``shard, block, kind`` in a batch, of some rows at most."""
-    key = np.stack([batch.column(name).to_numpy() for name in ("shard", "block", "kind")])
-    starts = np.flatnonzero((np.diff(key, axis=1, prepend=-1) != 0).any(axis=0))
-    for low, high in zip(starts, np.append(starts[1:], batch.num_rows)):
-        for at in range(low, high, rows):
-            yield (int(key[0, low]), int(key[1, low])), int(key[2, low]), batch.slice(at, min(rows, high - at))
+    starts = np.repeat(lows - np.cumsum(sizes) + sizes, sizes).astype(np.int64, copy=False)
+    starts += np.arange(len(starts))
+    return starts
+
+
+def shards(path: str) -> Iterator[pa.RecordBatch]:
+    """The rows of the index at a path, one by one; at no time more than one file is open."""
+    files, base = storage._arrow(path)
+    for name, is_file, _ in sorted(storage._entries(path, False)):
+        if is_file and name.endswith(".parquet"):
+            with files.open_input_file(f"{base}/{name}") as source:
+                yield from pq.ParquetFile(source).iter_batches(1, use_threads=False)
+
+
+class Queries:
+    """A block of queries and the best of each so far."""
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, term: np.ndarray, df: np.ndarray, n: int, mean: float, top: int):
+        self.ids, self.sizes, self.mean, self.top = ids, sizes, mean, top
+        self.asked, first, self.flat = np.unique(term, return_index=True, return_inverse=True)
+        df = df[first]
+        self.idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        self.at = np.concatenate(([0], np.cumsum(sizes)))
+        self.least = np.zeros(len(ids))
+        # Query, points, whether the id is null, id: the best first.
+        self.best = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, bool), np.zeros(0, np.int64)
+
+    def meet(self, row: pa.RecordBatch) -> None:
+        shard = Shard(row, self.asked, self.idf, self.mean)
+        found = [[column] for column in self.best]
+        for low in range(0, len(self.ids), TOGETHER):
+            high = min(low + TOGETHER, len(self.ids))
+            query, doc, points = shard.search(self.sizes[low:high], self.flat[self.at[low]:self.at[high]], self.least[low:high], self.top)
+            ids = shard.ids.take(pa.array(doc))
+            for column, part in zip(found, (query + low, points, ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy())):
+                column.append(part)
+        query, points, null, ids = (np.concatenate(column) for column in found)
+        order = np.lexsort((ids, null, -points, query))
+        query = query[order]
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
+        full = rank == self.top - 1
+        self.least[query[full]] = points[order[full]]
+        order, query = order[rank < self.top], query[rank < self.top]
+        self.best = query, points[order], null[order], ids[order]
+
+    def answers(self) -> pa.RecordBatch:
+        query, points, null, ids = self.best
+        rank = np.arange(len(query)) - np.searchsorted(query, query) + 1
+        return pa.RecordBatch.from_pydict({
+            "query_id": pa.array(self.ids[query], pa.int64()), "rank": pa.array(rank.astype(np.int32)),
+            "doc_id": pa.array(ids, pa.int64(), mask=null), "points": pa.array(points.astype(np.int64)),
+        })
 
 
 def search(docs: DataFrame, queries: DataFrame, top: int = TOP, shard_docs: int = SHARD_DOCS, query_block: int = QUERY_BLOCK) -> DataFrame:
     """``query_id, rank, doc_id, score``: the ``top`` documents for each of ``query_id, text`` rows."""
-    n, total = docs.agg(F.count(F.lit(1)), F.sum(F.size(words(F.lower("text"))))).first()
-    mean = max((total or 0) / max(n, 1), 1e-9)
-    df = frequencies(docs).select(F.col("term").alias("_term"), "df")
-    asked = terms(queries.select(F.col("query_id").alias("doc_id"), "text")).where(F.col("doc_id").isNotNull())
-    weighed = asked.select(F.col("doc_id").alias("query_id"), F.explode("terms").alias("term")).join(df, F.col("term") == F.col("_term"))
-    # A group holds the distinct words of one query. Document frequencies are sent, being
-    # mostly small numbers that compress; a cell turns them into weights.
-    with arrow_rows(docs.sparkSession, BATCH):
-        vectors = saved(weighed.groupBy("query_id").agg(F.collect_list(F.struct("term", "df")).alias("parts")).select("query_id", "parts.term", "parts.df"), "queries")
-    blocks = max(1, -(-vectors.count() // query_block))
-    shards = max(1, -(-n // shard_docs), -(-(total or 0) // SHARD_WORDS))
-    tasks = min(shards * blocks, TASKS)
-    block = F.pmod(F.xxhash64(F.lit("block"), "query_id"), F.lit(blocks)).cast("int")
-    shard = F.pmod(F.xxhash64(F.lit("shard"), "doc_id"), F.lit(shards)).cast("int")
-    every_block, every_shard = F.sequence(F.lit(0), F.lit(blocks - 1)), F.sequence(F.lit(0), F.lit(shards - 1))
-    none = F.lit(None).cast("long")
-    left = terms(docs).select(shard.alias("shard"), F.explode(every_block).alias("block"), F.lit(1).alias("kind"), F.col("doc_id").alias("id"), "length", "terms", F.col("counts").cast("array<bigint>").alias("held"))
-    right = vectors.select(F.explode(every_shard).alias("shard"), block.alias("block"), F.lit(0).alias("kind"), F.col("query_id").alias("id"), none.alias("length"), F.col("term").alias("terms"), F.col("df").alias("held"))
+    spark = docs.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    path = new_scratch(spark, "index")
+    # Many small files are read by few tasks, so that shards are not small ones.
+    with arrow_rows(spark, BATCH):
+        indexed(docs.coalesce(_rounded(docs.count(), shard_docs, cores)), shard_docs).write.parquet(path)
+    index = spark.read.schema(INDEX).parquet(path)
+    n, total = index.agg(F.sum("docs"), F.sum("words")).first()
+    mean = max((total or 0) / max(n or 0, 1), 1e-9)
+    df = index.select(F.inline(F.arrays_zip("terms", "held"))).groupBy(F.col("terms").alias("_term")).agg(F.sum("held").alias("df"))
+    asked = queries.where(F.col("query_id").isNotNull()).select(F.col("query_id").cast("long").alias("query_id"), F.explode(F.array_distinct(hashes())).alias("term"))
+    weighed = asked.join(df, F.col("term") == F.col("_term"))
+    # A group holds the distinct words of one query, each with its document frequency.
+    vectors = saved(weighed.groupBy("query_id").agg(F.collect_set(F.struct("term", "df")).alias("parts")).select("query_id", "parts.term", "parts.df"), "queries")
+    blocks = _rounded(vectors.count(), query_block, cores)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, current = Cell(n, mean), None
+        held = []
         for batch in batches:
-            for key, kind, rows in _pieces(batch):
-                if key != current:
-                    yield from cell.answers(top)
-                    cell, current = Cell(n, mean), key
-                lists, held = rows.column("terms"), rows.column("held")
-                sizes, term, values = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy(), held.flatten().to_numpy()
-                if kind:
-                    cell.documents(rows.column("id"), rows.column("length").to_numpy().astype(float), sizes, term, values)
-                else:
-                    cell.queries(rows.column("id").to_numpy(), sizes, term, values)
-        yield from cell.answers(top)
-
-    # Sorted rows go by in batches: no cell is ever held as a whole outside the index.
-    # Dealt by number, not by hash: as far as there are tasks, none has a second cell to sort.
-    cell = F.pmod(F.col("shard") * F.lit(blocks) + F.col("block"), F.lit(tasks)).cast("int")
-    dealt = right.unionByName(left).repartitionById(tasks, cell).sortWithinPartitions("shard", "block", "kind", F.col("id").asc_nulls_last())
-    with arrow_rows(docs.sparkSession, BATCH):
-        cells = saved(dealt.mapInArrow(run, "query_id long, doc_id long, points long"), "cells")
-    ranked = Window.partitionBy("query_id").orderBy(F.desc("points"), F.col("doc_id").asc_nulls_last())
-    merged = cells.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= top)
-    return merged.select("query_id", "rank", "doc_id", (F.col("points") / SCALE).alias("score"))
+            lists = batch.column("term")
+            held.append((batch.column("query_id").to_numpy(), np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy(), batch.column("df").flatten().to_numpy()))
+        if not sum(len(part[0]) for part in held):
+            return
+        block = Queries(*(np.concatenate(column) for column in zip(*held)), n, mean, top)
+        held.clear()
+        for row in shards(path):
+            block.meet(row)
+        yield block.answers()
+
+    # Dealt by number, not by hash: a task has one block.
+    block = F.pmod(F.xxhash64(F.lit("block"), "query_id"), F.lit(blocks)).cast("int")
+    with arrow_rows(spark, BATCH):
+        best = saved(vectors.repartitionById(blocks, block).mapInArrow(run, "query_id long, rank int, doc_id long, points long"), "best")
+    return best.select("query_id", "rank", "doc_id", (F.col("points") / SCALE).alias("score"))
+
+
+def _rounded(rows: int, most: int, cores: int) -> int:
+    """Parts of ``most`` rows or somewhat fewer, as a multiple of the cores."""
+    return cores * max(1, -(-rows // (most * cores)))
 
 
 def op9_block_max_wand(spark: SparkSession, folder: str) -> DataFrame:

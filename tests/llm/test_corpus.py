@@ -470,6 +470,31 @@ def test_search_brute_force(spark, shard_docs, monkeypatch):
     assert {tuple(r) for r in got} == want
 
 
+def test_each_query_meets_the_shards_in_one_task(spark, monkeypatch):
+    """Rows grow with the queries, not with queries times shards; thresholds go along and lose no tie."""
+    monkeypatch.setattr(search, "TOGETHER", 3)
+    rows = [(d, t, None, None) for d, t, *_ in copies(9, 120)] + [(None, "w1 w2 tie", None, None)] * 30 + [(700 + i % 5, "w1 w2 tie", None, None) for i in range(60)]
+    rows += [(800 + i, "w1 " * i, None, None) for i in range(40)]
+    made, plain = {}, search.saved
+    monkeypatch.setattr(search, "saved", lambda df, label: made.setdefault(label, plain(df, label)))
+    docs = frame(spark, rows).coalesce(2)
+    ask = docs.where("doc_id % 5 = 0").select(docs.doc_id.alias("query_id"), "text")
+    results = []
+    for shard_docs in (6, 10_000):
+        made.clear()
+        results.append(sorted(map(tuple, search.search(docs, ask, shard_docs=shard_docs, query_block=7).collect()), key=str))
+        # The only tables beside the index: a row for each query, and its answers.
+        assert sum(t.count() for t in made.values()) <= (1 + search.TOP) * ask.select("query_id").distinct().count()
+    assert results[0] == results[1] and len(results[0]) > 200
+
+
+def test_words_of_repeated_query_ids_count_once(spark):
+    docs = frame(spark, [(i, f"a b c{i}", None, None) for i in range(200)])
+    ask = spark.createDataFrame([(1, "c7 a"), (1, "c7"), (1, "c9 c9")], "query_id long, text string")
+    once = spark.createDataFrame([(1, "a c7 c9")], "query_id long, text string")
+    assert sorted(search.search(docs, ask).collect()) == sorted(search.search(docs, once).collect())
+
+
 # 10 SimHash
 
 def brute_simhash(rows):
