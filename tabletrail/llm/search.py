@@ -40,11 +40,11 @@ from .common import arrow_rows, read, saved, words
 
 K1, B, TOP = 1.2, 0.75, 10
 EVERY = 20
-BLOCK, DENSE, SCALE = 64, 16, 1 << 20
+BLOCK, DENSE, SCALE = 64, 24, 1 << 20
 SHARD_DOCS, QUERY_BLOCK = 8192, 4096
 SHARD_WORDS = 5 << 19
 BATCH = 512  # rows, each with all words of a document
-TOGETHER = 128  # queries scored at once by dense terms
+TOGETHER, FEW = 256, 16  # queries scored at once, by dense and by other terms
 ROUND = 8  # blocks visited before the k-th best score is looked at first
 
 INDEX = "docs long, words long, ids array<bigint>, lengths binary, terms array<bigint>, held array<int>, doc binary, tf binary"
@@ -158,15 +158,15 @@ class Shard:
         self.table = np.zeros((self.blocks, len(dense), BLOCK))
         self.table[doc[~sparse] // BLOCK, self.column[place[~sparse]], doc[~sparse] % BLOCK] = impact[~sparse]
         self.most = self.table.max(axis=2).T
-        place, self.doc, self.impact = place[sparse], doc[sparse], impact[sparse]
+        place, doc, self.impact = place[sparse], doc[sparse], impact[sparse]
+        self.lane = doc % BLOCK
         # One entry per term and block: where its postings begin, and their largest impact.
-        block, starts = self.doc // BLOCK, np.ones(len(place), bool)
+        block, starts = doc // BLOCK, np.ones(len(place), bool)
         starts[1:] = (place[1:] != place[:-1]) | (block[1:] != block[:-1])
         entry = np.flatnonzero(starts)
         self.entry_block = block[entry]
         self.entry_most = np.maximum.reduceat(self.impact, entry) if len(entry) else np.zeros(0)
         self.entry_at = np.searchsorted(place[entry], np.arange(len(asked) + 1))
-        self.at = np.searchsorted(place, np.arange(len(asked) + 1))
         self.entry = np.append(entry, len(place))
 
     def search(self, sizes: np.ndarray, flat: np.ndarray, least: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -182,36 +182,39 @@ class Shard:
         flat, owner = flat[column < 0], owner[column < 0]
         bound = asks @ self.most
         parts = []
-        for line, low, high in zip(bound, np.searchsorted(owner, np.arange(m)), np.searchsorted(owner, np.arange(m), "right")):
-            entries = _ranges(self.entry_at.take(flat[low:high]), self.entry_at.take(flat[low:high] + 1))
-            where = self.entry_block.take(entries)
-            line += np.bincount(where, self.entry_most.take(entries), self.blocks)
-            parts.append((flat[low:high], entries, where))
+        for low in range(0, m, FEW):
+            some = slice(*np.searchsorted(owner, [low, low + FEW]))
+            lows, highs = self.entry_at[flat[some]], self.entry_at[flat[some] + 1]
+            entries, who = _ranges(lows, highs), np.repeat(owner[some], highs - lows) - low
+            where = who * self.blocks + self.entry_block.take(entries)
+            part = bound[low:low + FEW]
+            part += np.bincount(where, self.entry_most.take(entries), part.size).reshape(part.shape)
+            parts.append((low, entries, where))
         scores = np.zeros((m, self.blocks, BLOCK))
 
-        def visit(turn: np.ndarray, seen: np.ndarray) -> None:
+        def visit(turn: np.ndarray) -> None:
             for block in np.flatnonzero(turn.any(axis=0)):
                 rows = np.flatnonzero(turn[:, block])
-                scores[rows, block] = asks[rows] @ self.table[block]
-            # If most entries are visited, a term's postings are taken as a whole: what that adds to other blocks stays below their bound.
-            for line, taken, before, (asked, entries, where) in zip(scores, turn, seen.any(axis=1), parts):
-                some = entries[taken.take(where)]
-                if 5 * len(some) > 4 * len(entries) and not before:
-                    postings = _ranges(self.at.take(asked), self.at.take(asked + 1))
-                else:
-                    postings = _ranges(self.entry.take(some), self.entry.take(some + 1))
-                line += np.bincount(self.doc.take(postings), self.impact.take(postings), line.size).reshape(line.shape)
+                scores[rows, block] += asks[rows] @ self.table[block]
+            for low, entries, where in parts:
+                taken = turn[low:low + FEW].ravel().take(where)
+                some, part = entries[taken], scores[low:low + FEW]
+                first, end = self.entry.take(some), self.entry.take(some + 1)
+                postings = _ranges(first, end)
+                cells = np.repeat(where[taken] * BLOCK, end - first)
+                cells += self.lane.take(postings)
+                part += np.bincount(cells, self.impact.take(postings), part.size).reshape(part.shape)
 
         seen = np.zeros(bound.shape, bool)
         new = np.flatnonzero(least <= 1)
         if len(new) and self.blocks > ROUND:
             best = np.argpartition(-bound[new], ROUND - 1, axis=1)[:, :ROUND]
             seen[new[:, None], best] = True
-            visit(seen, seen)
+            visit(seen)
             found = scores[new[:, None], best].reshape(len(new), -1)
             if found.shape[1] >= top:
                 least[new] = np.maximum(np.partition(found, -top, axis=1)[:, -top], 1)
-        visit((bound >= least[:, None]) & ~seen, seen)
+        visit((bound >= least[:, None]) & ~seen)
         scores = scores.reshape(m, -1)
         query, doc = np.nonzero(scores >= least[:, None])
         points = scores[query, doc]
