@@ -6,12 +6,15 @@ blocks of bounded size, a task each, which read the shards one after the other f
 shared scratch folder. What is written thus grows with the documents, and what is returned with the
 queries; the time is that of comparing each query with each document, less what is pruned.
 
-In a shard, like documents stand together and form blocks of ``BLOCK``, which keep the
-largest impact of every term. A query adds up these maxima block by block, and scores the
-documents of blocks whose bound reaches its k-th best score so
-far, which it takes along from shard to shard; in the first one it comes from the ``ROUND``
-blocks of highest bound. Terms in more than 1/``DENSE`` of a shard are scored for all
-documents of a block and all queries that visit it at once (a matrix product). Nothing that could enter the top k is skipped, ties included.
+In a shard, like documents stand together and form blocks of ``BLOCK``. A query first adds
+up the postings of its rarer terms, each once. Terms in more than 1/``DENSE`` of a shard
+(most postings) are dense: a block keeps the largest impact of each, and with their sum, a
+block's best document so far bounds what the block may hold. Only blocks whose bound reaches
+the query's k-th best score so far are visited; that score goes along from shard to shard,
+in the first one it comes from the ``ROUND`` blocks of highest bound. A visit scores the
+dense terms for all documents of a block and all its queries at once, as a matrix product in
+single precision; where that, with its largest rounding error, leaves a chance, points are
+summed exactly. Nothing that could enter the top k is skipped, ties included.
 
 Document counts, mean length and document frequencies are those of the whole table.
 
@@ -44,7 +47,8 @@ BLOCK, DENSE, SCALE = 64, 24, 1 << 20
 SHARD_DOCS, QUERY_BLOCK = 8192, 4096
 SHARD_WORDS = 5 << 19
 BATCH = 512  # rows, each with all words of a document
-TOGETHER, FEW = 256, 16  # queries scored at once, by dense and by other terms
+TOGETHER, FEW = 512, 8  # queries scored at once, by dense and by other terms
+EXACT = 1 << 24  # whole numbers up to here are exact in single precision
 ROUND = 8  # blocks visited before the k-th best score is looked at first
 
 INDEX = "docs long, words long, ids array<bigint>, lengths binary, terms array<bigint>, held array<int>, doc binary, tf binary"
@@ -133,7 +137,7 @@ def indexed(docs: DataFrame, shard_docs: int = SHARD_DOCS) -> DataFrame:
 
 
 class Shard:
-    """One row of the index, restricted to the terms asked for, with their impacts and block maxima."""
+    """One row of the index, restricted to the terms asked for, with their impacts and the block maxima of dense ones."""
 
     def __init__(self, row: pa.RecordBatch, asked: np.ndarray, idf: np.ndarray, mean: float):
         self.ids = row.column("ids").flatten()
@@ -145,79 +149,94 @@ class Shard:
         lengths, doc, tf = (np.frombuffer(row.column(name)[0].as_buffer(), kind) for name, kind in (("lengths", np.int64), ("doc", np.int32), ("tf", np.int32)))
         place = np.minimum(np.searchsorted(asked, terms), len(asked) - 1)
         wanted = asked[place] == terms
-        kept = np.repeat(wanted, held)
-        place = np.repeat(place[wanted], held[wanted])
-        doc, tf = doc[kept].astype(np.int64), tf[kept].astype(np.float64)
-        impact = np.rint(idf[place] * tf * (K1 + 1) / (tf + (K1 * (1 - B + B * lengths.astype(float) / mean))[doc]) * SCALE)
-        held = np.bincount(place, minlength=len(asked))
-        dense = np.flatnonzero(held * DENSE > self.n)
+        kept, place, held = np.repeat(wanted, held), place[wanted], held[wanted]
+        doc, tf = doc[kept], tf[kept].astype(np.float64)
+        impact = np.repeat(idf[place], held)
+        impact *= tf
+        impact *= K1 + 1
+        tf += (K1 * (1 - B + B * lengths.astype(float) / mean))[doc]
+        impact /= tf
+        impact *= SCALE
+        np.rint(impact, out=impact)
+        del kept, tf
+        dense = (held * DENSE > self.n) & (idf[place] * (K1 + 1) * SCALE <= EXACT)
+        count = int(dense.sum())
         self.column = np.full(len(asked), -1)
-        self.column[dense] = np.arange(len(dense))
+        self.column[place[dense]] = np.arange(count)
         # A matrix for each block; what fills up the last one stays at 0 and is never found.
-        sparse = self.column[place] < 0
-        self.table = np.zeros((self.blocks, len(dense), BLOCK))
-        self.table[doc[~sparse] // BLOCK, self.column[place[~sparse]], doc[~sparse] % BLOCK] = impact[~sparse]
+        of_dense = np.repeat(dense, held)
+        self.table = np.zeros((self.blocks, count, BLOCK), np.float32)
+        at = np.arange(self.n)
+        at += at // BLOCK * (count - 1) * BLOCK
+        cells = at[doc[of_dense]]
+        cells += np.repeat(np.arange(count) * BLOCK, held[dense])
+        self.table.reshape(-1)[cells] = impact[of_dense]
+        del cells
         self.most = self.table.max(axis=2).T
-        place, doc, self.impact = place[sparse], doc[sparse], impact[sparse]
-        self.lane = doc % BLOCK
-        # One entry per term and block: where its postings begin, and their largest impact.
-        block, starts = doc // BLOCK, np.ones(len(place), bool)
-        starts[1:] = (place[1:] != place[:-1]) | (block[1:] != block[:-1])
-        entry = np.flatnonzero(starts)
-        self.entry_block = block[entry]
-        self.entry_most = np.maximum.reduceat(self.impact, entry) if len(entry) else np.zeros(0)
-        self.entry_at = np.searchsorted(place[entry], np.arange(len(asked) + 1))
-        self.entry = np.append(entry, len(place))
+        # The largest part that a sum of so many numbers can lose by rounding, and as much again.
+        self.slack = count / EXACT * 2
+        # The postings of all other terms, term by term, each as its impact and document.
+        of_dense = ~of_dense
+        self.postings = impact[of_dense].astype(np.int64) << 32 | doc[of_dense]
+        sparse = np.zeros(len(asked), np.int64)
+        sparse[place[~dense]] = held[~dense]
+        self.starts = np.concatenate(([0], np.cumsum(sparse)))
 
     def search(self, sizes: np.ndarray, flat: np.ndarray, least: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Queries, documents (as positions) and points of what may be among the best ``top`` of each query.
 
         Query i has the next ``sizes[i]`` of the places ``flat``; what is below ``least[i]`` is not among its best.
         """
-        m = len(sizes)
+        m, width = len(sizes), self.blocks * BLOCK
         least, owner = np.maximum(least, 1), np.repeat(np.arange(m), sizes)
         column = self.column[flat]
-        asks = np.zeros((m, len(self.most)))
+        asks = np.zeros((m, len(self.most)), np.float32)
         asks[owner[column >= 0], column[column >= 0]] = 1
         flat, owner = flat[column < 0], owner[column < 0]
-        bound = asks @ self.most
-        parts = []
+        scores = np.empty((m, self.blocks, BLOCK))
         for low in range(0, m, FEW):
-            some = slice(*np.searchsorted(owner, [low, low + FEW]))
-            lows, highs = self.entry_at[flat[some]], self.entry_at[flat[some] + 1]
-            entries, who = _ranges(lows, highs), np.repeat(owner[some], highs - lows) - low
-            where = who * self.blocks + self.entry_block.take(entries)
-            part = bound[low:low + FEW]
-            part += np.bincount(where, self.entry_most.take(entries), part.size).reshape(part.shape)
-            parts.append((low, entries, where))
-        scores = np.zeros((m, self.blocks, BLOCK))
-
-        def visit(turn: np.ndarray) -> None:
-            for block in np.flatnonzero(turn.any(axis=0)):
-                rows = np.flatnonzero(turn[:, block])
-                scores[rows, block] += asks[rows] @ self.table[block]
-            for low, entries, where in parts:
-                taken = turn[low:low + FEW].ravel().take(where)
-                some, part = entries[taken], scores[low:low + FEW]
-                first, end = self.entry.take(some), self.entry.take(some + 1)
-                postings = _ranges(first, end)
-                cells = np.repeat(where[taken] * BLOCK, end - first)
-                cells += self.lane.take(postings)
-                part += np.bincount(cells, self.impact.take(postings), part.size).reshape(part.shape)
-
+            part, some = scores[low:low + FEW], slice(*np.searchsorted(owner, [low, low + FEW]))
+            first, end = self.starts[flat[some]], self.starts[flat[some] + 1]
+            postings = self.postings.take(_ranges(first, end))
+            cells = np.repeat((owner[some] - low) * width, end - first)
+            cells += postings & 0xFFFFFFFF
+            postings >>= 32
+            part[:] = np.bincount(cells, postings, part.size).reshape(part.shape)
+        # The points by other terms are known; those by dense ones are at most the sum of their maxima in the block.
+        bound = scores.max(axis=2) + asks @ self.most
+        parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         seen = np.zeros(bound.shape, bool)
         new = np.flatnonzero(least <= 1)
         if len(new) and self.blocks > ROUND:
             best = np.argpartition(-bound[new], ROUND - 1, axis=1)[:, :ROUND]
             seen[new[:, None], best] = True
-            visit(seen)
+            for block in np.flatnonzero(seen.any(axis=0)):
+                rows = np.flatnonzero(seen[:, block])
+                scores[rows, block] += self._exact(asks[rows], block)
             found = scores[new[:, None], best].reshape(len(new), -1)
             if found.shape[1] >= top:
                 least[new] = np.maximum(np.partition(found, -top, axis=1)[:, -top], 1)
-        visit((bound >= least[:, None]) & ~seen)
-        scores = scores.reshape(m, -1)
-        query, doc = np.nonzero(scores >= least[:, None])
-        points = scores[query, doc]
+            row, cell = np.nonzero(found >= least[new, None])
+            parts.append((new[row], best[row, cell // BLOCK] * BLOCK + cell % BLOCK, found[row, cell]))
+        # Single precision says which queries a block may serve; for these, its points are summed exactly.
+        floor = least * (1 - self.slack)
+        turn = (bound >= floor[:, None]) & ~seen
+        for block in np.flatnonzero(turn.any(axis=0)):
+            rows = np.flatnonzero(turn[:, block])
+            known, some = scores[rows, block], asks[rows]
+            near = np.flatnonzero((known + some @ self.table[block]).max(axis=1) >= floor[rows])
+            if not len(near):
+                continue
+            points = known[near] + self._exact(some[near], block)
+            row, lane = np.nonzero(points >= least[rows[near], None])
+            if len(row) > top * len(near):  # copies: of a block, no more than ``top`` are among a query's best
+                best = np.lexsort((self.rank[block * BLOCK + lane], -points[row, lane], row))
+                best = best[np.arange(len(row)) - np.searchsorted(row, row) < top]
+                row, lane = row[best], lane[best]
+            parts.append((rows[near[row]], block * BLOCK + lane, points[row, lane]))
+        query, doc, points = (np.concatenate(column) for column in zip(*parts))
+        order = np.argsort(query, kind="stable")
+        query, doc, points = query[order], doc[order], points[order]
         many = np.bincount(query, minlength=m) > 4 * top
         if many.any():
             kept = ~many[query]
@@ -230,6 +249,10 @@ class Shard:
             query, doc, points = query[kept], doc[kept], points[kept]
         return query, doc, points
 
+    def _exact(self, asks: np.ndarray, block: int) -> np.ndarray:
+        """Points by dense terms of the documents of a block: sums of whole numbers in double precision."""
+        return asks.astype(float) @ self.table[block].astype(float)
+
 
 def _joined(parts: list[np.ndarray]) -> np.ndarray:
     """The parts as one array; the list is left empty."""

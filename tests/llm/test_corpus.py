@@ -12,6 +12,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from compare import connect, differences
 
@@ -495,6 +496,53 @@ def test_words_of_repeated_query_ids_count_once(spark):
     assert sorted(search.search(docs, ask).collect()) == sorted(search.search(docs, once).collect())
 
 
+def test_postings_are_read_once_and_few_blocks_are_summed_exactly(monkeypatch):
+    """Work, counted: a query reads each posting of its rarer words once; frequent ones are summed exactly where single precision leaves a chance."""
+    rng = np.random.default_rng(4)
+    bags = [rng.zipf(1.2, size) % 900 for size in rng.integers(5, 80, 3000)]
+    bags[1::10] = bags[::10]  # copies: equal scores at all ranks
+    sizes = np.array([len(bag) for bag in bags])
+    tf = np.zeros((len(bags), 900))
+    np.add.at(tf, (np.repeat(np.arange(len(bags)), sizes), np.concatenate(bags)), 1)
+    n, mean, df = len(bags), sizes.mean(), (tf > 0).sum(axis=0)
+    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    impact = np.rint(idf * tf * (search.K1 + 1) / (tf + (search.K1 * (1 - search.B + search.B * sizes / mean))[:, None]) * search.SCALE)
+    asked = {q: np.unique(bags[q]) for q in range(0, n, 20)}
+    terms = np.concatenate(list(asked.values()))
+    block = search.Queries(np.array(list(asked)), np.array([len(t) for t in asked.values()]), terms, df[terms], n, mean, search.TOP)
+    read, summed, plain, exact = [], [], search._ranges, search.Shard._exact
+    monkeypatch.setattr(search, "_ranges", lambda lows, highs: read.append(int((highs - lows).sum())) or plain(lows, highs))
+    monkeypatch.setattr(search.Shard, "_exact", lambda self, asks, at: summed.append(len(asks)) or exact(self, asks, at))
+    postings = 0
+    for low in range(0, n, 1000):
+        part = slice(low, low + 1000)
+        block.meet(search.inverted(pa.array(range(low, low + 1000), pa.int64()), sizes[part], np.concatenate(bags[part]).astype(np.int64)))
+        held = (tf[part] > 0).sum(axis=0)
+        postings += int(held[terms][held[terms] * search.DENSE <= 1000].sum())
+    got = block.answers().to_pydict()
+    want = []
+    for q, words in asked.items():
+        points = impact[:, words].sum(axis=1)
+        want += [(q, d, int(points[d])) for d in np.lexsort((np.arange(n), -points))[:search.TOP] if points[d]]
+    assert list(zip(got["query_id"], got["doc_id"], got["points"])) == want
+    assert sum(read) == postings > 50_000
+    assert 0 < sum(summed) < len(asked) * -(-n // search.BLOCK) / 2
+
+
+def test_a_shard_of_copies_holds_few_candidates(monkeypatch):
+    """Of a block of equal documents, a query keeps no more than ``TOP``, those with the smallest ids."""
+    n, handed = 2000, []
+    ids = np.random.default_rng(5).permutation(n)
+    plain = np.argsort
+    monkeypatch.setattr(search.np, "argsort", lambda a, **how: handed.append(len(a)) or plain(a, **how))
+    block = search.Queries(np.arange(30), np.full(30, 3), np.tile([1, 2, 3], 30), np.full(90, n), n, 3.0, search.TOP)
+    row = search.inverted(pa.array([None if i % 50 == 0 else int(i) for i in ids], pa.int64()), np.full(n, 3), np.tile(np.arange(1, 4), n))
+    handed.clear()
+    block.meet(row)
+    assert block.answers().column("doc_id").to_pylist() == list(range(1, search.TOP + 1)) * 30
+    assert max(handed) < 30 * n / 2
+
+
 # 10 SimHash
 
 def brute_simhash(rows):
