@@ -9,7 +9,9 @@ fit in memory.
 from __future__ import annotations
 
 import hashlib
+import os
 import posixpath
+import stat
 import uuid
 from collections.abc import Iterator
 from itertools import islice
@@ -23,6 +25,7 @@ from ..plans import literal_rows, row_count, staged
 
 CHUNK, FIRST_CHUNK = 1 << 20, 1 << 14
 WALK_BOUND = 20_000  # entries that one task lists before it hands folders on
+READ_BYTES, READ_FILES = 4 << 20, 1000  # in one batch of whole files
 
 
 class Storage:
@@ -118,24 +121,54 @@ def _arrow(uri: str):
     return FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
 
 
-def _entries(uri: str, recursive: bool):
+def _entries(uri: str, recursive: bool) -> Iterator[tuple[str, bool, int]]:
     """(relative path, is_file, size) below a folder, hidden names included.
 
     Checksum sidecars that a local Hadoop file system keeps beside a file are not
-    files of the project.
+    files of the project. A local folder is listed name by name, whatever it holds;
+    other file systems hand over a listing as a whole.
     """
-    from pyarrow.fs import FileSelector, FileType
+    from pyarrow.fs import FileSelector, FileType, LocalFileSystem
 
     filesystem, base = _arrow(uri)
+    if isinstance(filesystem, LocalFileSystem):
+        yield from _local_entries(base, recursive)
+        return
     found = filesystem.get_file_info(FileSelector(base, allow_not_found=True, recursive=recursive))
-    present = {info.path for info in found}
+    present = {info.path for info in found} if any(info.path.endswith(".crc") for info in found) else set()
     for info in found:
-        folder, name = posixpath.split(info.path)
-        if name.startswith(".") and name.endswith(".crc") and posixpath.join(folder, name[1:-4]) in present:
+        if _main_file(info.path) in present:
             continue
         yield info.path[len(base):].strip("/"), info.type == FileType.File, info.size or 0
 
 
+def _local_entries(base: str, recursive: bool) -> Iterator[tuple[str, bool, int]]:
+    left = [base]
+    while left:
+        folder = left.pop()
+        if not os.path.exists(folder):
+            continue
+        with os.scandir(folder) as entries:
+            for entry in entries:
+                try:
+                    info = entry.stat()
+                except FileNotFoundError:  # gone, or a link to nothing
+                    continue
+                main = _main_file(entry.path)
+                if main and os.path.exists(main):
+                    continue
+                is_file = stat.S_ISREG(info.st_mode)
+                yield entry.path[len(base):].strip("/"), is_file, info.st_size if is_file else 0
+                if recursive and stat.S_ISDIR(info.st_mode):
+                    left.append(entry.path)
+
+
+def _main_file(path: str) -> str | None:
+    """The file whose checksums a sidecar of this path holds."""
+    folder, name = posixpath.split(path)
+    return posixpath.join(folder, name[1:-4]) if name.startswith(".") and name.endswith(".crc") else None
+
+
 def _spread(df: DataFrame, *by: str) -> DataFrame:
     """Spread few rows that each mean much work over all cores, by their path if nothing else is said.
 
@@ -216,6 +249,36 @@ def _hash_one(uri: str) -> str | None:
     return digest.hexdigest()
 
 
+def contents(files: DataFrame, root: str) -> DataFrame:
+    """``path, length, content`` of the bytes at ``root/path`` for each row of ``path, size``; a file that is gone fails the job.
+
+    Files are opened by the tasks that read them; the driver neither lists nor plans them. A batch
+    holds about ``READ_BYTES``, or one file that is larger.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filesystem, base = _arrow(root)
+        paths, data, held = [], [], 0
+
+        def batch() -> pa.RecordBatch:
+            columns = [pa.array(paths, pa.string()), pa.array([len(d) for d in data], pa.int64()), pa.array(data, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["path", "length", "content"])
+
+        for some in batches:
+            for path, size in zip(some.column("path").to_pylist(), some.column("size").to_pylist()):
+                if data and (held + size > READ_BYTES or len(data) >= READ_FILES):
+                    yield batch()
+                    paths, data, held = [], [], 0
+                with filesystem.open_input_stream(f"{base}/{path}") as stream:
+                    data.append(stream.read())
+                paths.append(path)
+                held += len(data[-1])
+        if data:
+            yield batch()
+
+    return _spread(files).select("path", "size").mapInArrow(run, "path string, length bigint, content binary")
+
+
 def texts(files: DataFrame, root: str) -> DataFrame:
     """Add ``text``, the decoded content; null when unreadable. For small documents."""
     columns = files.columns

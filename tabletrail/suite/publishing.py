@@ -12,6 +12,7 @@ from ..project import Project
 from ..sinks import manifests
 from ..sources import chunks, textformat
 from ..sources.catalog import Producer, parse_manifests, producers
+from ..sources.external import read_files
 from ..sources.storage import hashed, walk
 from .registry import Tables, query
 
@@ -95,7 +96,7 @@ def external_binary(t: Tables) -> DataFrame:
     project = _project(t.spark)
     path = F.concat(F.lit("data/external/texts/"), F.col("doc_id").cast("string"), F.lit(".txt"))
     staged(manifests.write_documents(t.documents.select(path.alias("path"), F.col("text").alias("content")), project.root))
-    files = t.spark.read.format("binaryFile").load(project.external_path("texts"))
+    files = read_files(t.spark, project.external_path("texts"))
     return files.select(text.base_name(F.col("path")).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 

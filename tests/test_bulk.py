@@ -338,3 +338,62 @@ def test_columns_of_many_parquet_files_are_read_by_tasks(spark, tmp_path):
     (tmp_path / "in/a.parquet/part-x.parquet").write_bytes(b"no table")
     with pytest.raises(Exception, match="(?i)parquet"):
         parquet_columns(walk(spark, str(tmp_path), ["in"]).filter("path like '%part-x%'"), str(tmp_path), rows.schema).collect()
+
+
+# --- external files of any format ---------------------------------------------------------
+
+
+def test_external_files_are_listed_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    from tabletrail.sources.external import read_files
+
+    folder = tmp_path / "a folder"
+    (folder / "below").mkdir(parents=True)
+    (folder / "_hidden").mkdir()
+    want = {f"{i}.txt": bytes([i]) * (i * 7 % 60) for i in range(50)} | {"below/b.bin": b"\xff\x00", "a%20b c.txt": b"x" * 500, "_k=1": b"k"}
+    for name, data in (want | {".dot": b"1", "_SUCCESS": b"1", "_hidden/x.txt": b"1"}).items():
+        (folder / name).write_bytes(data)
+    monkeypatch.setattr(storage, "READ_BYTES", 100)
+    files = read_files(spark, f"{folder}/")
+    assert {r.path: (r.length, bytes(r.content)) for r in files.collect()} == {f"{folder}/{n}": (len(d), d) for n, d in want.items()}
+    batches = spark.createDataFrame([(str(i), 40) for i in range(9)], "path string, size bigint")
+    sizes = []
+    for i in range(9):
+        (tmp_path / str(i)).write_bytes(b"y" * (250 if i == 4 else 40))
+    monkeypatch.setattr(storage, "_spread", lambda df, *by: type("Spied", (), {"select": lambda self, *c: self, "mapInArrow": lambda self, run, schema: sizes.extend(b.num_rows for b in run(iter(batches.toArrow().to_batches())))})())
+    storage.contents(batches, str(tmp_path))
+    assert sum(sizes) == 9 and max(sizes) == 2
+    with pytest.raises(ArtifactError, match="no folder"):
+        read_files(spark, str(tmp_path / "absent"))
+
+
+def test_driver_holds_no_external_file(spark, tmp_path):
+    from tabletrail import suite
+
+    rows = spark.range(300).selectExpr("id AS doc_id", "repeat('é', cast(id AS int)) AS text")
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    found = suite.queries()["external_binary"](spark, str(tmp_path))
+    assert not [f for f in found.inputFiles() if f.endswith(".txt")]
+    texts = {f"{i}.txt": ("é" * i).encode() for i in range(300)}
+    assert {tuple(r) for r in found.collect()} == {(n, len(t), hashlib.sha256(t).hexdigest()) for n, t in texts.items()}
+
+
+def test_a_large_folder_is_listed_name_by_name(tmp_path):
+    import tracemalloc
+
+    for i in range(10_000):
+        (tmp_path / f"{i}.txt").touch()
+    (tmp_path / ".7.txt.crc").touch()
+    (tmp_path / ".alone.crc").touch()
+    (tmp_path / "to-nothing").symlink_to(tmp_path / "nothing")
+    (tmp_path / "folder" / "in").mkdir(parents=True)
+    (tmp_path / "folder" / "in" / "x").write_text("four")
+    tracemalloc.start()
+    count = sum(1 for _ in storage._entries(str(tmp_path), False))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert count == 10_002 and peak < 500_000
+    deep = {name: (is_file, size) for name, is_file, size in storage._entries(str(tmp_path), True)}
+    assert len(deep) == 10_004 and deep["folder/in/x"] == (True, 4) and deep["folder/in"] == (False, 0) and deep[".alone.crc"] == (True, 0)
+    assert list(storage._entries(str(tmp_path / "absent"), True)) == []
+    with pytest.raises(OSError):
+        list(storage._entries(str(tmp_path / "folder" / "in" / "x"), False))
