@@ -190,20 +190,23 @@ class Shard:
         m, width = len(sizes), self.blocks * BLOCK
         least, owner = np.maximum(least, 1), np.repeat(np.arange(m), sizes)
         column = self.column[flat]
+        dense = column >= 0
         asks = np.zeros((m, len(self.most)), np.float32)
-        asks[owner[column >= 0], column[column >= 0]] = 1
-        flat, owner = flat[column < 0], owner[column < 0]
-        scores = np.empty((m, self.blocks, BLOCK))
+        asks[owner[dense], column[dense]] = 1
+        flat, owner = flat[~dense], owner[~dense]
+        scores, bound = np.empty((m, self.blocks, BLOCK)), np.empty((m, self.blocks))
         for low in range(0, m, FEW):
             part, some = scores[low:low + FEW], slice(*np.searchsorted(owner, [low, low + FEW]))
             first, end = self.starts[flat[some]], self.starts[flat[some] + 1]
-            postings = self.postings.take(_ranges(first, end))
-            cells = np.repeat((owner[some] - low) * width, end - first)
-            cells += postings & 0xFFFFFFFF
+            cells = _ranges(first, end)
+            postings = self.postings.take(cells)
+            np.bitwise_and(postings, 0xFFFFFFFF, out=cells)
+            cells += np.repeat((owner[some] - low) * width, end - first)
             postings >>= 32
             part[:] = np.bincount(cells, postings, part.size).reshape(part.shape)
+            part.max(axis=2, out=bound[low:low + FEW])
         # The points by other terms are known; those by dense ones are at most the sum of their maxima in the block.
-        bound = scores.max(axis=2) + asks @ self.most
+        bound += asks @ self.most
         parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         seen = np.zeros(bound.shape, bool)
         new = np.flatnonzero(least <= 1)
@@ -283,9 +286,11 @@ class Queries:
 
     def __init__(self, ids: np.ndarray, sizes: np.ndarray, term: np.ndarray, df: np.ndarray, n: int, mean: float, top: int):
         self.ids, self.sizes, self.mean, self.top = ids, sizes, mean, top
-        self.asked, first, self.flat = np.unique(term, return_index=True, return_inverse=True)
+        self.asked, first, flat = np.unique(term, return_index=True, return_inverse=True)
         df = df[first]
         self.idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        # A query's words stand by their place, so that its postings are read in one direction.
+        self.flat = flat[np.lexsort((flat, np.repeat(np.arange(len(sizes)), sizes)))]
         self.at = np.concatenate(([0], np.cumsum(sizes)))
         self.least = np.zeros(len(ids))
         # Query, points, whether the id is null, id: the best first.
